@@ -26,6 +26,10 @@ def every(conds: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, conds)
 
 
+def any_of(conds: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conds)
+
+
 def largest(cols: Sequence[Column]) -> Column:
     return F.greatest(*cols) if len(cols) > 1 else cols[0]
 

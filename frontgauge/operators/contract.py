@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import ratio
+from ..functions.columns import any_of, ratio
 from ..plans.ordered import join_on
 
 
@@ -27,10 +27,6 @@ def orient(df: DataFrame, senses: Mapping[str, str]) -> DataFrame:
 
 def with_reasons(df: DataFrame, key: Sequence[str], objs: Sequence[str]) -> DataFrame:
     """Add `reason`: why a row cannot be used, NULL where it can."""
-
-    def any_of(conds):
-        return reduce(lambda a, b: a | b, conds)
-
     twice = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     # Only keys that do repeat are joined back.
     marked = join_on(df, twice, key, "left")

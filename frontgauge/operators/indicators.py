@@ -180,7 +180,10 @@ def gd(
     front: DataFrame, reference: DataFrame, keys: Sequence[str], objs: Sequence[str]
 ) -> DataFrame:
     """GD and GD+: mean distance from distinct front points to the reference."""
-    return _mean_costs(front, reference, keys, objs, {"gd": "l2", "gd_plus": "above"})
+    keys = list(keys)
+    reference = _spread_reference(front, reference, keys)
+    got = nearest(front, reference, keys, objs, ["l2", "above"])
+    return got.groupBy(*keys).agg(F.avg("l2").alias("gd"), F.avg("above").alias("gd_plus"))
 
 
 def igd(
@@ -189,17 +192,8 @@ def igd(
     """IGD and IGD+: mean distance from distinct reference points to the front."""
     keys = list(keys)
     reference = _spread_reference(front, reference, keys)
-    return _mean_costs(reference, front, keys, objs, {"igd": "l2", "igd_plus": "below"})
-
-
-def _mean_costs(queries, sites, keys, objs, kinds: dict[str, str]) -> DataFrame:
-    keys = list(keys)
-    sites = _spread_reference(queries, sites, keys)
-    out = None
-    for name, kind in kinds.items():
-        got = nearest(queries, sites, keys, objs, kind).groupBy(*keys).agg(F.avg("cost").alias(name))
-        out = got if out is None else out.join(got, keys)
-    return out
+    got = nearest(reference, front, keys, objs, ["l2", "below"])
+    return got.groupBy(*keys).agg(F.avg("l2").alias("igd"), F.avg("below").alias("igd_plus"))
 
 
 def eps_ind(
@@ -208,8 +202,8 @@ def eps_ind(
     """Additive epsilon: the least shift by which the front covers the whole reference."""
     keys = list(keys)
     reference = _spread_reference(front, reference, keys)
-    got = nearest(reference, front, keys, objs, "lift")
-    return got.groupBy(*keys).agg(F.max("cost").alias("eps"))
+    got = nearest(reference, front, keys, objs, ["lift"])
+    return got.groupBy(*keys).agg(F.max("lift").alias("eps"))
 
 
 def spacing(front: DataFrame, keys: Sequence[str], objs: Sequence[str]) -> DataFrame:
@@ -219,9 +213,9 @@ def spacing(front: DataFrame, keys: Sequence[str], objs: Sequence[str]) -> DataF
     """
     keys, objs = list(keys), list(objs)
     copies = front.groupBy(*keys, *objs).agg(F.count(F.lit(1)).alias("_c"))
-    gaps = nearest(front, front, keys, objs, "l1", others=True)
+    gaps = nearest(front, front, keys, objs, ["l1"], others=True)
     rows = gaps.join(copies, [*keys, *objs])
-    gap = F.when(F.col("_c") > 1, 0.0).otherwise(F.col("cost"))
+    gap = F.when(F.col("_c") > 1, 0.0).otherwise(F.col("l1"))
     # Weighted moments: each distinct vector stands for its copies.
     n, s = F.sum("_c"), F.sum(F.col("_c") * gap)
     mean = rows.groupBy(*keys).agg(n.alias("_n"), (s / n).alias("_mean"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.ordered import group_sizes, join_on
+from ..plans.segments import per_group, split_groups
 from ..session import limit, settle
 from .fronts import top_n
 
@@ -18,7 +19,7 @@ Layer = tuple[Sequence[Sequence[float]], Sequence[float]]
 
 # Cells of the nearest-neighbour search. Fixed, so that what is known about all
 # cells stays small enough for every task.
-_PIVOTS = 128
+_PIVOTS = 512
 
 
 def _numbers(values: Sequence[float]) -> str:
@@ -45,15 +46,18 @@ def score_mlp(df: DataFrame, x: str, layers: Sequence[Layer], name: str = "yhat"
         )
         last = i == len(layers) - 1
         out = f"_h{i}" if not last else name
-        df = df.withColumn(out, F.transform(units, lambda u, h=h, last=last: _unit(u, h, last)))
+        df = df.withColumn(out, F.transform(units, _unit(h, last)))
         h = F.col(out)
     return df.drop(*[f"_h{i}" for i in range(len(layers) - 1)])
 
 
-def _unit(u: Column, h: Column, linear: bool) -> Column:
-    products = F.zip_with(u["w"], h, lambda a, b: a * b)
-    z = F.aggregate(products, F.lit(0.0), lambda s, v: s + v) + u["b"]
-    return z if linear else F.greatest(z, F.lit(0.0))
+def _unit(h: Column, linear: bool) -> Callable[[Column], Column]:
+    def value(u: Column) -> Column:
+        products = F.zip_with(u["w"], h, lambda a, b: a * b)
+        z = F.aggregate(products, F.lit(0.0), lambda s, v: s + v) + u["b"]
+        return z if linear else F.greatest(z, F.lit(0.0))
+
+    return value
 
 
 def score_with(
@@ -112,7 +116,10 @@ def _to_matrix(col: pd.Series) -> np.ndarray:
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+    out = np.zeros((len(a), len(b)))
+    for col in range(a.shape[1]):
+        out += (a[:, col, None] - b[None, :, col]) ** 2
+    return np.sqrt(out)
 
 
 def fit_knn(
@@ -126,83 +133,99 @@ def fit_knn(
     """
     spark = df.sparkSession
     base = settle(
-        df.select(F.col(id).alias("id"), F.col(x).cast("array<double>").alias("x"),
-                  F.col(y).cast("double").alias("y"), F.col(fold).alias("fold"))
+        df.select(
+            F.col(id).alias("id"),
+            F.col(x).cast("array<double>").alias("x"),
+            F.col(y).cast("double").alias("y"),
+            F.col(fold).alias("fold"),
+        )
     )
-    picked = base.select("id", "x").orderBy(F.xxhash64("id"), "id").limit(_PIVOTS).collect()
+    rows, _ = group_sizes(base, [])
+    id_type, fold_type = (base.schema[c].dataType.simpleString() for c in ("id", "fold"))
+    n_pivots = max(1, min(_PIVOTS, int(rows**0.5)))
+    picked = base.select("id", "x").orderBy(F.xxhash64("id"), "id").limit(n_pivots).collect()
     pivots = np.array([r["x"] for r in picked])
 
-    def place(batches):
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            d = np.concatenate(
-                [_distances(v, pivots) for v in np.array_split(_to_matrix(b["x"]), len(b) // 512 + 1)]
-            )
+            d = _distances(_to_matrix(b["x"]), pivots)
             yield b.assign(cell=d.argmin(axis=1), reach=d.min(axis=1))
 
-    schema = f"id {_type(base, 'id')}, x array<double>, y double, fold {_type(base, 'fold')}"
+    schema = f"id {id_type}, x array<double>, y double, fold {fold_type}"
     placed = settle(base.mapInPandas(place, schema + ", cell long, reach double"))
     most = limit(spark, "compare.rows")
-    cells = placed.groupBy("cell", "fold").agg(
-        F.count(F.lit(1)).alias("n"), F.max("reach").alias("reach")
+    known = (  # at most pivots x folds rows
+        placed.groupBy("cell", "fold")
+        .agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("reach"))
+        .toPandas()
     )
-    known = cells.toPandas()  # at most pivots x folds rows
-    size = known.groupby("cell")["n"].sum()
-    parts = {int(c): int(-(-n // most)) for c, n in size.items()}
+    # Cells too big for one task are cut into parts.
+    parts = np.ones(n_pivots, dtype=np.int64)
+    for cell, n in known.groupby("cell")["n"].sum().items():
+        parts[cell] = -(-n // most)
 
-    def visit(batches):
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
             for f, q in b.groupby("fold"):
-                other = known[known["fold"] != f].groupby("cell").agg(n=("n", "sum"), reach=("reach", "max"))
-                if other.empty:
+                other = known[known["fold"] != f].groupby("cell")
+                n, reach = other["n"].sum(), other["reach"].max()
+                if n.empty:
                     continue
-                d = _distances(_to_matrix(q["x"]), pivots[other.index.to_numpy()])
-                far, near = d + other["reach"].to_numpy(), d - other["reach"].to_numpy()
+                cell = n.index.to_numpy()
+                d = _distances(_to_matrix(q["x"]), pivots[cell])
+                far, near = d + reach.to_numpy(), d - reach.to_numpy()
                 order = np.argsort(far, axis=1)
-                held = np.cumsum(other["n"].to_numpy()[order], axis=1)
-                at = np.minimum((held < k).sum(axis=1), d.shape[1] - 1)
+                held = np.cumsum(n.to_numpy()[order], axis=1)
+                at = np.minimum((held < k).sum(axis=1), len(cell) - 1)
                 enough = np.take_along_axis(far, order, axis=1)[np.arange(len(q)), at]
                 i, j = np.nonzero(near <= enough[:, None] * (1 + 1e-9))
-                got = q.iloc[i][["id", "x", "fold"]].assign(cell=other.index.to_numpy()[j])
-                got["part"] = got["cell"].map(lambda c: list(range(parts[int(c)])))
-                out.append(got.explode("part").astype({"part": "int64"}))
-            yield pd.concat(out) if out else pd.DataFrame(columns=["id", "x", "fold", "cell", "part"])
-
-    q_schema = f"id {_type(base, 'id')}, x array<double>, fold {_type(base, 'fold')}, cell long, part long"
-    visits = placed.select("id", "x", "fold").mapInPandas(visit, q_schema)
-    n_parts = F.create_map(*[F.lit(v) for kv in parts.items() for v in kv])
-    sites = placed.withColumn("part", F.pmod(F.xxhash64("id"), n_parts[F.col("cell").cast("int")].cast("long")))
-    # Split crowds of visitors: the part's rows are copied to each share.
-    rows, _ = group_sizes(placed, [])
-    shares = max(1, -(-rows // most))
-    visits = visits.withColumn("share", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shares)))
-    sites = sites.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
-    at = ["cell", "part", "share"]
-
-    def search(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(s):
-            sx, sid, sy = _to_matrix(s["x"]), s["id"].to_numpy(), s["y"].to_numpy()
-            for f, part in q.groupby("fold"):
-                keep = (s["fold"] != f).to_numpy()
-                if not keep.any():
+                copies = parts[cell[j]]
+                i, j = np.repeat(i, copies), np.repeat(j, copies)
+                part = np.concatenate([np.arange(c) for c in copies])
+                yield q.iloc[i][["id", "x", "fold"]].assign(cell=cell[j], part=part)
+
+    visits = placed.select("id", "x", "fold").mapInPandas(
+        visit, f"id {id_type}, x array<double>, fold {fold_type}, cell long, part long"
+    )
+    n_parts = F.element_at(F.lit(parts.tolist()), (F.col("cell") + 1).cast("int"))
+    sites = placed.withColumn("part", F.pmod(F.xxhash64("id"), n_parts.cast("long")))
+    # Split crowds of visitors: a part's rows are copied to each share of them.
+    shares = -(-rows // most)
+    share = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shares).cast("long"))
+    visits = visits.withColumn("share", share)
+    every_share = F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))
+    sites = sites.withColumn("share", F.explode(every_share))
+    spot = ["cell", "part", "share"]
+    cols = ["id", "x", "fold", *spot]
+    both = visits.select(*cols, F.lit(None).cast("double").alias("y"), F.lit(False).alias("_site"))
+    both = both.unionByName(sites.select(*cols, "y", F.lit(True).alias("_site")))
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", kind="stable")
+        ids, folds = pdf["id"].to_numpy(), pdf["fold"].to_numpy()
+        x, target, site = _to_matrix(pdf["x"]), pdf["y"].to_numpy(), pdf["_site"].to_numpy(bool)
+        out = [pdf[["id"]][:0].assign(d=0.0, site=pdf["id"][:0], y=0.0)]
+        for at in split_groups(pdf, spot):
+            mine, theirs = at[~site[at]], at[site[at]]
+            for f in np.unique(folds[mine]):
+                q, s = mine[folds[mine] == f], theirs[folds[theirs] != f]
+                if not len(s):
                     continue
-                sid_, sy_, sx_ = sid[keep], sy[keep], sx[keep]
-                for lo in range(0, len(part), 256):
-                    some = part.iloc[lo : lo + 256]
-                    d = np.stack([np.sqrt(((sx_ - v) ** 2).sum(axis=1)) for v in _to_matrix(some["x"])])
-                    for row, qid in zip(d, some["id"]):
-                        best = np.lexsort((sid_, row))[:k]
-                        out.append(pd.DataFrame({"id": qid, "d": row[best], "site": sid_[best], "y": sy_[best]}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["id", "d", "site", "y"])
-
-    found = visits.groupBy(*at).cogroup(sites.groupBy(*at)).applyInPandas(
-        search, f"id {_type(base, 'id')}, d double, site {_type(base, 'id')}, y double"
+                for i in range(0, len(q), 512):
+                    part = q[i : i + 512]
+                    d = _distances(x[part], x[s])
+                    # sites come in order of id, so a stable sort breaks ties by id
+                    near = np.argsort(d, axis=1, kind="stable")[:, :k]
+                    who, row = np.repeat(part, near.shape[1]), s[near.ravel()]
+                    found = np.take_along_axis(d, near, axis=1).ravel()
+                    out.append(
+                        pd.DataFrame({"id": ids[who], "d": found, "site": ids[row], "y": target[row]})
+                    )
+        return pd.concat(out)
+
+    found = per_group(
+        both, spot, search, f"id {id_type}, d double, site {id_type}, y double", rows, 4 * most
     )
-    best = top_n(found, ["id"], ["d", "site"], k)
+    best = settle(top_n(found, ["id"], ["d", "site"], k))
     means = best.groupBy("id").agg(F.avg("y").alias(name))
     return base.select("id").join(means, "id", "left").withColumnRenamed("id", id)
-
-
-def _type(df: DataFrame, col: str) -> str:
-    return df.schema[col].dataType.simpleString()

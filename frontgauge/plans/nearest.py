@@ -10,17 +10,15 @@ queries at one block are split over several tasks.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import ceil
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import every, largest, total
+from ..functions.columns import any_of, every, largest, total
 from ..session import limit, settle
 from .ordered import BLOCK, group_sizes, in_blocks, join_on
-from .segments import split_groups
+from .segments import per_group, split_groups
 
 # cost of a query q and a site s, built from one gap per coordinate
 #   l2, l1  distance
@@ -58,33 +56,42 @@ def _bound(kind: str, q: list[Column], lo: list[Column], hi: list[Column]) -> Co
 
 
 def _worth_visiting(
-    queries: DataFrame, laid: DataFrame, keys: list[str], coords: list[str], kind: str, others: bool
+    queries: DataFrame,
+    laid: DataFrame,
+    keys: list[str],
+    coords: list[str],
+    kinds: Sequence[str],
+    others: bool,
 ) -> DataFrame:
+    """Queries with each block that may hold a best partner for one of the costs."""
     box = [F.min(c).alias(f"lo_{c}") for c in coords] + [F.max(c).alias(f"hi_{c}") for c in coords]
     one = F.min(F.struct(*coords)).alias("one")
     boxes = laid.groupBy(*keys, BLOCK).agg(*box, one)
     cell = F.struct(BLOCK, *[f"{e}_{c}" for c in coords for e in ("lo", "hi")], "one")
     table = boxes.groupBy(*keys).agg(F.collect_list(cell).alias("_boxes"))
     q = [F.col(c) for c in coords]
+    rows = join_on(queries, table, keys)
+    for kind in kinds:
 
-    def known(b: Column) -> Column:
-        p = [b["one"][c] for c in coords]
-        cost = _bound(kind, q, p, p)
-        return F.when(~every([x == y for x, y in zip(q, p)]), cost) if others else cost
+        def known(b: Column) -> Column:
+            p = [b["one"][c] for c in coords]
+            cost = _bound(kind, q, p, p)
+            return F.when(~every([x == y for x, y in zip(q, p)]), cost) if others else cost
 
-    def possible(b: Column) -> Column:
-        least = _bound(kind, q, [b[f"lo_{c}"] for c in coords], [b[f"hi_{c}"] for c in coords])
-        return F.col("_best").isNull() | (least <= F.col("_best") * (1 + 1e-12) + 1e-300)
+        # one known partner per block, and a little room for rounding
+        best = F.array_min(F.transform("_boxes", known))
+        rows = rows.withColumn(f"_best_{kind}", best + F.abs(best) * 1e-12)
 
-    # A lift may be negative: widen the bound in the safe direction by its size.
-    rows = join_on(queries, table, keys).withColumn(
-        "_best", F.array_min(F.transform("_boxes", known))
-    )
-    if kind == "lift":
-        rows = rows.withColumn("_best", F.col("_best") + F.abs("_best") * 1e-12)
-    return rows.withColumn(
-        BLOCK, F.explode(F.transform(F.filter("_boxes", possible), lambda b: b[BLOCK]))
-    ).drop("_boxes", "_best")
+    def visit(b: Column) -> Column:
+        lo, hi = ([b[f"{e}_{c}"] for c in coords] for e in ("lo", "hi"))
+        conds = [
+            F.col(f"_best_{kind}").isNull() | (_bound(kind, q, lo, hi) <= F.col(f"_best_{kind}"))
+            for kind in kinds
+        ]
+        return any_of(conds)
+
+    found = F.transform(F.filter("_boxes", visit), lambda b: b[BLOCK])
+    return rows.withColumn(BLOCK, F.explode(found)).select(*keys, *coords, BLOCK)
 
 
 def nearest(
@@ -92,28 +99,29 @@ def nearest(
     sites: DataFrame,
     keys: Sequence[str],
     coords: Sequence[str],
-    kind: str,
+    kinds: Sequence[str],
     others: bool = False,
 ) -> DataFrame:
-    """Distinct query points with `cost`, the least over the sites of their group.
+    """Distinct query points with one column per kind of cost: the least over their group's sites.
 
     others=True leaves out sites equal to the query. A query without any site
     gets NULL.
     """
-    if kind not in COSTS:
-        raise ValueError(f"unknown cost {kind!r}")
+    unknown = set(kinds) - set(COSTS)
+    if unknown:
+        raise ValueError(f"unknown costs {sorted(unknown)}")
     spark = queries.sparkSession
-    keys, coords = list(keys), list(coords)
+    keys, coords, kinds = list(keys), list(coords), list(kinds)
     if not keys:
         one = {"_all": F.lit(0)}
-        out = nearest(queries.withColumns(one), sites.withColumns(one), ["_all"], coords, kind, others)
+        out = nearest(queries.withColumns(one), sites.withColumns(one), ["_all"], coords, kinds, others)
         return out.drop("_all")
     cols = [*keys, *coords]
     queries = settle(queries.select(*cols).distinct())
-    sites = sites.select(*cols).distinct()
+    sites = settle(sites.select(*cols).distinct())
     laid = in_blocks(sites, keys, coords, limit(spark, "site.rows"))
     if laid.split:
-        visits = settle(_worth_visiting(queries, laid.df, keys, coords, kind, others))
+        visits = settle(_worth_visiting(queries, laid.df, keys, coords, kinds, others))
     else:
         visits = queries.withColumn(BLOCK, F.lit(0))
 
@@ -134,38 +142,34 @@ def nearest(
     else:
         visits, here = (d.withColumn("_share", F.lit(0).cast("long")) for d in (visits, here))
 
+    # Both sides go through one table, told apart by a flag.
     place = [*place, "_share"]
-    calls = max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(visit_rows / 50_000)
+    both = [*cols, *[c for c in place if c not in keys]]
+    rows = visits.select(*both, F.lit(False).alias("_site")).unionByName(
+        here.select(*both, F.lit(True).alias("_site"))
     )
-    call = F.pmod(F.xxhash64(*place), F.lit(calls))
-
-    def best(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        qv, sv = q[coords].to_numpy(float), s[coords].to_numpy(float)
-        both = pd.concat([q[place], s[place]], ignore_index=True)
-        cost = np.full(len(q), np.nan)
-        for at in split_groups(both, place) if len(q) else []:
-            mine, theirs = at[at < len(q)], at[at >= len(q)] - len(q)
-            if not len(mine) or not len(theirs):
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        v, site = pdf[coords].to_numpy(float), pdf["_site"].to_numpy(bool)
+        cost = np.full((len(pdf), len(kinds)), np.nan)
+        for at in split_groups(pdf, place):
+            mine, theirs = at[~site[at]], at[site[at]]
+            if not len(theirs):
                 continue
             for i in range(0, len(mine), 1024):
                 part = mine[i : i + 1024]
-                c = _costs(kind, qv[part], sv[theirs])
-                if others:
-                    same = (qv[part][:, None, :] == sv[theirs][None, :, :]).all(axis=2)
-                    c[same] = np.inf
-                low = c.min(axis=1)
-                cost[part] = np.where(np.isinf(low), np.nan, low)
-        return q[cols].assign(cost=cost)
+                for n, kind in enumerate(kinds):
+                    c = _costs(kind, v[part], v[theirs])
+                    if others:
+                        c[(v[part][:, None, :] == v[theirs][None, :, :]).all(axis=2)] = np.inf
+                    low = c.min(axis=1)
+                    cost[part, n] = np.where(np.isinf(low), np.nan, low)
+        found = {kind: cost[~site, n] for n, kind in enumerate(kinds)}
+        return pdf.loc[~site, cols].assign(**found)
 
     schema = ", ".join(f"`{c}` {queries.schema[c].dataType.simpleString()}" for c in cols)
-    got = (
-        visits.select(*cols, *[c for c in place if c not in keys], call.alias("_call"))
-        .groupBy("_call")
-        .cogroup(here.select(*cols, *[c for c in place if c not in keys], call.alias("_call")).groupBy("_call"))
-        .applyInPandas(best, f"{schema}, cost double")
-    )
-    got = got.withColumn("cost", F.when(~F.isnan("cost"), F.col("cost")))
-    if not laid.split:
-        return got
-    return got.groupBy(*cols).agg(F.min("cost").alias("cost"))
+    got = per_group(rows, place, best, schema + "".join(f", {k} double" for k in kinds), visit_rows)
+    got = got.select(*cols, *[F.when(~F.isnan(k), F.col(k)).alias(k) for k in kinds])
+    if laid.split:
+        got = got.groupBy(*cols).agg(*[F.min(k).alias(k) for k in kinds])
+    return got
