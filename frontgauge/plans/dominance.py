@@ -31,8 +31,8 @@ from .ordered import (
     in_blocks,
     join_on,
     running,
-    same_keys,
     spread_groups,
+    with_broadcast,
 )
 from .segments import per_group, split_groups
 
@@ -155,8 +155,7 @@ def _tree_halves(laid: Laid, keys: Sequence[str], level: str, node: str) -> Data
     ends = spread_groups(blocks, keys).groupBy(*keys).agg(
         F.min(BLOCK).alias("_lo"), F.max(BLOCK).alias("_hi")
     )
-    ends = F.broadcast(ends)  # one row per spread group: at most one per block
-    rows = laid.df.join(ends, same_keys(laid.df, ends, keys)).drop(*[ends[k] for k in keys])
+    rows = with_broadcast(laid.df, ends, keys)  # at most one spread group per block
     depth = F.length(F.bin(F.col("_lo").bitwiseXOR(F.col("_hi")).cast("long")))
     rows = rows.withColumn(level, F.explode(F.sequence(F.lit(0), depth - 1)))
     rows = rows.withColumns(

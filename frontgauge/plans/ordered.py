@@ -37,11 +37,18 @@ def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
     return row["rows"] or 0, row["largest"] or 0
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+def with_broadcast(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"
+) -> DataFrame:
+    """Join a table of proven small size; NULL keys match each other."""
+    # Own names for the right's keys: both sides may come from the same table,
+    # and a column reference could then mean either.
+    names = {k: f"_right_{i}" for i, k in enumerate(keys)}
+    right = right.withColumnsRenamed(names)
     cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
+    for k, r in names.items():
+        cond = cond & F.col(k).eqNullSafe(F.col(r))
+    return left.join(F.broadcast(right), cond, how).drop(*names.values())
 
 
 @dataclass
@@ -102,12 +109,11 @@ def running(
     out = laid.df.withColumns({n: _AGG[a](v).over(w) for n, (a, v) in outs.items()})
     if not laid.split:
         return out
-    carried = block_carry(laid, keys, outs, backwards)
     marks = {f"_c{n}": n for n in outs}
-    carried = F.broadcast(carried.withColumnsRenamed({n: c for c, n in marks.items()}))
-    joined = out.join(
-        carried, same_keys(out, carried, [*keys, BLOCK]), "left"
-    ).drop(*[carried[k] for k in [*keys, BLOCK]])
+    carried = block_carry(laid, keys, outs, backwards).withColumnsRenamed(
+        {n: c for c, n in marks.items()}
+    )
+    joined = with_broadcast(out, carried, [*keys, BLOCK], "left")
     return joined.withColumns(
         {n: _JOIN[outs[n][0]](F.col(n), F.col(c)) for c, n in marks.items()}
     ).drop(*marks)

@@ -1,8 +1,13 @@
-"""Run queries and their SQL side by side: python tests/oracle.py [sf] [name ...]"""
+"""Run queries and their SQL side by side: python tests/oracle.py [sf] [name ...]
+
+With FRONTGAUGE_TIGHT=1 all size limits are so low that every group is treated
+as too big for one task and every table as too big to broadcast.
+"""
 
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -18,6 +23,14 @@ NAMES = (
 ).split()
 
 
+TIGHT = {"window.rows": 100, "compare.rows": 50, "broadcast.rows": 20, "site.rows": 8}
+
+
+def tighten(spark):
+    for k, v in TIGHT.items():
+        spark.conf.set(f"frontgauge.{k}", str(v))
+
+
 def connect(sf: str):
     con = duckdb.connect()
     for n in NAMES:
@@ -73,6 +86,8 @@ if __name__ == "__main__":
     names = sys.argv[2:]
     spark = build_session(8)
     spark.sparkContext.setLogLevel("ERROR")
+    if os.environ.get("FRONTGAUGE_TIGHT"):
+        tighten(spark)
     con, sqls = connect(sf), oracle_sql()
     bad = 0
     for name, run in queries().items():
