@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ColumnOrNumber, ratio
 from ..plans.dominance import front_rows
 from ..plans.ordered import BLOCK, in_blocks, running
+from ..plans.segments import by_size, pair_counts
 from .errors import equal_pairs, pairs_no_worse, sum_parts
 from .fronts import top_n
 from .indicators import hv2, hv3
@@ -98,14 +100,42 @@ def to_target(curve: DataFrame, run: Sequence[str], target: float) -> DataFrame:
     )
 
 
+def _relation(some: np.ndarray, all_: np.ndarray) -> np.ndarray:
+    """1 where a row of `some` dominates one of `all_`, -1 the other way, else 0."""
+    le = (some[:, None, :] <= all_[None, :, :]).all(axis=2)
+    ge = (some[:, None, :] >= all_[None, :, :]).all(axis=2)
+    return le.astype(np.int8) - ge.astype(np.int8)
+
+
 def pair_order(
     df: DataFrame, keys: Sequence[str], true: Sequence[str], pred: Sequence[str]
 ) -> DataFrame:
     """Share of row pairs whose relation (which dominates, or neither) is unchanged.
 
-    From counts of pairs in joint order; no pair is listed.
+    Small groups are counted directly, big ones from counts of pairs in joint
+    order; no pair is listed either way.
     """
     keys, t, p = list(keys), list(true), list(pred)
+    n = F.col("n")
+    pairs = (n * (n - 1) / 2).cast("long")
+    finish = [*keys, pairs.alias("pairs"), "unchanged", ratio(F.col("unchanged"), pairs).alias("share")]
+    d = len(t)
+
+    def same(some: np.ndarray, all_: np.ndarray) -> list[int]:
+        alike = _relation(some[:, :d], all_[:, :d]) == _relation(some[:, d:], all_[:, d:])
+        return [int(alike.sum()) - len(some)]  # without each row's pair with itself
+
+    def small(rows: DataFrame, size: int) -> DataFrame:
+        got = pair_counts(rows, keys, [*t, *p], ["_same"], same, size)
+        return got.withColumn("unchanged", (F.col("_same") / 2).cast("long")).select(*finish)
+
+    def big(rows: DataFrame) -> DataFrame:
+        return _unchanged_pairs(rows, keys, t, p).select(*finish)
+
+    return by_size(df, keys, small, big)
+
+
+def _unchanged_pairs(df: DataFrame, keys: list[str], t: list[str], p: list[str]) -> DataFrame:
     flip = [f"_f{c}" for c in p]
     df = df.withColumns({f: -F.col(c) for f, c in zip(flip, p)})
 
@@ -116,7 +146,7 @@ def pair_order(
     got = sum_parts(
         keys,
         {
-            "_n": df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_pairs")),
+            "n": df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_pairs")),
             "_t": pairs_no_worse(df, keys, t),
             "_p": pairs_no_worse(df, keys, p),
             "_et": equal_pairs(df, keys, t),
@@ -130,14 +160,11 @@ def pair_order(
             "_ps": grouped(p, t),
         },
     )
-    n, c = F.col("_n"), F.col
+    n, c = F.col("n"), F.col
     pairs = (n * (n - 1) / 2).cast("long")
     dom_t, dom_p = c("_t") - c("_et"), c("_p") - c("_ep")
     same = c("_s") - c("_ts") - c("_ps") + c("_etp")
     # Tied on one side, pairs in opposite order are as many as in the same order.
     opposite = c("_o") - c("_ts") - c("_ps") + c("_etp")
     neither = pairs - dom_t - dom_p + same + opposite
-    return got.select(
-        *keys, pairs.alias("pairs"), (same + neither).alias("unchanged"),
-        ratio(same + neither, pairs).alias("share"),
-    )
+    return got.select(*keys, "n", (same + neither).alias("unchanged"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_col, ratio
 from ..plans.dominance import distinct_vectors, weak_hits
 from ..plans.ordered import average_rank, quantiles
+from ..plans.segments import by_size, pair_counts
 
 
 def error_columns(y: str | Column = "y", yhat: str | Column = "yhat", suffix: str = "") -> list[Column]:
@@ -108,9 +110,41 @@ def sum_parts(keys: Sequence[str], parts: dict[str, DataFrame]) -> DataFrame:
     return out.groupBy(*keys).agg(*[F.coalesce(F.sum(n), F.lit(0).cast("long")).alias(n) for n in parts])
 
 
+def _order_counts(some: np.ndarray, all_: np.ndarray) -> list[int]:
+    dx = np.sign(some[:, None, 0] - all_[None, :, 0])
+    dy = np.sign(some[:, None, 1] - all_[None, :, 1])
+    both = dx * dy
+    return [int((both > 0).sum()), int((both < 0).sum()), int((dx != 0).sum()), int((dy != 0).sum())]
+
+
 def kendall(df: DataFrame, keys: Sequence[str], x: str = "y", y: str = "yhat") -> DataFrame:
-    """Kendall tau-b from counts of pairs; NULL where either side is constant."""
+    """Kendall tau-b; NULL where either side is constant.
+
+    Small groups are counted directly, big ones from counts of pairs in order.
+    """
     keys = list(keys)
+    names = ["concordant", "discordant", "_dx", "_dy"]
+    n = F.col("n")
+    scale = F.sqrt(F.col("_dx").cast("double")) * F.sqrt(F.col("_dy").cast("double"))
+    finish = [
+        *keys,
+        (n * (n - 1) / 2).cast("long").alias("pairs"),
+        "concordant",
+        "discordant",
+        ratio(F.col("concordant") - F.col("discordant"), scale).alias("tau_b"),
+    ]
+
+    def small(rows: DataFrame, size: int) -> DataFrame:
+        got = pair_counts(rows, keys, [x, y], names, _order_counts, size)
+        return got.withColumns({c: (F.col(c) / 2).cast("long") for c in names}).select(*finish)
+
+    def big(rows: DataFrame) -> DataFrame:
+        return _kendall_counts(rows, keys, x, y).select(*finish)
+
+    return by_size(df.select(*keys, x, y), keys, small, big)
+
+
+def _kendall_counts(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     # ordered pairs with i <= j in both; of these, ties in x and in y need their own count
     got = sum_parts(
         keys,
@@ -121,23 +155,20 @@ def kendall(df: DataFrame, keys: Sequence[str], x: str = "y", y: str = "yhat") -
             "_exy": equal_pairs(df, keys, [x, y]),
             "_ex": equal_pairs(df, keys, [x]),
             "_ey": equal_pairs(df, keys, [y]),
-            "_n": df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_pairs")),
+            "n": df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_pairs")),
         },
     )
-    n = F.col("_n")
+    n = F.col("n")
     pairs = (n * (n - 1) / 2).cast("long")
-    tied_x = ((F.col("_ex") - n) / 2).cast("long")
-    tied_y = ((F.col("_ey") - n) / 2).cast("long")
-    tied_xy = ((F.col("_exy") - n) / 2).cast("long")
+    tied_x, tied_y, tied_xy = (((F.col(c) - n) / 2).cast("long") for c in ("_ex", "_ey", "_exy"))
     concordant = F.col("_le") - F.col("_tx") - F.col("_ty") + F.col("_exy")
-    discordant = pairs - tied_x - tied_y + tied_xy - concordant
-    scale = F.sqrt((pairs - tied_x).cast("double")) * F.sqrt((pairs - tied_y).cast("double"))
     return got.select(
         *keys,
-        pairs.alias("pairs"),
+        "n",
         concordant.alias("concordant"),
-        discordant.alias("discordant"),
-        ratio(concordant - discordant, scale).alias("tau_b"),
+        (pairs - tied_x - tied_y + tied_xy - concordant).alias("discordant"),
+        (pairs - tied_x).alias("_dx"),
+        (pairs - tied_y).alias("_dy"),
     )
 
 

@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import limit, settle
+from .ordered import group_sizes, join_on
+
 
 def split_groups(pdf: pd.DataFrame, keys: Sequence[str]) -> Iterator[np.ndarray]:
     """Row positions of each group."""
@@ -43,3 +46,52 @@ def per_group(
         .groupBy("_call")
         .applyInPandas(lambda pdf: fn(pdf.drop(columns="_call")), schema)
     )
+
+
+def by_size(
+    df: DataFrame,
+    keys: Sequence[str],
+    small: Callable[[DataFrame, int], DataFrame],
+    big: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """`small(rows, how many)` for groups one Python call can hold, `big(rows)` for the others."""
+    most = limit(df.sparkSession, "compare.rows")
+    rows, largest = group_sizes(df, keys)
+    if largest <= most:
+        return small(df, rows)
+    if not keys:
+        return big(df)
+    large = df.groupBy(*keys).count().where(F.col("count") > most).select(*keys)
+    large = settle(large)
+    rest = join_on(df, large, keys, "left_anti")
+    return small(rest, rows).unionByName(big(join_on(df, large, keys, "left_semi")))
+
+
+def pair_counts(
+    df: DataFrame,
+    keys: Sequence[str],
+    cols: Sequence[str],
+    names: Sequence[str],
+    count: Callable[[np.ndarray, np.ndarray], list[int]],
+    rows: int,
+    step: int = 512,
+) -> DataFrame:
+    """Per group, sums of `count(some rows, all rows)`; the pairs never leave the array."""
+    keys, cols = list(keys), list(cols)
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = pdf[cols].to_numpy(float)
+        groups = list(split_groups(pdf, keys)) if keys else [np.arange(len(pdf))]
+        out = []
+        for at in groups:
+            g = v[at]
+            out.append(np.sum([count(g[i : i + step], g) for i in range(0, len(g), step)], axis=0))
+        found = pd.DataFrame(np.array(out, dtype=np.int64), columns=list(names))
+        found.insert(0, "n", [len(at) for at in groups])
+        for k in reversed(keys):
+            found.insert(0, k, pdf[k].to_numpy()[[at[0] for at in groups]])
+        return found
+
+    schema = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
+    schema += "n long" + "".join(f", {n} long" for n in names)
+    return per_group(df.select(*keys, *cols), keys, fn, schema, rows)
