@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Sequence
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -95,7 +96,7 @@ def hv3(
 def _volumes(
     points: DataFrame, keys: list[str], objs: list[str], refs: list[str], depth: int = 0
 ) -> DataFrame:
-    most = limit(points.sparkSession, "compare.rows")
+    most = limit(points.sparkSession, "sweep.rows")
     if not keys:
         points, keys = points.withColumn("_all", F.lit(0)), ["_all"]
     rows, biggest = group_sizes(points, keys)
@@ -163,26 +164,34 @@ def hv2_contrib(
 
 
 def _spread_reference(front: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:
-    """A reference without group columns serves every group."""
-    missing = [k for k in keys if k not in reference.columns]
-    if not missing:
+    """A reference without some group columns serves every group.
+
+    Each group asks for every reference point, so that many rows are the task
+    itself; they are made in as many parts as there are pieces of the reference.
+    """
+    shared = [k for k in keys if k in reference.columns]
+    if shared == keys:
         return reference
+    spark = front.sparkSession
     groups = front.select(*keys).distinct()
-    shared = [k for k in keys if k not in missing]
-    if shared:
-        return groups.join(reference, shared)
-    # one array of reference points per group, then one row per point
-    whole = reference.agg(F.collect_set(F.struct(*reference.columns)).alias("_pts"))
-    return groups.join(F.broadcast(whole)).select(*keys, F.inline("_pts"))
+    reference = settle(reference.distinct())
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pieces = max(shuffles, ceil(reference.count() / limit(spark, "compare.rows")))
+    piece = F.pmod(F.xxhash64(*reference.columns), F.lit(pieces)).cast("int")
+    groups = groups.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+    return reference.withColumn("_piece", piece).join(groups, [*shared, "_piece"]).drop("_piece")
 
 
 def gd(
     front: DataFrame, reference: DataFrame, keys: Sequence[str], objs: Sequence[str]
 ) -> DataFrame:
     """GD and GD+: mean distance from distinct front points to the reference."""
-    keys = list(keys)
-    reference = _spread_reference(front, reference, keys)
-    got = nearest(front, reference, keys, objs, ["l2", "above"])
+    keys, objs = list(keys), list(objs)
+    # Points alike in what the reference knows of them have the same distance.
+    shared = [k for k in keys if k in reference.columns]
+    got = nearest(front, reference, shared, objs, ["l2", "above"])
+    if shared != keys:
+        got = front.select(*keys, *objs).distinct().join(got, [*shared, *objs])
     return got.groupBy(*keys).agg(F.avg("l2").alias("gd"), F.avg("above").alias("gd_plus"))
 
 

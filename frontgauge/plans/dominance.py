@@ -20,7 +20,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import limit, settle
@@ -29,10 +29,10 @@ from .ordered import (
     Laid,
     group_sizes,
     in_blocks,
+    join_blocks,
     join_on,
     running,
     spread_groups,
-    with_broadcast,
 )
 from .segments import per_group, split_groups
 
@@ -152,10 +152,11 @@ def weak_hits(
 def _tree_halves(laid: Laid, keys: Sequence[str], level: str, node: str) -> DataFrame:
     """Copy each row of a spread group to the tree nodes above its block."""
     blocks = laid.df.select(*keys, BLOCK).distinct()
-    ends = spread_groups(blocks, keys).groupBy(*keys).agg(
-        F.min(BLOCK).alias("_lo"), F.max(BLOCK).alias("_hi")
+    whole = Window.partitionBy(*keys)  # over blocks, not rows
+    ends = spread_groups(blocks, keys).withColumns(
+        {"_lo": F.min(BLOCK).over(whole), "_hi": F.max(BLOCK).over(whole)}
     )
-    rows = with_broadcast(laid.df, ends, keys)  # at most one spread group per block
+    rows = join_blocks(laid.df, ends, keys)
     depth = F.length(F.bin(F.col("_lo").bitwiseXOR(F.col("_hi")).cast("long")))
     rows = rows.withColumn(level, F.explode(F.sequence(F.lit(0), depth - 1)))
     rows = rows.withColumns(
@@ -247,7 +248,7 @@ def front_rows(df: DataFrame, keys: Sequence[str], objs: Sequence[str]) -> DataF
             # One sort: a row is on the front if, in order of (a, b), no row up
             # to it has a lower b, nor the same b at a lower a.
             a, b = objs
-            laid = Laid(df.withColumn(BLOCK, F.lit(0)), False, 1)
+            laid = Laid(df.withColumn(BLOCK, F.lit(0)), False)
             me = F.struct(F.col(b), F.col(a))
             got = running(laid, keys, [a, b], {"_low": ("min", me)})
             return got.where(F.col("_low") == me).drop("_low", BLOCK)

@@ -10,6 +10,7 @@ queries at one block are split over several tasks.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,6 +28,10 @@ from .segments import per_group, split_groups
 #   lift    how much worse s is than q in its worst coordinate
 COSTS = ("l2", "l1", "above", "below", "lift")
 
+# boxes a query may have to look at, and cells of one array of costs
+_MAX_BOXES = 2_048
+_CELLS = 2_000_000
+
 
 def _costs(kind: str, q: np.ndarray, s: np.ndarray) -> np.ndarray:
     gap = s[None, :, :] - q[:, None, :]
@@ -119,7 +124,10 @@ def nearest(
     cols = [*keys, *coords]
     queries = settle(queries.select(*cols).distinct())
     sites = settle(sites.select(*cols).distinct())
-    laid = in_blocks(sites, keys, coords, limit(spark, "site.rows"))
+    # Small blocks prune better, but a query looks at every box of its group.
+    _, most_sites = group_sizes(sites, keys)
+    per_block = max(limit(spark, "site.rows"), ceil(most_sites / _MAX_BOXES))
+    laid = in_blocks(sites, keys, coords, per_block)
     if laid.split:
         visits = settle(_worth_visiting(queries, laid.df, keys, coords, kinds, others))
     else:
@@ -156,8 +164,9 @@ def nearest(
             mine, theirs = at[~site[at]], at[site[at]]
             if not len(theirs):
                 continue
-            for i in range(0, len(mine), 1024):
-                part = mine[i : i + 1024]
+            step = max(1, _CELLS // len(theirs))
+            for i in range(0, len(mine), step):
+                part = mine[i : i + step]
                 for n, kind in enumerate(kinds):
                     c = _costs(kind, v[part], v[theirs])
                     if others:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from math import ceil
+from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +19,9 @@ from ..session import limit, settle
 
 BLOCK = "_blk"
 
+# More partitions than this burden the driver; each may hold many blocks.
+_MAX_PARTS = 20_000
+
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
@@ -37,10 +40,17 @@ def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
     return row["rows"] or 0, row["largest"] or 0
 
 
-def with_broadcast(
+def join_blocks(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"
 ) -> DataFrame:
-    """Join a table of proven small size; NULL keys match each other."""
+    """Join a table with one row per (group, block); NULL keys match each other.
+
+    Broadcast if small; otherwise shuffled by group and block, which no block
+    can clog as its size is bounded.
+    """
+    keys = [*keys, BLOCK]
+    right = settle(right)
+    small = right.count() <= limit(left.sparkSession, "broadcast.rows")
     # Own names for the right's keys: both sides may come from the same table,
     # and a column reference could then mean either.
     names = {k: f"_right_{i}" for i, k in enumerate(keys)}
@@ -48,14 +58,13 @@ def with_broadcast(
     cond = F.lit(True)
     for k, r in names.items():
         cond = cond & F.col(k).eqNullSafe(F.col(r))
-    return left.join(F.broadcast(right), cond, how).drop(*names.values())
+    return left.join(F.broadcast(right) if small else right, cond, how).drop(*names.values())
 
 
 @dataclass
 class Laid:
     df: DataFrame
     split: bool
-    parts: int
 
 
 def in_blocks(
@@ -67,24 +76,34 @@ def in_blocks(
     a group where a single value may repeat without bound.
     """
     spark = df.sparkSession
-    max_rows = max_rows or limit(spark, "window.rows")
+    in_window = limit(spark, "window.rows")
+    max_rows = max_rows or in_window
     rows, largest = group_sizes(df, keys)
     if largest <= max_rows:
-        return Laid(df.withColumn(BLOCK, F.lit(0)), False, 1)
-    parts = max(2, ceil(2 * rows / max_rows))
-    placed = df.repartitionByRange(parts, *keys, *order).withColumn(
-        BLOCK, F.spark_partition_id()
+        return Laid(df.withColumn(BLOCK, F.lit(0)), False)
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(max(shuffles, ceil(2 * rows / in_window)), _MAX_PARTS)
+    # Cut sorted partitions into runs of max_rows. Numbers leave room for a
+    # partition four times the mean, so that they stay dense enough for the tree
+    # in dominance.py; the last run takes what is beyond.
+    runs = 2 ** ceil(log2(max(1, 4 * rows / parts / max_rows)))
+    row_in_part = F.monotonically_increasing_id().bitwiseAND(2**33 - 1)
+    run = F.least(F.floor(row_in_part / max_rows), F.lit(runs - 1))
+    placed = (
+        df.repartitionByRange(parts, *keys, *order)
+        .sortWithinPartitions(*keys, *order)
+        .withColumn(BLOCK, (F.spark_partition_id() * runs + run).cast("int"))
     )
     # Range bounds come from a sample, so a second run could place rows
     # differently: fix the placement before it is used twice.
-    return Laid(settle(placed), True, parts)
+    return Laid(settle(placed), True)
 
 
 def spread_groups(totals: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of a per-(group, block) table whose group spans several blocks.
 
-    Blocks are contiguous ranges, so at most 2 * parts rows remain: small
-    enough to broadcast, whatever the number of groups.
+    Blocks are contiguous, so at most two rows per block remain, whatever the
+    number of groups.
     """
     w = Window.partitionBy(*keys)
     return totals.withColumn("_nb", F.count(F.lit(1)).over(w)).where("_nb > 1").drop("_nb")
@@ -113,7 +132,7 @@ def running(
     carried = block_carry(laid, keys, outs, backwards).withColumnsRenamed(
         {n: c for c, n in marks.items()}
     )
-    joined = with_broadcast(out, carried, [*keys, BLOCK], "left")
+    joined = join_blocks(out, carried, keys, "left")
     return joined.withColumns(
         {n: _JOIN[outs[n][0]](F.col(n), F.col(c)) for c, n in marks.items()}
     ).drop(*marks)
@@ -163,7 +182,7 @@ def neighbours(
             whole = F.struct(*order, *[F.col(c).alias(f"_v{i}") for i, c in enumerate(side.values())])
             got = running(out, keys, order, {"_row": (agg, whole)}, inclusive=False, backwards=back)
             got = got.withColumns({n: F.col(f"_row._v{i}") for i, n in enumerate(side)}).drop("_row")
-            out = Laid(got, True, laid.parts)
+            out = Laid(got, True)
     return out.df.drop(BLOCK)
 
 
@@ -186,7 +205,7 @@ def average_rank(
         return laid.df.withColumn(name, rank).drop(BLOCK)
     # A run of ties may cross blocks: carry its first place forwards and its last back.
     def scan(df, outs, inclusive=True, backwards=False):
-        return running(Laid(df, True, laid.parts), keys, order, outs, inclusive, backwards)
+        return running(Laid(df, True), keys, order, outs, inclusive, backwards)
 
     v = F.col(value)
     got = scan(laid.df, {"_n": ("sum", F.lit(1).cast("long"))})

@@ -17,7 +17,9 @@ LIMITS = {
     "frontgauge.compare.rows": 8_192,
     # rows of a table that may be broadcast
     "frontgauge.broadcast.rows": 500_000,
-    # points packed into one array cell for nearest-point search
+    # points of one front that one Python call may sweep for a volume
+    "frontgauge.sweep.rows": 200_000,
+    # partners in one block of the nearest-point search
     "frontgauge.site.rows": 1_024,
 }
 

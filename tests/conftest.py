@@ -11,7 +11,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from frontgauge.session import LIMITS, build_session  # noqa: E402
 
-SMALL = {"window.rows": 60, "compare.rows": 60, "broadcast.rows": 40, "site.rows": 16}
+SMALL = {"window.rows": 60, "compare.rows": 60, "broadcast.rows": 40, "site.rows": 16, "sweep.rows": 60}
 
 
 @pytest.fixture(scope="session")

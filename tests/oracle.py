@@ -23,7 +23,7 @@ NAMES = (
 ).split()
 
 
-TIGHT = {"window.rows": 40, "compare.rows": 30, "broadcast.rows": 20, "site.rows": 8}
+TIGHT = {"window.rows": 40, "compare.rows": 30, "broadcast.rows": 20, "site.rows": 8, "sweep.rows": 30}
 
 
 def tighten(spark):
