@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ColumnOrNumber, ratio
 from ..plans.dominance import front_rows
-from ..plans.ordered import BLOCK, in_blocks, running
+from ..plans.ordered import BLOCK, in_blocks, match, running
 from ..plans.segments import by_size, pair_counts
 from .errors import equal_pairs, pairs_no_worse, sum_parts
 from .fronts import top_n
@@ -53,7 +53,7 @@ def hv_retained(
     volume = hv2 if len(true) == 2 else hv3
     got = volume(front_rows(df, keys, pred), keys, true, ref, "hv_pred")
     best = volume(df, keys, true, ref, "hv_true")
-    return best.join(got, keys).withColumn("retained", ratio(F.col("hv_pred"), F.col("hv_true")))
+    return match(best, got, keys).withColumn("retained", ratio(F.col("hv_pred"), F.col("hv_true")))
 
 
 def topk(
@@ -79,7 +79,7 @@ def topk(
     regret = df.groupBy(*keys).agg(
         (F.min_by(y, F.struct(yhat, *id)) - F.min(y)).alias("regret")
     )
-    return recall.join(regret, keys)
+    return match(recall, regret, keys)
 
 
 def anytime(

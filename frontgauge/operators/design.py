@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_number, ratio, uniform
-from ..plans.ordered import join_on, numbered
+from ..plans.ordered import join_on, match, numbered
 
 
 def folds(
@@ -65,4 +65,4 @@ def bootstrap(
         .groupBy(*keys, "rep", "_place")
         .agg(F.count(F.lit(1)).alias("times"))
     )
-    return placed.join(times, [*keys, "_place"]).drop("_place")
+    return match(placed, times, [*keys, "_place"]).drop("_place")

@@ -12,8 +12,8 @@ from ..plans.dominance import distinct_vectors, front_rows, ranked_vectors, weak
 from ..plans.ordered import join_on, neighbours, numbered
 from ..session import settle
 
-# Spark limits such windows within each task before the shuffle up to this size.
-_LIMITED_WINDOW = 1000
+# Up to this size a task keeps only its own first rows before the shuffle.
+_LIMITED_WINDOW = 100
 
 
 def dominance(df: DataFrame, keys: Sequence[str], objs: Sequence[str]) -> DataFrame:

@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ColumnOrNumber, as_col, every, largest, ratio, total
-from ..plans.dominance import distinct_vectors, fields, front_rows, front_vectors, weak_hits
+from ..plans.dominance import fields, front_vectors, weak_hits
 from ..plans.nearest import nearest
-from ..plans.ordered import BLOCK, Laid, group_sizes, in_blocks, join_on, neighbours, running
+from ..plans.ordered import BLOCK, group_sizes, in_blocks, join_on, match, neighbours, running
 from ..plans.segments import per_group, split_groups
 from ..session import limit, settle
 
@@ -179,7 +179,7 @@ def _spread_reference(front: DataFrame, reference: DataFrame, keys: list[str]) -
     pieces = max(shuffles, ceil(reference.count() / limit(spark, "compare.rows")))
     piece = F.pmod(F.xxhash64(*reference.columns), F.lit(pieces)).cast("int")
     groups = groups.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
-    return reference.withColumn("_piece", piece).join(groups, [*shared, "_piece"]).drop("_piece")
+    return match(reference.withColumn("_piece", piece), groups, [*shared, "_piece"]).drop("_piece")
 
 
 def gd(
@@ -191,7 +191,7 @@ def gd(
     shared = [k for k in keys if k in reference.columns]
     got = nearest(front, reference, shared, objs, ["l2", "above"])
     if shared != keys:
-        got = front.select(*keys, *objs).distinct().join(got, [*shared, *objs])
+        got = match(front.select(*keys, *objs).distinct(), got, [*shared, *objs])
     return got.groupBy(*keys).agg(F.avg("l2").alias("gd"), F.avg("above").alias("gd_plus"))
 
 
@@ -223,7 +223,7 @@ def spacing(front: DataFrame, keys: Sequence[str], objs: Sequence[str]) -> DataF
     keys, objs = list(keys), list(objs)
     copies = front.groupBy(*keys, *objs).agg(F.count(F.lit(1)).alias("_c"))
     gaps = nearest(front, front, keys, objs, ["l1"], others=True)
-    rows = gaps.join(copies, [*keys, *objs])
+    rows = match(gaps, copies, [*keys, *objs])
     gap = F.when(F.col("_c") > 1, 0.0).otherwise(F.col("l1"))
     # Weighted moments: each distinct vector stands for its copies.
     n, s = F.sum("_c"), F.sum(F.col("_c") * gap)

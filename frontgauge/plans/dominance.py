@@ -31,6 +31,7 @@ from .ordered import (
     in_blocks,
     join_blocks,
     join_on,
+    match,
     running,
     spread_groups,
 )
@@ -260,8 +261,46 @@ def ranked_vectors(df: DataFrame, keys: Sequence[str], objs: Sequence[str]) -> D
     keys, objs = list(keys), list(objs)
     cols = [*keys, *objs]
     vec = settle(df.select(*cols).distinct())
-    most = limit(df.sparkSession, "compare.rows")
+    # With two objectives ranking a group costs no more than sorting it.
+    most = limit(df.sparkSession, "window.rows" if len(objs) == 2 else "compare.rows")
     total, largest = group_sizes(vec, keys)
+    if largest <= most:
+        return _local_ranks(vec, keys, objs, total)
+    done = []
+    if keys:
+        big = settle(vec.groupBy(*keys).count().where(F.col("count") > most).select(*keys))
+        small = join_on(vec, big, keys, "left_anti")
+        done.append(settle(_local_ranks(small, keys, objs, total)))
+        vec = settle(join_on(vec, big, keys, "left_semi"))
+    # Groups too big for one task: the first `step` fronts at a time, for as many
+    # fronts as one task can hold together.
+    base, step = 0, 64
+    while True:
+        total, largest = group_sizes(vec, keys)
+        if largest <= most:
+            rest = _local_ranks(vec, keys, objs, total)
+            done.append(rest.withColumn("rank", F.col("rank") + base))
+            return _union(done)
+        lead = _leading(vec, keys, objs, step, most)
+        if lead is None and step > 1:
+            step = max(1, step // 8)
+            continue
+        if lead is None:  # not even one front fits
+            top, n = front_vectors(vec, keys, objs).withColumn("rank", F.lit(1).cast("long")), 1
+        else:
+            top, n = _local_ranks(lead, keys, objs, total).where(F.col("rank") <= step), step
+            step *= 2
+        top = settle(top.select(*cols, (F.col("rank") + base).alias("rank")))
+        base += n
+        done.append(top)
+        vec = settle(match(vec, top, cols, "left_anti"))
+        if len(done) >= 32:
+            done = [settle(_union(done))]
+
+
+def _local_ranks(vec: DataFrame, keys: list[str], objs: list[str], total: int) -> DataFrame:
+    """Ranks within each group, or within each block where `keys` includes one."""
+    cols = [c for c in vec.columns if c in keys or c in objs]
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
         v = pdf[objs].to_numpy(float)
@@ -270,28 +309,28 @@ def ranked_vectors(df: DataFrame, keys: Sequence[str], objs: Sequence[str]) -> D
             rank[at] = peel_ranks(v[at])
         return pdf[cols].assign(rank=rank)
 
-    schema = fields(vec, cols) + ", rank long"
-    if largest <= most:
-        return per_group(vec, keys, local, schema, total)
-    # Groups too big for one task: take off one front at a time.
-    big = vec.groupBy(*keys).count().where(F.col("count") > most).drop("count")
-    done = []
-    if keys:
-        big = settle(big)
-        small = join_on(vec, big, keys, "left_anti")
-        done.append(settle(per_group(small, keys, local, schema, total)))
-        left = settle(join_on(vec, big, keys, "left_semi"))
-    else:
-        left = vec
-    rank = 0
-    while not left.isEmpty():
-        rank += 1
-        top = settle(front_vectors(left, keys, objs).withColumn("rank", F.lit(rank).cast("long")))
-        done.append(top.select(*cols, "rank"))
-        left = settle(left.join(top, cols, "left_anti"))
-        if len(done) >= 32:
-            done = [settle(_union(done))]
-    return _union(done)
+    return per_group(vec, keys, local, fields(vec, cols) + ", rank long", total)
+
+
+def _leading(
+    vec: DataFrame, keys: list[str], objs: list[str], step: int, most: int
+) -> DataFrame | None:
+    """Few enough rows per group to hold its first `step` fronts; None if they do not fit.
+
+    A row's rank in a block is never more than in its whole group, so rows
+    beyond `step` in a random block are not among the first `step` fronts. Among
+    the rows kept, ranks up to `step` are those of the whole group.
+    """
+    total, largest = group_sizes(vec, keys)
+    while largest > most:
+        laid = in_blocks(vec.withColumn("_h", F.xxhash64(*objs)), keys, ["_h"], most)
+        ranks = _local_ranks(laid.df, [*keys, BLOCK], objs, total).where(F.col("rank") <= step)
+        vec = settle(ranks.select(*keys, *objs))
+        before = largest
+        total, largest = group_sizes(vec, keys)
+        if largest > most and largest > 0.7 * before:
+            return None
+    return vec
 
 
 def _union(dfs: list[DataFrame]) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from math import ceil
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame

@@ -40,17 +40,10 @@ def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
     return row["rows"] or 0, row["largest"] or 0
 
 
-def join_blocks(
+def match(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"
 ) -> DataFrame:
-    """Join a table with one row per (group, block); NULL keys match each other.
-
-    Broadcast if small; otherwise shuffled by group and block, which no block
-    can clog as its size is bounded.
-    """
-    keys = [*keys, BLOCK]
-    right = settle(right)
-    small = right.count() <= limit(left.sparkSession, "broadcast.rows")
+    """Join on equal keys, NULL matching NULL, so that a group without a name is kept too."""
     # Own names for the right's keys: both sides may come from the same table,
     # and a column reference could then mean either.
     names = {k: f"_right_{i}" for i, k in enumerate(keys)}
@@ -58,7 +51,21 @@ def join_blocks(
     cond = F.lit(True)
     for k, r in names.items():
         cond = cond & F.col(k).eqNullSafe(F.col(r))
-    return left.join(F.broadcast(right) if small else right, cond, how).drop(*names.values())
+    out = left.join(right, cond, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*names.values())
+
+
+def join_blocks(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"
+) -> DataFrame:
+    """Join a table with one row per (group, block).
+
+    Broadcast if small; otherwise shuffled by group and block, which no block
+    can clog as its size is bounded.
+    """
+    right = settle(right)
+    small = right.count() <= limit(left.sparkSession, "broadcast.rows")
+    return match(left, F.broadcast(right) if small else right, [*keys, BLOCK], how)
 
 
 @dataclass
@@ -268,19 +275,20 @@ def join_on(
     """
     keys = list(keys)
     if not keys:  # one row for the whole table
-        return left.join(F.broadcast(right), how=how) if how != "left_semi" else left
+        return left if how == "left_semi" else left.join(F.broadcast(right), how=how)
     spark = left.sparkSession
     right = settle(right)
     if right.count() <= limit(spark, "broadcast.rows"):
-        return left.join(F.broadcast(right), keys, how)
-    heavy = settle(
-        left.groupBy(*keys)
-        .count()
-        .where(F.col("count") > limit(spark, "window.rows"))
-        .select(*keys)
-    )
-    cold = left.join(F.broadcast(heavy), keys, "left_anti").join(right, keys, how)
-    hot = left.join(F.broadcast(heavy), keys, "left_semi").join(
-        F.broadcast(right.join(F.broadcast(heavy), keys, "left_semi")), keys, how
+        return match(left, F.broadcast(right), keys, how)
+    crowded = F.col("count") > limit(spark, "window.rows")
+    heavy = settle(left.groupBy(*keys).count().where(crowded).select(*keys))
+    if heavy.isEmpty():
+        return match(left, right, keys, how)
+    heavy = F.broadcast(heavy)
+    hot = match(
+        match(left, heavy, keys, "left_semi"),
+        F.broadcast(match(right, heavy, keys, "left_semi")),
+        keys,
+        how,
     )
-    return hot.unionByName(cold)
+    return hot.unionByName(match(match(left, heavy, keys, "left_anti"), right, keys, how))
