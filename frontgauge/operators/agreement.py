@@ -102,9 +102,12 @@ def to_target(curve: DataFrame, run: Sequence[str], target: float) -> DataFrame:
 
 def _relation(some: np.ndarray, all_: np.ndarray) -> np.ndarray:
     """1 where a row of `some` dominates one of `all_`, -1 the other way, else 0."""
-    le = (some[:, None, :] <= all_[None, :, :]).all(axis=2)
-    ge = (some[:, None, :] >= all_[None, :, :]).all(axis=2)
-    return le.astype(np.int8) - ge.astype(np.int8)
+    le = np.ones((len(some), len(all_)), dtype=bool)
+    ge = np.ones_like(le)
+    for a, b in zip(some.T, np.ascontiguousarray(all_.T)):
+        le &= a[:, None] <= b[None, :]
+        ge &= a[:, None] >= b[None, :]
+    return le.view(np.int8) - ge.view(np.int8)
 
 
 def pair_order(

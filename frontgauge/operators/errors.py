@@ -111,10 +111,16 @@ def sum_parts(keys: Sequence[str], parts: dict[str, DataFrame]) -> DataFrame:
 
 
 def _order_counts(some: np.ndarray, all_: np.ndarray) -> list[int]:
-    dx = np.sign(some[:, None, 0] - all_[None, :, 0])
-    dy = np.sign(some[:, None, 1] - all_[None, :, 1])
-    both = dx * dy
-    return [int((both > 0).sum()), int((both < 0).sum()), int((dx != 0).sum()), int((dy != 0).sum())]
+    (x, y), (u, v) = some.T, np.ascontiguousarray(all_.T)
+    up_x, up_y = x[:, None] > u[None, :], y[:, None] > v[None, :]
+    down_x, down_y = x[:, None] < u[None, :], y[:, None] < v[None, :]
+    # by symmetry each kind of pair is met once in either direction
+    return [
+        2 * int(np.count_nonzero(up_x & up_y)),
+        2 * int(np.count_nonzero(up_x & down_y)),
+        int(np.count_nonzero(up_x | down_x)),
+        int(np.count_nonzero(up_y | down_y)),
+    ]
 
 
 def kendall(df: DataFrame, keys: Sequence[str], x: str = "y", y: str = "yhat") -> DataFrame:

@@ -51,11 +51,15 @@ def front_mask(v: np.ndarray) -> np.ndarray:
     # A dominator never has a larger sum, and with equal (rounded) sums it comes
     # first column by column, so the first row left is always on the front.
     left = np.lexsort((*v.T[::-1], v.sum(axis=1)))
+    rest = np.ascontiguousarray(v[left].T)
     while left.size:
-        rest = v[left]
-        worse = (rest >= rest[0]).all(axis=1)
-        keep[left[worse & (rest == rest[0]).all(axis=1)]] = True
-        left = left[~worse]
+        worse = np.ones(left.size, dtype=bool)
+        same = np.ones(left.size, dtype=bool)
+        for col in rest:
+            worse &= col >= col[0]
+            same &= col == col[0]
+        keep[left[same]] = True
+        left, rest = left[~worse], rest[:, ~worse]
     return keep
 
 

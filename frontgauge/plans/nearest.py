@@ -35,16 +35,20 @@ _CELLS = 2_000_000
 
 
 def _costs(kind: str, q: np.ndarray, s: np.ndarray) -> np.ndarray:
-    gap = s[None, :, :] - q[:, None, :]
-    if kind == "lift":
-        return gap.max(axis=2)
-    if kind == "l1":
-        return np.abs(gap).sum(axis=2)
-    if kind == "above":
-        gap = np.minimum(gap, 0.0)
-    elif kind == "below":
-        gap = np.maximum(gap, 0.0)
-    return np.sqrt((gap * gap).sum(axis=2))
+    out = np.full((len(q), len(s)), -np.inf if kind == "lift" else 0.0)
+    for a, b in zip(q.T, np.ascontiguousarray(s.T)):
+        gap = b[None, :] - a[:, None]
+        if kind == "lift":
+            np.maximum(out, gap, out=out)
+        elif kind == "l1":
+            out += np.abs(gap)
+        else:
+            if kind == "above":
+                np.minimum(gap, 0.0, out=gap)
+            elif kind == "below":
+                np.maximum(gap, 0.0, out=gap)
+            out += gap * gap
+    return out if kind in ("lift", "l1") else np.sqrt(out, out=out)
 
 
 def _bound(kind: str, q: list[Column], lo: list[Column], hi: list[Column]) -> Column:

@@ -11,13 +11,14 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from frontgauge.session import LIMITS, build_session  # noqa: E402
 
-SMALL = {"window.rows": 60, "compare.rows": 60, "broadcast.rows": 40, "site.rows": 16, "sweep.rows": 60}
+SMALL = {"window.rows": 90, "compare.rows": 70, "broadcast.rows": 40, "site.rows": 16, "sweep.rows": 70}
 
 
 @pytest.fixture(scope="session")
 def spark():
     s = build_session(os.environ.get("TEST_CPUS", "8"), "tests")
     s.sparkContext.setLogLevel("ERROR")
+    s.conf.set("spark.sql.shuffle.partitions", "3")
     yield s
     s.stop()
 
@@ -33,20 +34,11 @@ def room(request, spark):
         spark.conf.unset(k)
 
 
-@pytest.fixture
-def tight(spark):
-    for k, v in SMALL.items():
-        spark.conf.set(f"frontgauge.{k}", str(v))
-    yield
-    for k in LIMITS:
-        spark.conf.unset(k)
-
-
 @pytest.fixture(scope="session")
 def cloud():
     """One group holds most rows; values repeat, and one vector is copied often."""
     rng = np.random.default_rng(3)
-    n = 360
+    n = 300
     pdf = pd.DataFrame(
         {
             "g": rng.choice(["a", "b", "c"], n, p=[0.7, 0.25, 0.05]),
@@ -57,6 +49,6 @@ def cloud():
             "f4": rng.integers(0, 25, n).astype(float),
         }
     )
-    copies = rng.choice(n, 90, replace=False)
+    copies = rng.choice(n, 80, replace=False)
     pdf.loc[copies, ["g", "f1", "f2", "f3", "f4"]] = ["a", 3.0, 2.0, 4.0, 5.0]
     return pdf
