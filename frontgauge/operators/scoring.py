@@ -187,14 +187,18 @@ def fit_knn(
     visits = placed.select("id", "x", "fold").mapInPandas(
         visit, f"id {id_type}, x array<double>, fold {fold_type}, cell long, part long"
     )
+    visits = settle(visits)
     n_parts = F.element_at(F.lit(parts.tolist()), (F.col("cell") + 1).cast("int"))
     sites = placed.withColumn("part", F.pmod(F.xxhash64("id"), n_parts.cast("long")))
     # Split crowds of visitors: a part's rows are copied to each share of them.
-    shares = -(-rows // most)
-    share = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shares).cast("long"))
-    visits = visits.withColumn("share", share)
-    every_share = F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))
-    sites = sites.withColumn("share", F.explode(every_share))
+    spots = visits.groupBy("cell", "part").agg(
+        F.ceil(F.count(F.lit(1)) / most).cast("long").alias("shares")
+    )
+    share = F.pmod(F.xxhash64("id", F.lit(1)), F.col("shares"))
+    visits = join_on(visits, spots, ["cell", "part"]).withColumn("share", share)
+    every_share = F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)
+    sites = join_on(sites, spots, ["cell", "part"]).withColumn("share", F.explode(every_share))
+    visit_rows, _ = group_sizes(visits, [])
     spot = ["cell", "part", "share"]
     cols = ["id", "x", "fold", *spot]
     both = visits.select(*cols, F.lit(None).cast("double").alias("y"), F.lit(False).alias("_site"))
@@ -224,7 +228,7 @@ def fit_knn(
         return pd.concat(out)
 
     found = per_group(
-        both, spot, search, f"id {id_type}, d double, site {id_type}, y double", rows, 4 * most
+        both, spot, search, f"id {id_type}, d double, site {id_type}, y double", visit_rows, 4 * most
     )
     best = settle(top_n(found, ["id"], ["d", "site"], k))
     means = best.groupBy("id").agg(F.avg("y").alias(name))

@@ -16,7 +16,7 @@ per other row.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -38,6 +38,10 @@ from .ordered import (
 from .segments import per_group, split_groups
 
 
+# A group with this share of all rows has many in every Arrow batch.
+_CROWD = 0.01
+
+
 def fields(df: DataFrame, cols: Sequence[str]) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols)
 
@@ -211,6 +215,24 @@ def _block_fronts(
     return per_group(vec, keys, local, fields(vec, cols), total)
 
 
+def _few_vectors(df: DataFrame, cols: Sequence[str], rows: int) -> bool:
+    """Will grouping by these columns leave little before the shuffle?"""
+    different = F.approx_count_distinct(F.xxhash64(*cols), 0.1).alias("n")
+    return df.agg(different).first()["n"] < rows / 20
+
+
+def _thinned(df: DataFrame, keys: Sequence[str], objs: Sequence[str]) -> DataFrame:
+    """Drop rows dominated within their own Arrow batch, before anything is shuffled."""
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            v = b[objs].to_numpy(float)
+            groups = split_groups(b, keys) if keys else [np.arange(len(b))]
+            yield b.iloc[np.concatenate([at[front_mask(v[at])] for at in groups])]
+
+    return df.mapInPandas(local, fields(df, [*keys, *objs]))
+
+
 def front_vectors(df: DataFrame, keys: Sequence[str], objs: Sequence[str]) -> DataFrame:
     """Distinct non-dominated vectors of each group, any number of objectives."""
     keys, objs = list(keys), list(objs)
@@ -218,14 +240,18 @@ def front_vectors(df: DataFrame, keys: Sequence[str], objs: Sequence[str]) -> Da
         return df.groupBy(*keys).agg(F.min(objs[0]).alias(objs[0]))
     if len(objs) == 2:
         return _staircase(df, keys, *objs)
+    cols = [*keys, *objs]
+    most = limit(df.sparkSession, "compare.rows")
+    df = df.select(*cols)
+    rows, largest = group_sizes(df, keys)
+    if largest > most and largest > _CROWD * rows and not _few_vectors(df, [*keys, *objs[1:]], rows):
+        df = _thinned(df, keys, objs)
     # Of rows alike in all but the first objective only the least can be on the
     # front; this is a plain aggregate, combined before the shuffle.
-    cols = [*keys, *objs]
     vec = df.groupBy(*keys, *objs[1:]).agg(F.min(objs[0]).alias(objs[0])).select(*cols)
     if not keys:
         keys, vec = ["_all"], vec.withColumn("_all", F.lit(0))
     vec = settle(vec)
-    most = limit(df.sparkSession, "compare.rows")
     total, largest = group_sizes(vec, keys)
     # Fronts of random blocks, while that thins the big groups out: whatever a
     # block drops is dominated in the whole group too.

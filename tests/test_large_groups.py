@@ -322,3 +322,13 @@ def test_numpy_helpers_agree():
     # sums alike after rounding must not hide a dominator
     v = np.array([[1e16, 1.0], [1e16, 0.0]])
     assert (front_mask(v) == [False, True]).all()
+
+
+def test_front_of_distinct_values_is_thinned_first(spark, room):
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame(rng.random((500, 3)), columns=["f1", "f2", "f3"])
+    pdf = pdf.assign(g=np.where(np.arange(500) % 5 == 0, "b", "a"), id=np.arange(500))
+    objs = ["f1", "f2", "f3"]
+    got = {r.id for r in fronts.front(spark.createDataFrame(pdf), ["g"], objs).collect()}
+    want = by_group(pdf, objs, lambda v, q: set(q.id[brute_front(v)]))
+    assert got == set().union(*want.values())
