@@ -142,7 +142,9 @@ def fit_knn(
     )
     rows, _ = group_sizes(base, [])
     id_type, fold_type = (base.schema[c].dataType.simpleString() for c in ("id", "fold"))
-    n_pivots = max(1, min(_PIVOTS, int(rows**0.5)))
+    # Cells of some hundred rows: smaller ones cost more visits than they save.
+    per_cell = max(1, limit(spark, "site.rows") // 4)
+    n_pivots = max(1, min(_PIVOTS, rows // per_cell))
     picked = base.select("id", "x").orderBy(F.xxhash64("id"), "id").limit(n_pivots).collect()
     pivots = np.array([r["x"] for r in picked])
 
