@@ -5,26 +5,97 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from frontgauge.llm import mixing, sharding
-from frontgauge.llm.common import table
+from frontgauge.llm import (
+    language_id,
+    mixing,
+    near_dedup,
+    packing,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    toxicity,
+    url_filter,
+    vector_join,
+)
+from frontgauge.llm.common import fold_of, table
+
+QUALITY_FOLDS, QUALITY_CUTOFF = 5, 0.3
+TOXIC_FOLDS, TOXIC_CUTOFF = 3, 0.7
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = fold_of(F.col("doc_id"), QUALITY_FOLDS) == 0
+    return quality_classifier.score(
+        table(spark, folder, "documents"), table(spark, folder, "labels"), ~held_out
+    ).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= QUALITY_CUTOFF).cast("int").alias("predicted"),
+    )
+
+
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify(table(spark, folder, "pages"), table(spark, folder, "documents"))
+
+
+def op3_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.classes(table(spark, folder, "documents")).drop("k1", "k2")
+
+
+def op4_vector_join(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_join.join(table(spark, folder, "embeddings"))
+
+
 def op5_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken(table(spark, folder, "documents"))
 
 
+def op6_curve_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
+
+
 def op7_ring_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(table(spark, folder, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = fold_of(F.col("doc_id"), TOXIC_FOLDS) == 1
+    return toxicity.score(
+        table(spark, folder, "documents"), table(spark, folder, "labels"), ~held_out
+    ).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC_CUTOFF).cast("int").alias("predicted"),
+    )
+
+
+def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
+        op1_quality_classifier,
+        op2_language_id,
+        op3_near_dedup,
+        op4_vector_join,
         op5_source_mixing,
+        op6_curve_packing,
         op7_ring_sharding,
+        op8_quality_rules,
+        op9_toxicity,
+        op10_url_filter,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_vector_join": vector_join.ORACLE_SQL}
