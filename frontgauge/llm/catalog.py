@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from frontgauge.llm import (
     language_id,
     mixing,
@@ -98,4 +99,5 @@ QUERIES: dict[str, Query] = {
         op10_url_filter,
     )
 }
+QUERIES["pipeline"] = corpus_pipeline.run
 SQL: dict[str, str] = {"op4_vector_join": vector_join.ORACLE_SQL}
