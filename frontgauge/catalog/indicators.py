@@ -122,7 +122,7 @@ def set_coverage(spark, folder):
     # true objectives of each model's predicted front
     picked = M.front2(I.predictions(spark, folder), ["model", "problem"], "p1", "p2")
     picked = picked.withColumnsRenamed({"t1": "f1", "t2": "f2"})
-    return Q.coverage(picked, _P, "model", _O2, list(I.MODELS))
+    return Q.coverage(picked, _P, "model", _O2)
 
 
 WEIGHTS = [(w / 10, 1 - w / 10) for w in range(0, 11)]

@@ -51,7 +51,10 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def two_sided_p(z: Column) -> Column:
-    """Two-sided normal p-value, Abramowitz and Stegun formula 26.2.17 (error < 7.5e-8)."""
+    """Two-sided normal p-value, Abramowitz and Stegun formula 26.2.17 (error < 7.5e-8).
+
+    NULL where z is NULL.
+    """
     # fixed values of the published formula
     p = 0.2316419
     b = [0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429]
@@ -59,4 +62,4 @@ def two_sided_p(z: Column) -> Column:
     t = F.lit(1.0) / (F.lit(1.0) + F.lit(p) * a)
     poly = reduce(lambda acc, c: (acc + F.lit(c)) * t, reversed(b), F.lit(0.0))
     tail = F.exp(-a * a / 2) / F.lit(2.5066282746310002) * poly
-    return F.least(F.lit(1.0), 2 * tail)
+    return F.when(z.isNotNull(), F.least(F.lit(1.0), 2 * tail))

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import permutations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio, two_sided_p
 from ..plans.ordered import BLOCK, in_blocks, join_on, running, tally_quantiles
+from ..session import settle
 
 
 def summary(
@@ -18,6 +18,7 @@ def summary(
     """n, mean, deviation, median and interquartile range at several levels.
 
     `levels` names the columns each level groups by; the others are NULL there.
+    Undefined (NULL) values do not count; a group of nothing else stays, with n 0.
     """
     cols = list(dict.fromkeys(c for by in levels.values() for c in by))
     pieces = []
@@ -26,10 +27,10 @@ def summary(
         pieces.append(F.struct(F.lit(name).alias("level"), *[k.alias(c) for k, c in zip(kept, cols)]))
     keys = ["level", *cols]
     # Values are combined before they are copied to the levels.
-    tally = metrics.groupBy(*cols, value).agg(F.count(F.lit(1)).alias("_c"))
+    tally = settle(metrics.groupBy(*cols, value).agg(F.count(value).alias("_c")))
     rows = tally.select(F.explode(F.array(*pieces)).alias("_l"), value, "_c").select("_l.*", value, "_c")
     n, s = F.sum("_c"), F.sum(F.col("_c") * F.col(value))
-    base = rows.groupBy(*keys).agg(n.alias("n"), (s / n).alias("mean"))
+    base = rows.groupBy(*keys).agg(n.alias("n"), ratio(s, n).alias("mean"))
     # Group columns hold NULLs, which joins do not match: go by a filled copy.
     mark = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in keys])
     rows, base = rows.withColumn("_g", mark), base.withColumn("_g", mark)
@@ -41,7 +42,7 @@ def summary(
     )
     values = rows.where(F.col(value).isNotNull()).groupBy("_g", value).agg(F.sum("_c").alias("_c"))
     qs = tally_quantiles(values, ["_g"], value, {"median": 0.5, "_q1": 0.25, "_q3": 0.75})
-    return base.join(spread, "_g").join(qs, "_g").select(
+    return base.join(spread, "_g", "left").join(qs, "_g", "left").select(
         *keys,
         "n",
         "mean",
@@ -61,10 +62,12 @@ def leaderboard(
 def friedman(metrics: DataFrame, problem: str, model: str, value: str) -> DataFrame:
     """Mean rank per model over problems that have all models, with the chi-square statistic.
 
-    Smaller values rank first, ties share the mean rank.
+    Smaller values rank first, ties share the mean rank. A problem where a model's value
+    is undefined (NULL) lacks that model.
     """
-    one = metrics.groupBy(problem, model).agg(F.avg(value).alias("_v"))
-    k = one.select(F.count_distinct(model).alias("models"))
+    every = metrics.groupBy(problem, model).agg(F.avg(value).alias("_v"))
+    k = every.select(F.count_distinct(model).alias("models"))
+    one = every.where(F.col("_v").isNotNull())
     # From here a problem holds at most one row per model.
     per_problem = Window.partitionBy(problem)
     ties = Window.partitionBy(problem, "_v")
@@ -82,31 +85,27 @@ def friedman(metrics: DataFrame, problem: str, model: str, value: str) -> DataFr
 
 
 def wtl(
-    metrics: DataFrame,
-    problem: Sequence[str],
-    model: str,
-    value: str,
-    models: Sequence[str],
-    tol: float = 0.0,
+    metrics: DataFrame, problem: Sequence[str], model: str, value: str, tol: float = 0.0
 ) -> DataFrame:
     """Wins, ties and losses of a against b over shared problems; smaller wins by more than tol.
 
-    Models become columns, so a problem stays one row however many pairs there are.
+    All models of the data are compared; pairs that share no problem have no row, and an
+    undefined (NULL) value takes its model out of that problem. A problem holds one
+    value per model, and its pairs are summed up before they are shuffled.
     """
-    wide = metrics.groupBy(*problem).pivot(model, list(models)).agg(F.avg(value))
-    cells = []
-    for a, b in permutations(models, 2):
-        d = F.col(f"`{a}`") - F.col(f"`{b}`")
-        cells.append(
-            F.struct(
-                F.lit(a).alias("a"),
-                F.lit(b).alias("b"),
-                F.count_if(d < -tol).alias("wins"),
-                F.count_if(F.abs(d) <= tol).alias("ties"),
-                F.count_if(d > tol).alias("losses"),
-            )
+    one = metrics.groupBy(*problem, model).agg(F.avg(value).alias("_v")).where(F.col("_v").isNotNull())
+    held = one.groupBy(*problem).agg(F.collect_list(F.struct(F.col(model).alias("m"), "_v")).alias("_m"))
+    pairs = held.select(F.explode("_m").alias("_a"), "_m").select("_a", F.explode("_m").alias("_b"))
+    d = F.col("_a._v") - F.col("_b._v")
+    return (
+        pairs.where(F.col("_a.m") != F.col("_b.m"))
+        .groupBy(F.col("_a.m").alias("a"), F.col("_b.m").alias("b"))
+        .agg(
+            F.count_if(d < -tol).alias("wins"),
+            F.count_if(F.abs(d) <= tol).alias("ties"),
+            F.count_if(d > tol).alias("losses"),
         )
-    return wide.agg(F.array(*cells).alias("_c")).select(F.inline("_c"))
+    )
 
 
 def _ranked_tally(tally: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -117,12 +116,15 @@ def _ranked_tally(tally: DataFrame, keys: Sequence[str], value: str) -> DataFram
 
 
 def wilcoxon(df: DataFrame, keys: Sequence[str], diff: str) -> DataFrame:
-    """Signed-rank sums over non-zero differences, with the normal z and two-sided p."""
+    """Signed-rank sums over non-zero differences, with the normal z and two-sided p.
+
+    A group without any non-zero difference stays, with n 0, sums of 0 and z, p NULL.
+    """
     keys = list(keys)
     d = F.col(diff)
-    size = df.where(d != 0).groupBy(*keys, F.abs(d).alias("_a"))
+    size = df.groupBy(*keys, F.abs(d).alias("_a"))
     tally = size.agg(
-        F.count(F.lit(1)).alias("_c"), F.count_if(d > 0).alias("_up"), F.count_if(d < 0).alias("_down")
+        F.count_if(d != 0).alias("_c"), F.count_if(d > 0).alias("_up"), F.count_if(d < 0).alias("_down")
     )
     got = _ranked_tally(tally, keys, "_a").groupBy(*keys).agg(
         F.sum("_c").alias("n"),
@@ -139,11 +141,15 @@ def wilcoxon(df: DataFrame, keys: Sequence[str], diff: str) -> DataFrame:
 def a12(
     df: DataFrame, keys: Sequence[str], label: str, value: str, a: str, b: str
 ) -> DataFrame:
-    """Mann-Whitney U of label a against b and A12 = U / (n_a n_b), with z and two-sided p."""
+    """Mann-Whitney U of label a against b and A12 = U / (n_a n_b), with z and two-sided p.
+
+    Undefined (NULL) values do not count. Where a side is empty a12, z and p are NULL.
+    """
     keys = list(keys)
     is_a, is_b = F.col(label) == a, F.col(label) == b
+    told = F.col(value).isNotNull()
     tally = df.where(is_a | is_b).groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("_c"), F.count_if(is_a).alias("_a")
+        F.count(value).alias("_c"), F.count_if(is_a & told).alias("_a")
     )
     got = _ranked_tally(tally, keys, value).groupBy(*keys).agg(
         F.sum("_a").alias("n_a"),
@@ -166,11 +172,16 @@ def a12(
 
 
 def holm(df: DataFrame, keys: Sequence[str], p: str, id: Sequence[str]) -> DataFrame:
-    """Add `p_holm`: the running maximum of (m - i + 1) p(i), at most 1."""
+    """Add `p_holm`: the running maximum of (m - i + 1) p(i), at most 1.
+
+    An undefined (NULL) p counts for nothing and has p_holm NULL.
+    """
     keys, order = list(keys), [p, *id]
-    m = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
+    df, told = settle(df), F.col(p).isNotNull()
+    m = df.groupBy(*keys).agg(F.count(p).alias("_m"))
     laid = in_blocks(join_on(df, m, keys), keys, order)
-    got = running(laid, keys, order, {"_i": ("sum", F.lit(1).cast("long"))})
-    raised = F.least(F.lit(1.0), (F.col("_m") - F.col("_i") + 1) * F.col(p))
+    got = running(laid, keys, order, {"_i": ("sum", told.cast("long"))})
+    raised = F.when(told, F.least(F.lit(1.0), (F.col("_m") - F.col("_i") + 1) * F.col(p)))
     laid.df = got
-    return running(laid, keys, order, {"p_holm": ("max", raised)}).drop(BLOCK, "_m", "_i")
+    out = running(laid, keys, order, {"_h": ("max", raised)})
+    return out.withColumn("p_holm", F.when(told, F.col("_h"))).drop(BLOCK, "_m", "_i", "_h")

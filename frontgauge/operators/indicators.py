@@ -238,14 +238,17 @@ def spacing(front: DataFrame, keys: Sequence[str], objs: Sequence[str]) -> DataF
 
 
 def coverage(
-    fronts: DataFrame, keys: Sequence[str], label: str, objs: Sequence[str], labels: Sequence[str]
+    fronts: DataFrame, keys: Sequence[str], label: str, objs: Sequence[str]
 ) -> DataFrame:
-    """C(A, B): share of B's distinct points some point of A is no worse than, for all A <> B."""
+    """C(A, B): share of B's distinct points some point of A is no worse than, for all A <> B.
+
+    A and B are all labels that the data hold within the keys.
+    """
     keys, objs = list(keys), list(objs)
-    vec = fronts.select(*keys, label, *objs).distinct()
-    names = F.array(*[F.lit(x) for x in labels])
-    other = F.explode(F.filter(names, lambda x: x != F.col(label)))
-    rows = vec.withColumn("_other", other)
+    vec = settle(fronts.select(*keys, label, *objs).distinct())
+    sets = vec.groupBy(*keys).agg(F.collect_set(label).alias("_labels"))
+    other = F.explode(F.filter("_labels", lambda x: x != F.col(label)))
+    rows = join_on(vec, sets, keys).withColumn("_other", other).drop("_labels")
     as_source = rows.select(
         *keys, F.col(label).alias("a"), F.col("_other").alias("b"), *objs, F.lit(True).alias("_src")
     )

@@ -30,8 +30,15 @@ def score_mlp(df: DataFrame, x: str, layers: Sequence[Layer], name: str = "yhat"
     """Forward pass: dense layers with ReLU between, linear at the end; `name` is an array.
 
     Each layer is (weights by output unit, biases). All JVM-side; for networks
-    too large to write as literals use score_with.
+    too large to write as literals use score_with. An input that is NULL, holds a NULL
+    or has not the first layer's width gives NULL.
+
+    A layer reads the one before through a lambda variable, so each is computed once.
     """
+    known = F.lit(True)
+    if layers:
+        width = len(layers[0][0][0])
+        known = (F.size(x) == width) & F.forall(x, lambda v: v.isNotNull())
     h = F.col(x)
     for i, (weights, biases) in enumerate(layers):
         if len(weights) != len(biases):
@@ -44,11 +51,12 @@ def score_mlp(df: DataFrame, x: str, layers: Sequence[Layer], name: str = "yhat"
             )
             + ")"
         )
-        last = i == len(layers) - 1
-        out = f"_h{i}" if not last else name
-        df = df.withColumn(out, F.transform(units, _unit(h, last)))
-        h = F.col(out)
-    return df.drop(*[f"_h{i}" for i in range(len(layers) - 1)])
+        h = _layer(h, units, i == len(layers) - 1)
+    return df.withColumn(name, F.when(known, h))
+
+
+def _layer(h: Column, units: Column, last: bool) -> Column:
+    return F.transform(F.array(h), lambda bound: F.transform(units, _unit(bound, last)))[0]
 
 
 def _unit(h: Column, linear: bool) -> Callable[[Column], Column]:

@@ -134,7 +134,7 @@ def test_coverage_includes_equal_points(spark):
     df = points(spark, [(1, 1), (2, 2)]).withColumn("m", F.lit("a")).unionByName(
         points(spark, [(2, 2), (0, 5)]).withColumn("m", F.lit("b"))
     )
-    got = {(r.a, r.b): r.coverage for r in indicators.coverage(df, ["g"], "m", ["f1", "f2"], ["a", "b"]).collect()}
+    got = {(r.a, r.b): r.coverage for r in indicators.coverage(df, ["g"], "m", ["f1", "f2"]).collect()}
     assert got == {("a", "b"): 0.5, ("b", "a"): 0.5}
 
 
@@ -298,10 +298,66 @@ def test_friedman_skips_incomplete_problems(spark):
 def test_wins_with_tolerance(spark):
     rows = [("p1", "a", 1.0), ("p1", "b", 1.05), ("p2", "a", 3.0), ("p2", "b", 1.0), ("p3", "a", 1.0)]
     df = spark.createDataFrame(rows, "p string, m string, v double")
-    got = {(r.a, r.b): (r.wins, r.ties, r.losses) for r in compare.wtl(df, ["p"], "m", "v", ["a", "b"], 0.1).collect()}
+    got = {(r.a, r.b): (r.wins, r.ties, r.losses) for r in compare.wtl(df, ["p"], "m", "v", 0.1).collect()}
     assert got == {("a", "b"): (0, 1, 1), ("b", "a"): (1, 1, 0)}
 
 
+def test_undefined_metrics_do_not_count(spark):
+    rows = [("p1", "a", 1.0), ("p1", "a", None), ("p1", "b", 3.0), ("p2", "a", None), ("p2", "b", 2.0),
+            ("p3", "a", None)]
+    df = spark.createDataFrame(rows, "p string, m string, v double")
+    got = {(r.level, r.p, r.m): (r.n, r["mean"]) for r in compare.summary(df, {"p": ["p"], "m": ["m"]}, "v").collect()}
+    assert got == {("p", "p1", None): (2, 2.0), ("p", "p2", None): (1, 2.0), ("p", "p3", None): (0, None),
+                   ("m", None, "a"): (1, 1.0), ("m", None, "b"): (2, 2.5)}
+    ranks = {r.m: (r.problems, r.mean_rank) for r in compare.friedman(df, "p", "m", "v").collect()}
+    assert ranks == {"a": (1, 1.0), "b": (1, 2.0)}
+    wins = {(r.a, r.b): (r.wins, r.ties, r.losses) for r in compare.wtl(df, ["p"], "m", "v").collect()}
+    assert wins == {("a", "b"): (1, 0, 0), ("b", "a"): (0, 0, 1)}
+
+
+def test_wilcoxon_keeps_groups_without_a_difference(spark):
+    rows = [("g", 0.0), ("g", None), ("h", None), ("k", 1.0), ("k", 0.0)]
+    df = spark.createDataFrame(rows, "g string, d double")
+    got = {r.g: (r.n, r.w_plus, r.w_minus, r.z is None, r.p is None) for r in compare.wilcoxon(df, ["g"], "d").collect()}
+    assert got == {"g": (0, 0.0, 0.0, True, True), "h": (0, 0.0, 0.0, True, True), "k": (1, 1.0, 0.0, False, False)}
+
+
+def test_a12_without_values_or_spread(spark):
+    rows = [("g", "a", 1.0), ("g", "a", None), ("g", "b", 2.0), ("t", "a", 1.0), ("t", "b", 1.0),
+            ("e", "a", None), ("e", "b", 1.0)]
+    df = spark.createDataFrame(rows, "g string, m string, v double")
+    got = {r.g: (r.n_a, r.n_b, r.u, r.a12, r.p is None) for r in compare.a12(df, ["g"], "m", "v", "a", "b").collect()}
+    assert got == {"g": (1, 1, 0.0, 0.0, False), "t": (1, 1, 0.5, 0.5, True), "e": (0, 1, 0.0, None, True)}
+
+
+def test_holm_leaves_out_undefined(spark):
+    df = spark.createDataFrame([(1, 0.01), (2, None), (3, 0.02)], "id long, p double")
+    assert {r.id: r.p_holm for r in compare.holm(df, [], "p", ["id"]).collect()} == {1: 0.02, 2: None, 3: 0.02}
+
+
+def test_mlp_without_a_usable_input(spark):
+    net = [([[1.0, -1.0], [0.5, 0.5]], [0.0, 0.1]), ([[1.0, 1.0]], [0.1])]
+    df = spark.createDataFrame([(1, None), (2, [1.0]), (3, [1.0, None]), (4, [1.0, 2.0])], "id long, x array<double>")
+    got = {r.id: r.yhat for r in scoring.score_mlp(df, "x", net).collect()}
+    assert got[1] is None and got[2] is None and got[3] is None and got[4] == pytest.approx([1.7])
+
+
+def test_mlp_cost_adds_up_over_layers(spark):
+    layer = ([[0.1] * 16 for _ in range(16)], [0.0] * 16)
+    df = spark.createDataFrame([(1, [1.0] * 16)], "id long, x array<double>")
+    sizes = [
+        len(scoring.score_mlp(df, "x", [layer] * n)._jdf.queryExecution().executedPlan().toString()) for n in (3, 6)
+    ]
+    assert sizes[1] < 2.5 * sizes[0]
+
+
+def test_coverage_of_all_labels_in_the_data(spark):
+    df = spark.createDataFrame([("g", "a", 1.0, 1.0), ("g", "b", 2.0, 2.0), ("g", "c", 3.0, 3.0)],
+                               "g string, m string, f1 double, f2 double")
+    got = {(r.a, r.b): r.coverage for r in indicators.coverage(df, ["g"], "m", ["f1", "f2"]).collect()}
+    assert got == {("a", "b"): 1.0, ("a", "c"): 1.0, ("b", "c"): 1.0, ("b", "a"): 0.0, ("c", "a"): 0.0, ("c", "b"): 0.0}
+
+
 def test_empty_input(spark):
     df = points(spark, [(1, 1)]).where("false")
     objs = ["f1", "f2"]

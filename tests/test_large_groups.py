@@ -183,7 +183,7 @@ def test_spacing_counts_copies(spark, room, cloud):
 def test_coverage(spark, room, cloud):
     df = spark.createDataFrame(cloud.assign(p="one"))
     for objs in (["f1", "f2"], ["f1", "f2", "f3"]):
-        got = indicators.coverage(df, ["p"], "g", objs, ["a", "b", "c"]).collect()
+        got = indicators.coverage(df, ["p"], "g", objs).collect()
         assert len(got) == 6
         for r in got:
             a = cloud[cloud.g == r.a][objs].drop_duplicates().to_numpy()
