@@ -7,9 +7,10 @@ letter may be one letter. Viterbi decoding picks the path that is likeliest unde
 character trigram model (counted over all documents) and the costs of the channel. Runs
 of plain letters have one path, themselves, and are not decoded.
 
-The score reads the restored words. Words that stand out in toxic documents of a
-bounded labelled sample get a weight, their shrunk log-odds; a document's score is a
-logistic function of the weights of the different words it holds.
+The score reads the restored words. Words that stand out in toxic documents of a bounded
+labelled sample get a weight, their shrunk log-odds; evidence must pass a likelihood-ratio
+test corrected for the number of words, on texts of which near copies count once. A
+document's score is a logistic function of the weights of the different words it holds.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,10 +50,10 @@ BREAK, OTHER, CLASSES = 26, 27, 28
 LONGEST_RUN = 64
 # Labelled documents to learn words from, on average.
 SAMPLE = 40_000
-# A word needs this many toxic documents, and this many standard errors, for a weight.
-LEAST_DOCUMENTS = 3
-LEAST_ERRORS = 3.5
-LEAST_ODDS = 1.5
+# Log-odds that a word needs for a weight, and the expected number of words that pass
+# the test by chance.
+LEAST_ODDS = 3.0
+CHANCE = 0.5
 
 _CLASS = np.full(256, OTHER, dtype=np.int64)
 for _i, _c in enumerate(LETTERS):
@@ -179,6 +181,15 @@ class Decoder:
         )
 
 
+def sketch(text: str, salt: int) -> int:
+    """A min-hash of the text's words in threes; near copies mostly share it."""
+    w = text.split()
+    if len(w) < 3:
+        return xxhash.xxh64_intdigest(text, salt) >> 1
+    threes = zip(w, w[1:], w[2:])
+    return min(xxhash.xxh64_intdigest(" ".join(t), salt) for t in threes) >> 1
+
+
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _EDGE = ".,;:!?\"'()"
 # a letter next to, or parted from another by, a lookalike or a mark
@@ -193,54 +204,76 @@ def fit(
 ) -> tuple[dict[str, float], float]:
     """(weight per word, log-odds of a text without any of them) from labelled documents.
 
-    Words of every sampled document are counted once; only words that pass the evidence
-    bounds reach the driver. Without labels of both kinds: no words, odds of one to one.
+    Words of every sampled document are counted once; only those that pass the tests
+    reach the driver. Without labels of both kinds: no words, odds of one to one.
     """
-    part = settle(labelled_sample(docs, labels, "toxic", learn, sample))
+    part = labelled_sample(docs, labels, "toxic", learn, sample)
+    for salt in (1, 2):
+        sketched = F.arrow_udf(_sketcher(salt), "long")
+        part = part.withColumn("_s", sketched("text")).dropDuplicates(["_s", "label"]).drop("_s")
+    part = settle(part)
     n, bad = part.agg(F.count("*"), F.sum("label")).first()
     bad = bad or 0
     if not bad or bad == n:
         return {}, 0.0
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def words(batches):
+    def count(batches):
         decoder = Decoder(shared.value)
         for batch in batches:
-            counts: Counter = Counter()
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-                counts.update((w, toxic) for w in decoder.words(text))
-            keys = list(counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()),
-                 pa.array([counts[k] for k in keys], pa.int64())],
-                names=["word", "toxic", "n"],
-            )
-
-    good = n - bad
-    toxic_n = F.coalesce(F.sum(F.when(F.col("toxic") == 1, F.col("n"))), F.lit(0))
-    clean_n = F.coalesce(F.sum(F.when(F.col("toxic") == 0, F.col("n"))), F.lit(0))
-    odds = F.log(((F.col("t") + 0.5) / F.lit(bad + 1.0)) / ((F.col("c") + 0.5) / F.lit(good + 1.0)))
-    errors = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
+            for i in range(0, batch.num_rows, 200):
+                counts: Counter = Counter()
+                few = batch.slice(i, 200)
+                for text, toxic in zip(few.column("text").to_pylist(), few.column("label").to_pylist()):
+                    counts.update((w, toxic) for w in decoder.words(text))
+                keys = list(counts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k[0] for k in keys], pa.string()),
+                     pa.array([k[1] for k in keys], pa.int32()),
+                     pa.array([counts[k] for k in keys], pa.int64())],
+                    names=["word", "toxic", "n"],
+                )
+
+    def side(toxic: int) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("toxic") == toxic, F.col("n"))), F.lit(0))
+
+    base, t, c = bad / n, F.col("t"), F.col("c")
+
+    def part_of(k: Column, share: float) -> Column:
+        return F.when(k > 0, k * F.log(k / ((t + c) * share))).otherwise(0.0)
+
+    odds = F.log(((t + 0.5) / (bad + 1.0)) / ((c + 0.5) / (n - bad + 1.0)))
+    counted = settle(
+        part.repartition("doc_id").mapInArrow(count, "word string, toxic int, n long")
+        .groupBy("word").agg(side(1).alias("t"), side(0).alias("c"))
+    )
+    # a likelihood ratio G has a tail of about exp(-G / 2)
+    least = 2.0 * math.log(max(1.0, counted.where("t + c > 1").count() / CHANCE))
     found = (
-        part.repartition(F.col("doc_id")).mapInArrow(words, "word string, toxic int, n long")
-        .groupBy("word").agg(toxic_n.alias("t"), clean_n.alias("c"))
-        .withColumns({"odds": odds, "errors": errors})
-        .where((F.col("t") >= LEAST_DOCUMENTS) & (F.col("odds") >= LEAST_ODDS)
-               & (F.col("odds") >= LEAST_ERRORS * F.col("errors")))
-        .select("word", F.round(F.col("odds") - F.col("errors"), 6))
+        counted.withColumns({"odds": odds, "g": 2 * (part_of(t, base) + part_of(c, 1 - base))})
+        .where((F.col("odds") >= LEAST_ODDS) & (F.col("g") >= least))
+        .select("word", F.round("odds", 6))
         .collect()
     )
     weights = dict(tuple(r) for r in found)
     listed = docs.sparkSession.sparkContext.broadcast(weights)
 
-    def clear(texts: pa.Array) -> pa.Array:
-        decoder = Decoder(shared.value)
-        return pa.array([not (decoder.words(t) & listed.value.keys()) for t in texts.to_pylist()], pa.bool_())
+    def clear(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        decoder, known = Decoder(shared.value), {}
+        for batch in texts:
+            yield pa.array([not hits(decoder, known, listed.value, t) for t in batch.to_pylist()], pa.bool_())
 
     none = part.where(F.arrow_udf(clear, "boolean")("text")).agg(F.count("*"), F.sum("label")).first()
     return weights, math.log(((none[1] or 0) + 0.5) / (none[0] - (none[1] or 0) + 0.5))
 
 
+def _sketcher(salt: int):
+    def sketches(texts: pa.Array) -> pa.Array:
+        return pa.array([sketch(t, salt) for t in texts.to_pylist()], pa.int64())
+
+    return sketches
+
+
 def score(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, score) for every row of `docs`, over its whole text.
 
@@ -265,22 +298,23 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
     return docs.select("doc_id", F.arrow_udf(judge, "double")(F.coalesce("text", F.lit(""))).alias("score"))
 
 
-def hits(decoder: Decoder, known: dict, weights: dict[str, float], text: str) -> set[str]:
-    """Weighted words among the restored words of a text; `known` remembers tokens."""
+def hits(decoder: Decoder, known: dict, weights: dict[str, float], text: str) -> set[tuple[float, str]]:
+    """(weight, word) of the weighted words of a restored text; `known` remembers tokens."""
     if len(known) > 300_000:
         known.clear()
     low, found = text.lower(), set()
     for token in set(low.split()):
-        words = known.get(token)
-        if words is None:
-            words = known[token] = tuple(w for w in decoder.token(token) if w in weights)
-        if words:
-            found.update(words)
+        held = known.get(token)
+        if held is None:
+            held = known[token] = tuple((weights[w], w) for w in decoder.token(token) if w in weights)
+        if held:
+            found.update(held)
     for run in _SPACED.findall(low):
-        found.update(w for w in _WORDS(decoder.decode(" ".join(run.split()))) if w in weights)
-    return {(w, weights[w]) for w in found}
+        restored = _WORDS(decoder.decode(" ".join(run.split())))
+        found.update((weights[w], w) for w in restored if w in weights)
+    return found
 
 
-def _probability(odds: float, found: set[tuple[str, float]]) -> float:
-    z = odds + sum(sorted(w for _, w in found))
+def _probability(odds: float, found: set[tuple[float, str]]) -> float:
+    z = odds + sum(sorted(w for w, _ in found))
     return 1.0 / (1.0 + math.exp(-max(-35.0, min(35.0, z))))
