@@ -9,16 +9,19 @@ from pyspark.sql import types as T
 
 from ..functions.columns import uniform
 from ..session import use_checkpoint_dir
-from ..sources.tables import TABLES
+from ..sources.tables import TABLES, load
 from ..streaming.archive import FrontArchive
 from ..streaming.monitor import error_monitor
 from . import inputs as I
 from .registry import query
 
+BATCHES = 4
+
 
 def _stream(spark, folder, name):
     schema = T._parse_datatype_string(TABLES[name])
-    return spark.readStream.schema(schema).parquet(f"{folder.rstrip('/')}/{name}*.parquet")
+    # a stream reads a pattern; this one matches the table alone
+    return spark.readStream.schema(schema).parquet(f"{folder.rstrip('/')}/{name}[.]parquet")
 
 
 def _work(spark, name):
@@ -43,38 +46,41 @@ def window_errors(spark, folder):
     return got.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query(
-    f"""SELECT * REPLACE (window_start::TIMESTAMP AS window_start) FROM ({_WINDOWS})
-    WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
-    ["mean_error", "rmse"],
-)
+@query(f"SELECT * REPLACE (window_start::TIMESTAMP AS window_start) FROM ({_WINDOWS})", ["mean_error", "rmse"])
 def window_errors_stream(spark, folder):
-    """The monitor over a stream: windows the watermark has closed."""
+    """The monitor over a stream: every window as its last update left it."""
     got = error_monitor(_errors(_stream(spark, folder, "events")), ["event_type"], "ts", "e")
     work = _work(spark, "windows")
+
+    def keep(batch, batch_id):
+        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{work}/rows/batch-{batch_id}")
+
     run = (
-        got.writeStream.format("parquet")
+        got.writeStream.foreachBatch(keep)
         .option("checkpointLocation", f"{work}/state")
-        .option("path", f"{work}/rows")
-        .outputMode("append")
+        .outputMode("update")
         .trigger(availableNow=True)
         .start()
     )
     run.awaitTermination()
-    done = spark.read.schema(got.schema).parquet(f"{work}/rows")
+    updates = spark.read.parquet(f"{work}/rows/*")
+    last = F.max_by(F.struct("n", "mean_error", "rmse"), "batch").alias("_l")
+    done = updates.groupBy("window_start", "event_type").agg(last).select("window_start", "event_type", "_l.*")
     return done.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query(f"WITH {I.PARTS}, {I.FRONT2} SELECT * FROM front2")
 def front_archive_stream(spark, folder):
-    """Candidates arrive as a stream; the archive must end as the front of all."""
-    rows = _stream(spark, folder, "part").select(
+    """Candidates arrive in several micro-batches; the archive must end as the front of all."""
+    work = _work(spark, "archive")
+    rows = load(spark, folder, "part").select(
         F.col("p_brand").alias("problem"),
         F.col("p_partkey").alias("id"),
         F.col("p_retailprice").alias("f1"),
         (-F.col("p_size").cast("double")).alias("f2"),
     )
-    work = _work(spark, "archive")
+    rows.repartition(BATCHES, "id").write.parquet(f"{work}/arrivals")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/arrivals")
     archive = FrontArchive(f"{work}/front", ["problem"], ["f1", "f2"])
-    archive.attach(rows, f"{work}/state").trigger(availableNow=True).start().awaitTermination()
+    archive.attach(stream, f"{work}/state").trigger(availableNow=True).start().awaitTermination()
     return archive.read(spark)

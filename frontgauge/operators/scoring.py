@@ -10,16 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.ordered import group_sizes, join_on
-from ..plans.segments import per_group, split_groups
-from ..session import limit, settle
-from .fronts import top_n
+from ..functions.columns import hash_number
+from ..plans.ordered import join_on
 
 Layer = tuple[Sequence[Sequence[float]], Sequence[float]]
 
-# Cells of the nearest-neighbour search. Fixed, so that what is known about all
-# cells stays small enough for every task.
-_PIVOTS = 512
+# Rows that the nearest-neighbour baseline is fitted on at most, and the bytes that
+# their features may take in every task.
+KNN_SITES = 20_000
+KNN_BYTES = 200_000_000
 
 
 def _numbers(values: Sequence[float]) -> str:
@@ -131,115 +130,55 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def fit_knn(
-    df: DataFrame, id: str, x: str, y: str, fold: str, k: int, name: str = "yhat"
+    df: DataFrame,
+    id: str,
+    x: str,
+    y: str,
+    fold: str,
+    k: int,
+    name: str = "yhat",
+    most_sites: int = KNN_SITES,
 ) -> DataFrame:
     """(id, yhat): mean target of the k nearest rows of other folds, ties by id.
 
-    Rows belong to the cell of their nearest pivot. By the triangle inequality
-    a row only needs the cells that could still hold one of its k nearest, so
-    whole cells are passed over; the answer is exact.
+    The baseline is fitted on `most_sites` rows at most, those of the lowest hash of
+    their id; every row is scored. Fitted rows are sent to every task, after a check of
+    their bytes. A row without a fold is scored with the rows of all folds, and a row
+    with NULL features, or no row to learn from, has NULL.
     """
-    spark = df.sparkSession
-    base = settle(
-        df.select(
-            F.col(id).alias("id"),
-            F.col(x).cast("array<double>").alias("x"),
-            F.col(y).cast("double").alias("y"),
-            F.col(fold).alias("fold"),
-        )
-    )
-    rows, _ = group_sizes(base, [])
-    id_type, fold_type = (base.schema[c].dataType.simpleString() for c in ("id", "fold"))
-    # Cells of some hundred rows: smaller ones cost more visits than they save.
-    per_cell = max(1, limit(spark, "site.rows") // 4)
-    n_pivots = max(1, min(_PIVOTS, rows // per_cell))
-    picked = base.select("id", "x").orderBy(F.xxhash64("id"), "id").limit(n_pivots).collect()
-    pivots = np.array([r["x"] for r in picked])
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            d = _distances(_to_matrix(b["x"]), pivots)
-            yield b.assign(cell=d.argmin(axis=1), reach=d.min(axis=1))
-
-    schema = f"id {id_type}, x array<double>, y double, fold {fold_type}"
-    placed = settle(base.mapInPandas(place, schema + ", cell long, reach double"))
-    most = limit(spark, "compare.rows")
-    known = (  # at most pivots x folds rows
-        placed.groupBy("cell", "fold")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("reach"))
-        .toPandas()
+    base = df.select(
+        F.col(id).alias("id"),
+        F.col(x).cast("array<double>").alias("x"),
+        F.col(y).cast("double").alias("y"),
+        F.col(fold).alias("fold"),
     )
-    # Cells too big for one task are cut into parts.
-    parts = np.ones(n_pivots, dtype=np.int64)
-    for cell, n in known.groupby("cell")["n"].sum().items():
-        parts[cell] = -(-n // most)
-
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for f, q in b.groupby("fold"):
-                other = known[known["fold"] != f].groupby("cell")
-                n, reach = other["n"].sum(), other["reach"].max()
-                if n.empty:
-                    continue
-                cell = n.index.to_numpy()
-                d = _distances(_to_matrix(q["x"]), pivots[cell])
-                far, near = d + reach.to_numpy(), d - reach.to_numpy()
-                order = np.argsort(far, axis=1)
-                held = np.cumsum(n.to_numpy()[order], axis=1)
-                at = np.minimum((held < k).sum(axis=1), len(cell) - 1)
-                enough = np.take_along_axis(far, order, axis=1)[np.arange(len(q)), at]
-                i, j = np.nonzero(near <= enough[:, None] * (1 + 1e-9))
-                copies = parts[cell[j]]
-                i, j = np.repeat(i, copies), np.repeat(j, copies)
-                part = np.concatenate([np.arange(c) for c in copies])
-                yield q.iloc[i][["id", "x", "fold"]].assign(cell=cell[j], part=part)
-
-    visits = placed.select("id", "x", "fold").mapInPandas(
-        visit, f"id {id_type}, x array<double>, fold {fold_type}, cell long, part long"
+    known = base.where("x is not null and y is not null")
+    n, width = known.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
+    if min(n, most_sites) * (width or 0) * 8 > KNN_BYTES:
+        raise ValueError(f"{min(n, most_sites)} fitted rows of {width} numbers; lower most_sites")
+    order = hash_number(F.lit("knn"), F.col("id"))
+    sites = known.orderBy(order, "id").limit(most_sites).toPandas().sort_values("id", kind="stable")
+    place = np.stack(sites["x"].to_numpy()) if len(sites) else np.zeros((0, 0))
+    shared = df.sparkSession.sparkContext.broadcast(
+        (place, sites["y"].to_numpy(float), sites["fold"].to_numpy())
     )
-    visits = settle(visits)
-    n_parts = F.element_at(F.lit(parts.tolist()), (F.col("cell") + 1).cast("int"))
-    sites = placed.withColumn("part", F.pmod(F.xxhash64("id"), n_parts.cast("long")))
-    # Split crowds of visitors: a part's rows are copied to each share of them.
-    spots = visits.groupBy("cell", "part").agg(
-        F.ceil(F.count(F.lit(1)) / most).cast("long").alias("shares")
-    )
-    share = F.pmod(F.xxhash64("id", F.lit(1)), F.col("shares"))
-    visits = join_on(visits, spots, ["cell", "part"]).withColumn("share", share)
-    every_share = F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)
-    sites = join_on(sites, spots, ["cell", "part"]).withColumn("share", F.explode(every_share))
-    visit_rows, _ = group_sizes(visits, [])
-    spot = ["cell", "part", "share"]
-    cols = ["id", "x", "fold", *spot]
-    both = visits.select(*cols, F.lit(None).cast("double").alias("y"), F.lit(False).alias("_site"))
-    both = both.unionByName(sites.select(*cols, "y", F.lit(True).alias("_site")))
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable")
-        ids, folds = pdf["id"].to_numpy(), pdf["fold"].to_numpy()
-        x, target, site = _to_matrix(pdf["x"]), pdf["y"].to_numpy(), pdf["_site"].to_numpy(bool)
-        out = [pdf[["id"]][:0].assign(d=0.0, site=pdf["id"][:0], y=0.0)]
-        for at in split_groups(pdf, spot):
-            mine, theirs = at[~site[at]], at[site[at]]
-            for f in np.unique(folds[mine]):
-                q, s = mine[folds[mine] == f], theirs[folds[theirs] != f]
-                if not len(s):
-                    continue
-                for i in range(0, len(q), 512):
-                    part = q[i : i + 512]
-                    d = _distances(x[part], x[s])
-                    # sites come in order of id, so a stable sort breaks ties by id
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, target, folds = shared.value
+        for batch in batches:
+            out = np.full(len(batch), np.nan)
+            told = batch["x"].notna().to_numpy()
+            for f in [*batch["fold"].dropna().unique(), None]:
+                mine = batch["fold"].isna() if f is None else batch["fold"] == f
+                at = np.flatnonzero(mine.to_numpy() & told)
+                others = np.flatnonzero(folds != f) if f is not None else np.arange(len(target))
+                for i in range(0, len(at) if len(others) else 0, 512):
+                    d = _distances(_to_matrix(batch["x"].iloc[at[i : i + 512]]), place[others])
+                    # sites are in order of id, so a stable sort breaks ties by id
                     near = np.argsort(d, axis=1, kind="stable")[:, :k]
-                    who, row = np.repeat(part, near.shape[1]), s[near.ravel()]
-                    found = np.take_along_axis(d, near, axis=1).ravel()
-                    out.append(
-                        pd.DataFrame({"id": ids[who], "d": found, "site": ids[row], "y": target[row]})
-                    )
-        return pd.concat(out)
-
-    found = per_group(
-        both, spot, search, f"id {id_type}, d double, site {id_type}, y double", visit_rows, 4 * most
-    )
-    best = settle(top_n(found, ["id"], ["d", "site"], k))
-    means = best.groupBy("id").agg(F.avg("y").alias(name))
-    return base.select("id").join(means, "id", "left").withColumnRenamed("id", id)
+                    out[at[i : i + 512]] = target[others][near].mean(axis=1)
+            yield pd.DataFrame({"id": batch["id"], name: out})
+
+    id_type = base.schema["id"].dataType.simpleString()
+    scored = base.mapInPandas(score, f"id {id_type}, {name} double")
+    return scored.select(F.col("id").alias(id), F.nanvl(name, F.lit(None).cast("double")).alias(name))

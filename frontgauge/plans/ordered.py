@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from math import ceil, log2
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,10 +64,23 @@ def join_blocks(
     can clog as its size is bounded.
     """
     right = settle(right)
-    small = right.count() <= limit(left.sparkSession, "broadcast.rows")
+    small = fits_broadcast(right)
     return match(left, F.broadcast(right) if small else right, [*keys, BLOCK], how)
 
 
+def fits_broadcast(settled: DataFrame) -> bool:
+    """Whether a settled table is within the broadcast limits, by rows and by bytes.
+
+    Bytes are those of the rows written out as text: arrays count with their length.
+    """
+    spark = settled.sparkSession
+    rows = settled.count()
+    if rows > limit(spark, "broadcast.rows"):
+        return False
+    written = F.sum(F.length(F.to_json(F.struct("*"))))
+    return (settled.agg(written).first()[0] or 0) <= limit(spark, "broadcast.bytes")
+
+
 @dataclass
 class Laid:
     df: DataFrame
@@ -90,20 +103,37 @@ def in_blocks(
         return Laid(df.withColumn(BLOCK, F.lit(0)), False)
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = min(max(shuffles, ceil(2 * rows / in_window)), _MAX_PARTS)
-    # Cut sorted partitions into runs of max_rows. Numbers leave room for a
-    # partition four times the mean, so that they stay dense enough for the tree
-    # in dominance.py; the last run takes what is beyond.
-    runs = 2 ** ceil(log2(max(1, 4 * rows / parts / max_rows)))
-    row_in_part = F.monotonically_increasing_id().bitwiseAND(2**33 - 1)
-    run = F.least(F.floor(row_in_part / max_rows), F.lit(runs - 1))
-    placed = (
+    # Range bounds come from a sample, so a second run could place rows
+    # differently: fix the placement before it is used twice.
+    placed = settle(
         df.repartitionByRange(parts, *keys, *order)
         .sortWithinPartitions(*keys, *order)
-        .withColumn(BLOCK, (F.spark_partition_id() * runs + run).cast("int"))
+        .withColumns(
+            {
+                "_part": F.spark_partition_id(),
+                "_at": F.monotonically_increasing_id().bitwiseAND(2**33 - 1),
+            }
+        )
+    )
+    return Laid(number_blocks(placed, max_rows), True)
+
+
+def number_blocks(placed: DataFrame, max_rows: int) -> DataFrame:
+    """Number blocks of max_rows at most along `_part` and `_at`, a row's place in its part.
+
+    Parts may hold any number of rows: each starts its blocks where the counted rows of
+    the parts before it end.
+    """
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = placed.groupBy("_part").agg(F.ceil(F.count(F.lit(1)) / max_rows).alias("_n"))
+    # one row per part, _MAX_PARTS at most
+    first = blocks.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    number = (F.col("_first") + F.floor(F.col("_at") / max_rows)).cast("int")
+    return (
+        placed.join(F.broadcast(settle(first)), "_part")
+        .withColumn(BLOCK, number)
+        .drop("_part", "_at", "_first")
     )
-    # Range bounds come from a sample, so a second run could place rows
-    # differently: fix the placement before it is used twice.
-    return Laid(settle(placed), True)
 
 
 def spread_groups(totals: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -278,7 +308,7 @@ def join_on(
         return left if how == "left_semi" else left.join(F.broadcast(right), how=how)
     spark = left.sparkSession
     right = settle(right)
-    if right.count() <= limit(spark, "broadcast.rows"):
+    if fits_broadcast(right):
         return match(left, F.broadcast(right), keys, how)
     crowded = F.col("count") > limit(spark, "window.rows")
     heavy = settle(left.groupBy(*keys).count().where(crowded).select(*keys))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -17,6 +19,8 @@ LIMITS = {
     "frontgauge.compare.rows": 8_192,
     # rows of a table that may be broadcast
     "frontgauge.broadcast.rows": 500_000,
+    # and the bytes it may hold, written out as text
+    "frontgauge.broadcast.bytes": 64_000_000,
     # points of one front that one Python call may sweep for a volume
     "frontgauge.sweep.rows": 200_000,
     # partners in one block of the nearest-point search
@@ -32,6 +36,7 @@ def limit(spark: SparkSession, name: str) -> int:
 def build_session(cores: int | str = "*", app: str = "frontgauge") -> SparkSession:
     """A local session for tests and the benchmark; clusters bring their own."""
     width = os.cpu_count() if cores == "*" else int(cores)
+    shared = os.environ.get("FRONTGAUGE_SHARED") or _own_folder()
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -40,14 +45,25 @@ def build_session(cores: int | str = "*", app: str = "frontgauge") -> SparkSessi
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("FRONTGAUGE_DRIVER_MEMORY", "8g"))
+        .config("spark.checkpoint.dir", shared)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
 
+def _own_folder() -> str:
+    """A folder on this machine, for local sessions only; gone when the program ends."""
+    folder = tempfile.mkdtemp(prefix="frontgauge-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def use_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the cluster's own if it names one."""
+    """The folder for intermediate tables, named by spark.checkpoint.dir.
+
+    Only a session on this one machine that names none gets a folder of its own.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", "") or sc.getCheckpointDir()
     if named:
@@ -58,11 +74,20 @@ def use_checkpoint_dir(spark: SparkSession) -> str:
         raise ValueError(
             "spark.checkpoint.dir is not set; a cluster needs a folder shared by all executors"
         )
-    folder = tempfile.mkdtemp(prefix="frontgauge-")
+    folder = _own_folder()
     sc.setCheckpointDir(folder)
     return folder
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; results that read them end here."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(
+        f"{use_checkpoint_dir(spark).rstrip('/')}/frontgauge-{sc.applicationId}"
+    )
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and go on from there.
 

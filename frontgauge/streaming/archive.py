@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..plans.dominance import front_rows
@@ -15,38 +14,64 @@ from ..plans.dominance import front_rows
 class FrontArchive:
     """Front of everything seen so far, one stored version per micro-batch.
 
-    A batch reads the newest version before it and writes its own, so a batch
-    run again after a failure replaces only what it wrote itself.
+    A version is written first and then published, by a small table of its own that
+    names it; readers and later batches use published versions only. A batch run again
+    writes under a new name, so nothing that a reader may hold changes. Versions older
+    than the one before the newest are deleted, so the archive holds two fronts, not
+    one per batch.
     """
 
     def __init__(self, path: str, keys: Sequence[str], objs: Sequence[str]):
         self.path, self.keys, self.objs = path.rstrip("/"), list(keys), list(objs)
 
-    def _versions(self, batch: DataFrame) -> None:
-        """Make sure the table exists."""
-        empty = batch.limit(0).withColumn("version", F.lit(-1).cast("long"))
-        empty.write.mode("append").partitionBy("version").parquet(self.path)
+    def _list(self, spark: SparkSession, folder: str) -> list[str]:
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+
+    def _delete(self, spark: SparkSession, name: str) -> None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _published(self, spark: SparkSession) -> list[tuple[int, int]]:
+        """(batch, attempt) of published versions, ascending; a name is a whole version."""
+        names = [n for n in self._list(spark, "published") if n.startswith("v")]
+        return sorted(tuple(map(int, n[1:].split("-"))) for n in names)
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        self._versions(batch)
-        schema = T.StructType([*batch.schema.fields, T.StructField("version", T.LongType())])
-        stored = spark.read.schema(schema).parquet(self.path)
-        earlier = stored.where(F.col("version") < batch_id)
-        newest = earlier.agg(F.max("version")).first()[0]
-        cols = batch.columns
-        whole = batch.select(*cols)
-        if newest is not None:
-            whole = whole.unionByName(stored.where(F.col("version") == newest).select(*cols))
-        front_rows(whole, self.keys, self.objs).select(*cols).write.mode("overwrite").parquet(
-            f"{self.path}/version={batch_id}"
+        known = self._published(spark)
+        earlier = [v for v in known if v[0] < batch_id]
+        attempt = 1 + max((v[1] for v in known if v[0] == batch_id), default=-1)
+        whole = batch
+        if earlier:
+            stored = spark.read.schema(batch.schema).parquet(self._rows(earlier[-1]))
+            whole = batch.unionByName(stored)
+        front = front_rows(whole, self.keys, self.objs).select(*batch.columns)
+        version = (batch_id, attempt)
+        front.write.mode("overwrite").parquet(self._rows(version))
+        self._publish(spark, version)
+        for old in [*earlier[:-1], *(v for v in known if v[0] == batch_id)]:
+            self._delete(spark, f"published/v{old[0]}-{old[1]}")
+            self._delete(spark, f"rows/v{old[0]}-{old[1]}")
+
+    def _rows(self, version: tuple[int, int]) -> str:
+        return f"{self.path}/rows/v{version[0]}-{version[1]}"
+
+    def _publish(self, spark: SparkSession, version: tuple[int, int]) -> None:
+        """Creating one empty file is one step of the file system."""
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(
+            f"{self.path}/published/v{version[0]}-{version[1]}"
         )
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True).close()
+
+    def versions(self, spark: SparkSession) -> int:
+        return len(self._published(spark))
 
     def read(self, spark: SparkSession) -> DataFrame:
-        """The newest version."""
-        stored = spark.read.parquet(self.path)
-        newest = stored.agg(F.max("version")).first()[0]
-        return stored.where(F.col("version") == newest).drop("version")
+        """The newest published version."""
+        return spark.read.parquet(self._rows(self._published(spark)[-1]))
 
     def attach(self, stream: DataFrame, checkpoint: str) -> DataStreamWriter:
         return stream.writeStream.foreachBatch(self.merge).option("checkpointLocation", checkpoint)

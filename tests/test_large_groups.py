@@ -332,3 +332,47 @@ def test_front_of_distinct_values_is_thinned_first(spark, room):
     got = {r.id for r in fronts.front(spark.createDataFrame(pdf), ["g"], objs).collect()}
     want = by_group(pdf, objs, lambda v, q: set(q.id[brute_front(v)]))
     assert got == set().union(*want.values())
+
+
+def test_knn_is_fitted_on_a_bounded_number_of_rows(spark, monkeypatch):
+    from frontgauge.functions.columns import hash_number
+
+    rng = np.random.default_rng(6)
+    x = rng.random((120, 2))
+    pdf = pd.DataFrame({"id": np.arange(120), "x": list(x), "y": rng.random(120), "fold": np.arange(120) % 3})
+    pdf["fold"] = pdf["fold"].astype("Int64").where(pdf["id"] != 7)
+    df = spark.createDataFrame(pdf.assign(fold=pdf["fold"].astype(object).where(pdf["fold"].notna(), None)),
+                               "id long, x array<double>, y double, fold long")
+    order = df.select("id", hash_number(F.lit("knn"), F.col("id")).alias("h")).toPandas().sort_values(["h", "id"])
+    sites = pdf[pdf["id"].isin(order["id"].head(40))]
+    got = scoring.fit_knn(df, "id", "x", "y", "fold", 3, most_sites=40).toPandas().set_index("id").yhat
+    for i in range(120):
+        other = sites if i == 7 else sites[sites["fold"].isna() | (sites["fold"] != pdf["fold"][i])]
+        d = np.sqrt(((x[other.id] - x[i]) ** 2).sum(axis=1))
+        assert got[i] == pytest.approx(other.iloc[np.lexsort((other.id, d))[:3]].y.mean())
+    monkeypatch.setattr(scoring, "KNN_BYTES", 1_000)
+    with pytest.raises(ValueError):
+        scoring.fit_knn(df, "id", "x", "y", "fold", 3)
+
+
+def test_blocks_of_a_crowded_part(spark):
+    placed = spark.range(1000).select(
+        "id", F.when(F.col("id") < 10, 0).when(F.col("id") < 950, 1).otherwise(2).alias("_part")
+    )
+    first = F.when(F.col("_part") == 0, 0).when(F.col("_part") == 1, 10).otherwise(950)
+    got = ordered.number_blocks(placed.withColumn("_at", F.col("id") - first), 64).toPandas()
+    assert got.groupby(ordered.BLOCK).size().max() <= 64
+    assert got.sort_values("id")[ordered.BLOCK].is_monotonic_increasing
+    assert sorted(got[ordered.BLOCK].unique()) == list(range(1 + 15 + 1))
+
+
+def test_few_wide_rows_are_not_broadcast(spark):
+    from frontgauge.session import settle
+
+    wide = settle(spark.range(4).select("id", F.array_repeat(F.col("id") * 1.5, 50_000).alias("x")))
+    spark.conf.set("frontgauge.broadcast.bytes", "100000")
+    try:
+        assert not ordered.fits_broadcast(wide)
+        assert ordered.fits_broadcast(settle(spark.range(4)))
+    finally:
+        spark.conf.unset("frontgauge.broadcast.bytes")

@@ -54,6 +54,7 @@ def test_archive_equals_batch_front(spark, tmp_path):
     want = sorted(tuple(r) for r in fronts.front2(df, ["g"], "f1", "f2").collect())
     got = sorted((r.g, r.id, r.f1, r.f2) for r in archive.read(spark).collect())
     assert got == want
+    assert archive.versions(spark) <= 2
 
 
 def test_archive_batch_run_again(spark, tmp_path):
