@@ -15,7 +15,7 @@ per other row.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -79,6 +79,8 @@ def peel_ranks(v: np.ndarray) -> np.ndarray:
             last[r : r + 1] = [v[i, 1]]
             rank[i] = r + 1
         return rank
+    if v.shape[1] == 3:
+        return _staircase_ranks(v)
     left, r = np.arange(len(v)), 0
     while left.size:
         r += 1
@@ -88,6 +90,39 @@ def peel_ranks(v: np.ndarray) -> np.ndarray:
     return rank
 
 
+def _staircase_ranks(v: np.ndarray) -> np.ndarray:
+    """Ranks of distinct rows with three columns, in about n log^2 n steps.
+
+    In order of the third column (then the others) nothing is dominated by a later row.
+    Of every front the rows so far form a staircase in the first two columns: ascending
+    in the first, descending in the second. A row that a front dominates is dominated by
+    all fronts before it, so its front is found by halving.
+    """
+    rank = np.zeros(len(v), dtype=np.int64)
+    stairs: list[tuple[list[float], list[float]]] = []
+    for i in np.lexsort((v[:, 1], v[:, 0], v[:, 2])):
+        a, b = v[i, 0], v[i, 1]
+        low, high = 0, len(stairs)
+        while low < high:
+            mid = (low + high) // 2
+            firsts, seconds = stairs[mid]
+            at = bisect_right(firsts, a) - 1
+            if at >= 0 and seconds[at] <= b:
+                low = mid + 1
+            else:
+                high = mid
+        rank[i] = low + 1
+        if low == len(stairs):
+            stairs.append(([], []))
+        firsts, seconds = stairs[low]
+        # steps that this row makes needless: no better in either column
+        at = end = bisect_left(firsts, a)
+        while end < len(firsts) and seconds[end] >= b:
+            end += 1
+        firsts[at:end], seconds[at:end] = [a], [b]
+    return rank
+
+
 def weak_tally(
     src: np.ndarray, weight: np.ndarray, qry: np.ndarray, step: int = 256
 ) -> np.ndarray:
@@ -291,8 +326,10 @@ def ranked_vectors(df: DataFrame, keys: Sequence[str], objs: Sequence[str]) -> D
     keys, objs = list(keys), list(objs)
     cols = [*keys, *objs]
     vec = settle(df.select(*cols).distinct())
-    # With two objectives ranking a group costs no more than sorting it.
-    most = limit(df.sparkSession, "window.rows" if len(objs) == 2 else "compare.rows")
+    # With two objectives ranking a group costs no more than sorting it, with three
+    # little more.
+    limits = {2: "window.rows", 3: "sweep.rows"}
+    most = limit(df.sparkSession, limits.get(len(objs), "compare.rows"))
     total, largest = group_sizes(vec, keys)
     if largest <= most:
         return _local_ranks(vec, keys, objs, total)

@@ -376,3 +376,18 @@ def test_few_wide_rows_are_not_broadcast(spark):
         assert ordered.fits_broadcast(settle(spark.range(4)))
     finally:
         spark.conf.unset("frontgauge.broadcast.bytes")
+
+
+def test_three_column_ranks():
+    from frontgauge.plans.dominance import front_mask, peel_ranks
+
+    rng = np.random.default_rng(9)
+    for top in (3, 12, 1000):
+        v = np.unique(rng.integers(0, top, (400, 3)).astype(float), axis=0)
+        want, left, r = np.zeros(len(v), dtype=int), np.arange(len(v)), 0
+        while left.size:
+            r += 1
+            front = front_mask(v[left])
+            want[left[front]] = r
+            left = left[~front]
+        assert (peel_ranks(v) == want).all()
