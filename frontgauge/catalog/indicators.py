@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import fronts as M
 from ..operators import indicators as Q
 from . import inputs as I
@@ -46,13 +44,12 @@ _HV3 = f"""{I.LINES}, {I.FRONT3}, d AS (SELECT DISTINCT problem, f1, f2, f3 FROM
 
 
 @query(
-    f"""WITH {_HV3} SELECT problem, coalesce(sum(area * h), 0) / 1e6 AS hv
+    f"""WITH {_HV3} SELECT problem, coalesce(sum(area * h), 0) AS hv
     FROM (SELECT DISTINCT problem FROM lines) LEFT JOIN a USING (problem) GROUP BY problem""",
     ["hv"],
 )
 def hypervolume_3d(spark, folder):
-    got = Q.hv3(I.lines(spark, folder), _P, _O3, (60000.0, -1.0, 0.0))
-    return got.withColumn("hv", F.col("hv") / 1e6)
+    return Q.hv3(I.lines(spark, folder), _P, _O3, (60000.0, -1.0, 0.0))
 
 
 @query(
