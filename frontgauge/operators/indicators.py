@@ -13,9 +13,18 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ColumnOrNumber, as_col, every, largest, ratio, total
 from ..plans.dominance import fields, front_vectors, weak_hits
-from ..plans.nearest import nearest
-from ..plans.ordered import BLOCK, group_sizes, in_blocks, join_on, match, neighbours, running
-from ..plans.segments import per_group, split_groups
+from ..plans.nearest import CELLS, nearest, pair_costs
+from ..plans.ordered import (
+    BLOCK,
+    fits_broadcast,
+    group_sizes,
+    in_blocks,
+    join_on,
+    match,
+    neighbours,
+    running,
+)
+from ..plans.segments import by_size, per_group, split_groups
 from ..session import limit, settle
 
 # -- hypervolume --------------------------------------------------------------
@@ -182,6 +191,52 @@ def _spread_reference(front: DataFrame, reference: DataFrame, keys: list[str]) -
     return match(reference.withColumn("_piece", piece), groups, [*shared, "_piece"]).drop("_piece")
 
 
+def _over_reference(
+    front: DataFrame,
+    reference: DataFrame,
+    keys: list[str],
+    objs: list[str],
+    kinds: Sequence[str],
+    whole: str,
+) -> DataFrame:
+    """Per group, the `whole` (avg or max) over the reference of its cost to the nearest point.
+
+    A reference that all groups share, small enough for every task, is held there: groups
+    that one call can hold then give one row each. Only the others, or groups with a
+    reference of their own, look for the nearest point of each reference point.
+    """
+    def looked_up(rows: DataFrame) -> DataFrame:
+        asked = _spread_reference(rows, reference, keys)
+        got = nearest(asked, rows, keys, objs, kinds)
+        return got.groupBy(*keys).agg(*[getattr(F, whole)(k).alias(k) for k in kinds])
+
+    if any(k in reference.columns for k in keys):
+        return looked_up(front)
+    reference = settle(reference.select(*objs).distinct())
+    if not fits_broadcast(reference):
+        return looked_up(front)
+    points = reference.toPandas().to_numpy(float)
+    front = settle(front.select(*keys, *objs).distinct())
+
+    def costs(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = pdf[objs].to_numpy(float)
+        groups = list(split_groups(pdf, keys)) if keys else [np.arange(len(pdf))]
+        out = {k: [] for k in kinds}
+        for at in groups:
+            step = max(1, CELLS // len(at))
+            for k in kinds:
+                low = [
+                    pair_costs(k, points[i : i + step], v[at]).min(axis=1)
+                    for i in range(0, len(points), step)
+                ]
+                held = np.concatenate(low) if low else np.zeros(0)
+                out[k].append((held.mean() if whole == "avg" else held.max()) if len(held) else None)
+        return pdf.iloc[[at[0] for at in groups]][keys].assign(**out)
+
+    schema = ", ".join([fields(front, keys)] * bool(keys) + [f"{k} double" for k in kinds])
+    return by_size(front, keys, lambda rows, n: per_group(rows, keys, costs, schema, n), looked_up)
+
+
 def gd(
     front: DataFrame, reference: DataFrame, keys: Sequence[str], objs: Sequence[str]
 ) -> DataFrame:
@@ -199,20 +254,16 @@ def igd(
     front: DataFrame, reference: DataFrame, keys: Sequence[str], objs: Sequence[str]
 ) -> DataFrame:
     """IGD and IGD+: mean distance from distinct reference points to the front."""
-    keys = list(keys)
-    reference = _spread_reference(front, reference, keys)
-    got = nearest(reference, front, keys, objs, ["l2", "below"])
-    return got.groupBy(*keys).agg(F.avg("l2").alias("igd"), F.avg("below").alias("igd_plus"))
+    got = _over_reference(front, reference, list(keys), list(objs), ["l2", "below"], "avg")
+    return got.withColumnsRenamed({"l2": "igd", "below": "igd_plus"})
 
 
 def eps_ind(
     front: DataFrame, reference: DataFrame, keys: Sequence[str], objs: Sequence[str]
 ) -> DataFrame:
     """Additive epsilon: the least shift by which the front covers the whole reference."""
-    keys = list(keys)
-    reference = _spread_reference(front, reference, keys)
-    got = nearest(reference, front, keys, objs, ["lift"])
-    return got.groupBy(*keys).agg(F.max("lift").alias("eps"))
+    got = _over_reference(front, reference, list(keys), list(objs), ["lift"], "max")
+    return got.withColumnRenamed("lift", "eps")
 
 
 def spacing(front: DataFrame, keys: Sequence[str], objs: Sequence[str]) -> DataFrame:

@@ -31,10 +31,10 @@ COSTS = ("l2", "l1", "above", "below", "lift")
 
 # boxes a query may have to look at, and cells of one array of costs
 _MAX_BOXES = 2_048
-_CELLS = 2_000_000
+CELLS = 2_000_000
 
 
-def _costs(kind: str, q: np.ndarray, s: np.ndarray) -> np.ndarray:
+def pair_costs(kind: str, q: np.ndarray, s: np.ndarray) -> np.ndarray:
     out = np.full((len(q), len(s)), -np.inf if kind == "lift" else 0.0)
     for a, b in zip(q.T, np.ascontiguousarray(s.T)):
         gap = b[None, :] - a[:, None]
@@ -169,11 +169,11 @@ def nearest(
             mine, theirs = at[~site[at]], at[site[at]]
             if not len(theirs):
                 continue
-            step = max(1, _CELLS // len(theirs))
+            step = max(1, CELLS // len(theirs))
             for i in range(0, len(mine), step):
                 part = mine[i : i + step]
                 for n, kind in enumerate(kinds):
-                    c = _costs(kind, v[part], v[theirs])
+                    c = pair_costs(kind, v[part], v[theirs])
                     if others:
                         c[(v[part][:, None, :] == v[theirs][None, :, :]).all(axis=2)] = np.inf
                     low = c.min(axis=1)
