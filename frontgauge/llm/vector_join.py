@@ -29,13 +29,16 @@ from frontgauge.llm.common import components, settle, unit_hash
 
 COSINE = 0.9
 # Vectors per pivot aimed at, and pivots at most (their table is sent to every task).
-CELL_ROWS = 1_024
+CELL_ROWS = 4_096
 MOST_PIVOTS = 1_024
 # Owners, and seekers, that one task compares.
-BLOCK_ROWS = 4_096
+BLOCK_ROWS = 8_192
 # Rows of a block compared at once.
 STRIPE = 512
 _SLACK = 1e-6
+# Products of unit vectors in single precision are off by less than this for up to a few
+# thousand dimensions; pairs that close to the bound are settled in double precision.
+_SINGLE = 1e-4
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
@@ -79,16 +82,24 @@ def find_links(table: pa.Table, cosine: float) -> tuple[np.ndarray, np.ndarray,
         return i
 
     edges_a, edges_b = [], []
+    single, columns = vectors.astype(np.float32), np.ascontiguousarray(vectors[to].T, dtype=np.float32)
     for start in range(0, len(at), STRIPE):
         rows = at[start : start + STRIPE]
-        near = vectors[rows] @ vectors[to].T >= cosine
-        near &= node[rows][:, None] != node[to][None, :]
-        links[start : start + len(rows)] = near @ copies[to]
-        for i in np.flatnonzero(near.any(axis=1)):
-            me = back[rows[i]]
-            others = np.unique([find(j) for j in np.unique(back[to[near[i]]])])
+        product = single[rows] @ columns
+        i, j = np.nonzero(product >= cosine - _SINGLE)
+        apart = node[rows[i]] != node[to[j]]
+        i, j = i[apart], j[apart]
+        near = product[i, j] >= cosine + _SINGLE
+        for k in np.flatnonzero(~near):
+            near[k] = vectors[rows[i[k]]] @ vectors[to[j[k]]] >= cosine
+        i, j = i[near], j[near]
+        links[start : start + len(rows)] = np.bincount(i, copies[to[j]], len(rows)).astype(np.int64)
+        ends = np.searchsorted(i, np.arange(len(rows) + 1))
+        for r in np.unique(i):
+            me = back[rows[r]]
+            others = {find(x) for x in set(back[to[j[ends[r] : ends[r + 1]]]].tolist())}
             root = find(me)
-            for other in others:
+            for other in sorted(others):
                 other = find(other)
                 if other != root:
                     edges_a.append(names[me])
@@ -289,10 +300,10 @@ def join(
 
 ORACLE_SQL = """
 WITH RECURSIVE v AS (
-  SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
   ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9
