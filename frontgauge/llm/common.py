@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BUCKET_ROWS = 4_096
 # Rows of a lookup table that may be broadcast; its rows hold a few numbers each.
 LOOKUP_ROWS = 50_000
+# Edges of a graph that one task joins to components (16 bytes each).
+LOCAL_EDGES = 500_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -69,16 +72,44 @@ def running_total(
     )
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that each node of `edges` (a, b) reaches.
+class Forest:
+    """Union-find over any numbers; the root of a tree is its smallest member."""
 
-    Alternates large-star and small-star steps until nothing changes; each step is
-    two shuffles over what is left of the edges, and is settled, so lineage stays short
-    and nothing but one row of sums reaches the driver. Nodes without edges are absent.
+    def __init__(self):
+        self._up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        up = self._up
+        root = x
+        while (above := up.get(root, root)) != root:
+            root = above
+        while x != root:
+            up[x], x = root, up.get(x, x)
+        return root
+
+    def union(self, a: int, b: int) -> bool:
+        """Whether a and b were apart."""
+        a, b = self.find(a), self.find(b)
+        if a != b:
+            self._up[max(a, b)] = min(a, b)
+            self._up.setdefault(min(a, b), min(a, b))
+        return a != b
+
+    def pairs(self) -> list[tuple[int, int]]:
+        return [(x, self.find(x)) for x in list(self._up)]
+
+
+def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """Settled (node, component): the smallest node that each node of `edges` (a, b) reaches.
+
+    Up to `local_edges` different edges are joined by one task. More are joined by
+    alternating large-star and small-star steps until nothing changes; each step is a few
+    shuffles over what is left of the edges, and is settled, so lineage stays short and
+    only a row of sums reaches the driver. Both ways give the same table. Nodes without
+    an edge to another node are absent.
     """
     def stats(e: DataFrame) -> tuple:
-        row = e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
-        return tuple(row)
+        return tuple(e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first())
 
     current = settle(
         edges.where("a <> b")
@@ -86,7 +117,9 @@ def components(edges: DataFrame) -> DataFrame:
         .distinct()
     )
     seen = stats(current)
-    while seen[0]:
+    if seen[0] <= local_edges:
+        return settle(current.coalesce(1).mapInArrow(_join_all, "node long, component long"))
+    while True:
         both = current.union(current.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(
             "a", F.least("a", "m").alias("m")
@@ -97,8 +130,10 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
             large.join(least, "a")
-            .select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"),
-                    F.col("m").alias("b"))
+            .select(
+                F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"),
+                F.col("m").alias("b"),
+            )
             .where("a <> b")
             .distinct()
         )
@@ -107,6 +142,19 @@ def components(edges: DataFrame) -> DataFrame:
         if now == seen:
             break
         seen = now
-    return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
-        current.select("b", "b").distinct()
+    return settle(
+        current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
+            current.select("b", "b").distinct()
+        )
+    )
+
+
+def _join_all(batches):
+    forest = Forest()
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            forest.union(a, b)
+    pairs = forest.pairs()
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["node", "component"]
     )

@@ -10,11 +10,12 @@ their weight. So a count of c costs log2(c) processes, and a process stops at th
 that fills all slots.
 
 Signatures are cut into bands; texts that agree in a band meet in a bucket. A bucket
-never emits its pairs: in each round its members are paired with one pivot only, pairs
-are verified exactly on the texts (multiset overlap), links are joined to classes, and
-only members of other classes than their next pivot's are paired again. When rounds
-link nothing more, what is left - pairs of different classes that share a bucket and
-have not been verified - is verified in full, so no linked pair of a bucket is lost.
+never emits its pairs. In each round its members are paired with one pivot only, the
+pairs are verified exactly on the texts (multiset overlap), and links join classes; only
+members of other classes than their next pivot's are paired again. Buckets that still
+hold several classes are then searched in full: their members meet in blocks of bounded
+size, where pairs of different classes are compared by signature and verified on the
+texts, and only links leave the task. So no linked pair of a bucket is lost.
 """
 
 from __future__ import annotations
@@ -25,17 +26,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frontgauge.llm.common import components, settle
+from frontgauge.llm.common import Forest, components, settle
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 32
 BAND_SLOTS = 6
 SLOTS = BANDS * BAND_SLOTS
-# Pairs whose signatures agree in fewer slots are not verified: a pair at 0.8 has a
-# chance below one in ten million to fall below it (binomial, 192 slots).
-LEAST_AGREEING = 120
-ROUNDS = 4
+# Pairs whose signatures agree in fewer slots are not verified. A pair at 0.8 falls below
+# it with a chance of 1 in 20,000 (binomial, 192 slots), as it is to share no band at all.
+LEAST_AGREEING = 132
+ROUNDS = 3
+# Members of a bucket that a task compares with as many others.
+BLOCK_ROWS = 512
 
 _A = np.uint64(0xBF58476D1CE4E5B9)
 _B = np.uint64(0x94D049BB133111EB)
@@ -160,63 +163,142 @@ def _sign(texts: pa.Array) -> pa.Array:
     )
 
 
-def _agreeing(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([
-        int((np.frombuffer(x, np.uint16) == np.frombuffer(y, np.uint16)).sum())
-        for x, y in zip(a.to_pylist(), b.to_pylist())
-    ], pa.int32())
+def similar(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> bool:
+    both, either = overlap(a, b)
+    return 10 * both >= round(10 * SIMILARITY) * either
 
 
-def _linked(a: pa.Array, b: pa.Array) -> pa.Array:
+def _linked(a: pa.Array, marks_a: pa.Array, b: pa.Array, marks_b: pa.Array) -> pa.Array:
     out, last, bag = [], None, None
-    for x, y in zip(a.cast(pa.binary()).to_pylist(), b.cast(pa.binary()).to_pylist()):
+    columns = (a.cast(pa.binary()), marks_a, b.cast(pa.binary()), marks_b)
+    for x, mx, y, my in zip(*(c.to_pylist() for c in columns)):
+        agree = (np.frombuffer(mx, np.uint16) == np.frombuffer(my, np.uint16)).sum()
+        if agree < LEAST_AGREEING:
+            out.append(False)
+            continue
         if x != last:
             last, bag = x, shingles(x)
-        both, either = overlap(bag, shingles(y))
-        out.append(10 * both >= round(10 * SIMILARITY) * either)
+        out.append(similar(bag, shingles(y)))
     return pa.array(out, pa.bool_())
 
 
+def search_block(block: pa.Table) -> pa.Table:
+    """Links (a, b) between classes that one bucket's block pair holds: a spanning set.
+
+    Rows: key, i, j (the block pair), at (the row's block), class, marks and text. A pair
+    is looked at in the first band its members share, nearest pairs first, and only if
+    its classes are still apart.
+    """
+    key, i, j = (block.column(c)[0].as_py() for c in ("key", "i", "j"))
+    at = np.asarray(block.column("at"))
+    classes = np.asarray(block.column("class"))
+    marks = np.stack([np.frombuffer(m, np.uint16) for m in block.column("marks").to_pylist()])
+    texts = block.column("text").cast(pa.binary()).to_pylist()
+    bands = band_keys(marks)
+    left, right = np.flatnonzero(at == i), np.flatnonzero(at == j)
+    found = []
+    for x in left:
+        others = right[right > x] if i == j else right
+        others = others[classes[others] != classes[x]]
+        if not len(others):
+            continue
+        agree = (marks[others] == marks[x]).sum(axis=1)
+        others, agree = others[agree >= LEAST_AGREEING], agree[agree >= LEAST_AGREEING]
+        same = bands[others] == bands[x]
+        first = bands[x][same.argmax(axis=1)] == key
+        found += [(-int(n), int(x), int(y)) for n, y in zip(agree[first], others[first])]
+    forest, bags, out = Forest(), {}, []
+    for _, x, y in sorted(found):
+        a, b = int(classes[x]), int(classes[y])
+        if forest.find(a) == forest.find(b):
+            continue
+        for one in (x, y):
+            if one not in bags:
+                bags[one] = shingles(texts[one])
+        if similar(bags[x], bags[y]):
+            forest.union(a, b)
+            out.append((a, b))
+    return pa.table({
+        "a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())
+    })
+
+
 def _text_keys() -> list:
     return [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2")]
 
 
-class _Pairs:
-    """Verification of pairs of texts, given by node number."""
+def _contents(docs: DataFrame, reps: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Settled (node, marks, text) of the texts that share a bucket with another."""
+    wanted = reps.join(buckets.select("node").distinct(), "node").select(
+        "k1", "k2", "doc_id", "node", "marks"
+    )
+    rows = docs.select("doc_id", "text", *_text_keys())
+    same = (
+        (rows["k1"] == wanted["k1"]) & (rows["k2"] == wanted["k2"])
+        & rows["doc_id"].eqNullSafe(wanted["doc_id"])
+    )
+    found = rows.join(wanted, same).select("node", "marks", "text")
+    return settle(found.dropDuplicates(["node"]))  # rows alike in id and text
 
-    def __init__(self, docs: DataFrame, reps: DataFrame, buckets: DataFrame):
-        kept = settle(buckets.select("node").distinct())
-        self.marks = reps.join(kept, "node").select("node", "marks")
-        wanted = reps.join(kept, "node").select("k1", "k2", "doc_id", "node")
-        rows = docs.select("doc_id", "text", *_text_keys())
-        same = (
-            (rows["k1"] == wanted["k1"]) & (rows["k2"] == wanted["k2"])
-            & rows["doc_id"].eqNullSafe(wanted["doc_id"])
-        )
-        # texts of the documents that share a bucket with another; one row per node
-        self.texts = settle(
-            rows.join(wanted, same).select("node", "text").dropDuplicates(["node"])
+
+def _relabelled(current: DataFrame, links: DataFrame) -> DataFrame:
+    """`current` with classes joined by links (a, b) between them."""
+    joined = components(links).withColumnRenamed("node", "class")
+    return settle(
+        current.join(joined, "class", "left").select(
+            "key", "node", F.coalesce("component", "class").alias("class")
         )
+    )
+
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose similarity is SIMILARITY or more, settled."""
-        def with_both(df: DataFrame, values: DataFrame, name: str) -> DataFrame:
-            for end in ("a", "b"):
-                side = values.select(F.col("node").alias(end), F.col(name).alias(f"_{end}"))
-                df = df.join(side, end)
-            return df
-
-        agreeing = F.arrow_udf(_agreeing, "int")
-        linked = F.arrow_udf(_linked, "boolean")
-        close = settle(
-            with_both(pairs, self.marks, "marks")
-            .where(agreeing("_a", "_b") >= LEAST_AGREEING)
-            .select("a", "b")
+def _pivot_links(current: DataFrame, contents: DataFrame, salt: int) -> DataFrame:
+    """Settled links (a, b) between the classes of members and of their bucket's pivot."""
+    order = F.struct(F.xxhash64("node", F.lit(salt)), F.col("node"), F.col("class"))
+    pivots = current.groupBy("key").agg(F.min(order).alias("_p")).select(
+        "key", F.col("_p.node").alias("pivot"), F.col("_p.class").alias("pivot_class")
+    )
+    pairs = (
+        current.join(pivots, "key")
+        .where("class <> pivot_class")
+        .select("node", "class", "pivot", "pivot_class")
+        .distinct()
+    )
+    of_node = contents.select("node", F.col("text").alias("_a"), F.col("marks").alias("_ma"))
+    of_pivot = contents.select(F.col("node").alias("pivot"), F.col("text").alias("_b"), F.col("marks").alias("_mb"))
+    linked = F.arrow_udf(_linked, "boolean")
+    return settle(
+        pairs.join(of_node, "node").join(of_pivot, "pivot")
+        .where(linked("_b", "_mb", "_a", "_ma"))
+        .select(F.col("class").alias("a"), F.col("pivot_class").alias("b"))
+        .distinct()
+    )
+
+
+def _block_links(current: DataFrame, contents: DataFrame, block_rows: int) -> DataFrame:
+    """Settled links (a, b) between classes that share a bucket, from all their pairs."""
+    mixed = (
+        current.groupBy("key")
+        .agg(F.min("class").alias("_low"), F.max("class").alias("_high"), F.count("*").alias("_n"))
+        .where("_low < _high")
+        .select("key", F.ceil(F.col("_n") / block_rows).cast("int").alias("blocks"))
+    )
+    at = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = current.join(mixed, "key").withColumn("at", at).withColumn(
+        "_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    )
+    return settle(
+        rows.select(
+            "node", "key", "class", "at",
+            F.least("at", "_other").alias("i"),
+            F.greatest("at", "_other").alias("j"),
         )
-        return settle(with_both(close, self.texts, "text").where(linked("_a", "_b")).select("a", "b"))
+        .join(contents, "node")
+        .groupBy("key", "i", "j")
+        .applyInArrow(search_block, "a long, b long")  # 2 * block_rows texts or so
+    )
 
 
-def classes(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def classes(docs: DataFrame, rounds: int = ROUNDS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(doc_id, n_shingles, class_id, kept, k1, k2) for every row of `docs`.
 
     Reads doc_id and text. class_id is the smallest doc_id among the documents reached
@@ -249,44 +331,18 @@ def classes(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     every = reps.where("n > 0").select("node", F.explode("bands").alias("key"))
     shared = every.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
     buckets = settle(every.join(shared, "key"))
-    check = _Pairs(docs, reps, buckets)
+    contents = _contents(docs, reps, buckets)
 
-    links = None
-    tried = None
     current = buckets.withColumn("class", F.col("node"))
-    for r in range(rounds):
-        order = F.struct(F.xxhash64("node", F.lit(r)), F.col("node"), F.col("class"))
-        pivots = current.groupBy("key").agg(F.min(order).alias("_p")).select(
-            "key", F.col("_p.node").alias("_node"), F.col("_p.class").alias("_class")
-        )
-        met = (
-            current.join(pivots, "key")
-            .where("class <> _class")
-            .select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b"))
-            .distinct()
-        )
-        fresh = settle(met if tried is None else met.join(tried, ["a", "b"], "left_anti"))
-        found = check.links(fresh)
-        tried = fresh if tried is None else tried.union(fresh)
-        links = found if links is None else links.union(found)
-        current = _labelled(buckets, links)
-        if found.isEmpty():
+    for salt in range(rounds):
+        links = _pivot_links(current, contents, salt)
+        if links.isEmpty():
             break
-    # the rest: pairs of different classes in a bucket that no round has verified
-    mixed = current.groupBy("key").agg(
-        F.min("class").alias("_low"), F.max("class").alias("_high")
-    ).where("_low < _high").select("key")
-    rest = settle(current.join(mixed, "key"))
-    other = rest.select("key", F.col("node").alias("_node"), F.col("class").alias("_class"))
-    pairs = (
-        rest.join(other, "key")
-        .where("node < _node and class <> _class")
-        .select(F.col("node").alias("a"), F.col("_node").alias("b"))
-        .distinct()
-    )
-    fresh = settle(pairs.join(tried, ["a", "b"], "left_anti"))
-    links = links.union(check.links(fresh))
-    joined = components(links)
+        current = _relabelled(current, links)
+    links = _block_links(current, contents, block_rows)
+    if not links.isEmpty():
+        current = _relabelled(current, links)
+    joined = current.select("node", F.col("class").alias("component")).distinct()
     named = reps.select("k1", "k2", "doc_id", "n", "node").join(joined, "node", "left")
     named = settle(named.withColumn("component", F.coalesce("component", "node")))
     heads = named.groupBy("component").agg(F.min("doc_id").alias("class_id"))
@@ -306,15 +362,6 @@ def classes(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     )
 
 
-def _labelled(buckets: DataFrame, links: DataFrame) -> DataFrame:
-    joined = settle(components(links))
-    return settle(
-        buckets.join(joined, "node", "left").select(
-            "key", "node", F.coalesce("component", "node").alias("class")
-        )
-    )
-
-
 def dedup(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """`docs` without near copies: of each class one row stays, the kept document's.
 
