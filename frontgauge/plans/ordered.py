@@ -14,6 +14,7 @@ from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import limit, settle
 
@@ -71,14 +72,17 @@ def join_blocks(
 def fits_broadcast(settled: DataFrame) -> bool:
     """Whether a settled table is within the broadcast limits, by rows and by bytes.
 
-    Bytes are those of the rows written out as text: arrays count with their length.
+    Numbers take 8 bytes. Where a column's width varies, bytes are those of the rows
+    written out as text: arrays count with their length.
     """
     spark = settled.sparkSession
-    rows = settled.count()
+    rows, most = settled.count(), limit(spark, "broadcast.bytes")
     if rows > limit(spark, "broadcast.rows"):
         return False
+    if all(isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DatetimeType)) for f in settled.schema):
+        return 8 * rows * len(settled.columns) <= most
     written = F.sum(F.length(F.to_json(F.struct("*"))))
-    return (settled.agg(written).first()[0] or 0) <= limit(spark, "broadcast.bytes")
+    return (settled.agg(written).first()[0] or 0) <= most
 
 
 @dataclass
