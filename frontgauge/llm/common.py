@@ -14,6 +14,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BUCKET_ROWS = 4_096
 # Rows of a lookup table that may be broadcast; its rows hold a few numbers each.
 LOOKUP_ROWS = 50_000
+# Rows of an Arrow batch that holds whole texts.
+TEXT_ROWS = 1_000
 # Edges of a graph that one task joins to components (16 bytes each).
 LOCAL_EDGES = 500_000
 
@@ -22,6 +24,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Ask for Arrow batches of TEXT_ROWS rows at most, where the session allows more.
+
+    Both a task and its Python worker hold whole batches; ten thousand long texts, the
+    default, take hundreds of megabytes on either side.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text; NULL has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frontgauge.llm.common import settle, small_lookup
+from frontgauge.llm.common import settle, small_batches, small_lookup
 
 PLACES = 1 << 14
 # Trigrams of a text count as this many independent ones at most.
@@ -141,6 +141,7 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     probabilities go to the first language by code. Repeated rows are judged each on its
     own. Without labelled documents lang and probability are NULL.
     """
+    small_batches(docs.sparkSession)
     names, model = count_models(docs)
     rows = read_pages(pages, names, model) if names else None
     if rows is None:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frontgauge.llm.common import Forest, components, settle
+from frontgauge.llm.common import Forest, components, settle, small_batches
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -37,6 +37,8 @@ SLOTS = BANDS * BAND_SLOTS
 # it with a chance of 1 in 20,000 (binomial, 192 slots), as it is to share no band at all.
 LEAST_AGREEING = 132
 ROUNDS = 3
+# Shingles whose signatures are worked out together.
+CHUNK_SHINGLES = 100_000
 # Members of a bucket that a task compares with as many others.
 BLOCK_ROWS = 512
 
@@ -145,13 +147,17 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def _sign(texts: pa.Array) -> pa.Array:
-    sizes, marks, keys = [], [], []
-    for i in range(0, len(texts), 256):
-        bags = [shingles(t or b"") for t in texts.slice(i, 256).cast(pa.binary()).to_pylist()]
+    sizes, marks, keys, bags, held = [], [], [], [], 0
+    for i in range(len(texts)):
+        bags.append(shingles(texts[i].as_buffer().to_pybytes() if texts[i].is_valid else b""))
+        held += len(bags[-1][0])
+        if held < CHUNK_SHINGLES and len(bags) < 256 and i + 1 < len(texts):
+            continue
         rows = signatures(bags)
         sizes += [int(c.sum()) for _, c in bags]
         marks += [r.tobytes() for r in rows]
         keys.append(band_keys(rows))
+        bags, held = [], 0
     flat = np.concatenate(keys).reshape(-1) if keys else np.zeros(0, dtype=np.int64)
     return pa.StructArray.from_arrays(
         [
@@ -308,6 +314,7 @@ def classes(docs: DataFrame, rounds: int = ROUNDS, block_rows: int = BLOCK_ROWS)
     such rows only has class_id NULL, and kept is true for those. Repeated rows share
     class and kept. k1, k2: a 128-bit key of the text.
     """
+    small_batches(docs.sparkSession)
     sign = F.arrow_udf(_sign, "n long, marks binary, bands array<long>")
     signed = settle(
         docs.where("text is not null")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from frontgauge.llm.common import settle
+from frontgauge.llm.common import settle, small_batches
 
 SEQUENCE = 1_024
 END = 0
@@ -207,6 +207,7 @@ def pack(
     own. No rows give no pieces. Other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = tokenised(docs, id_col, text_col)
     total = rows.agg(F.sum("n_tokens")).first()[0] or 0
     buckets = max(1, -(-total // bucket_tokens))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frontgauge.llm.common import settle, unit_hash
+from frontgauge.llm.common import settle, small_batches, unit_hash
 
 BITS = 18
 BIAS = 1 << BITS
@@ -42,7 +42,7 @@ _LOW = np.uint64(0xFFFFFFFF)
 _PLAIN = xxhash.xxh32_intdigest(b"a")
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=100_000)
 def _word(word: bytes) -> int:
     """Hash of the word in its upper 32 bits, of its shape in the lower."""
     text = word.decode("utf-8", "replace")
@@ -167,6 +167,7 @@ def train(
             names=["place", "weight", "rows"],
         )
 
+    small_batches(docs.sparkSession)
     # `sample` bounds what the shards hold together
     part = settle(labelled_sample(docs, labels, "quality", learn, sample))
     shards = max(1, min(shards, part.count() // SHARD_ROWS))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frontgauge.llm.common import settle, small_lookup
+from frontgauge.llm.common import settle, small_batches, small_lookup
 
 MIN_WORDS = 50
 MOST_REPEAT_PERCENT = 50
@@ -235,6 +235,7 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float =
     Reads doc_id, text and lang; other columns are not read. Repeated rows are judged
     each on its own. NULL and empty texts have no words and fail the base rules.
     """
+    small_batches(docs.sparkSession)
     measured = settle(
         docs.select("doc_id", "lang", "text")
         .withColumn("_m", measure(F.col("text")))
@@ -255,6 +256,7 @@ def keep(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float =
     Texts are measured twice, once for the cutoffs and once for the verdict, rather than
     shuffled or written in between.
     """
+    small_batches(docs.sparkSession)
     measured = settle(
         docs.select("doc_id", "lang", "text")
         .withColumn("_m", measure(F.col("text")))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frontgauge.llm.common import settle
+from frontgauge.llm.common import settle, small_batches
 from frontgauge.llm.quality_classifier import labelled_sample
 
 # Letters a character may stand for.
@@ -281,6 +281,7 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
     words, so the score of a text without toxic words. doc_id serves to find labels only;
     repeated rows are scored each on their own; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     model = log_model(count_trigrams(docs))
     weights, odds = fit(docs, labels, learn, model, sample)
     shared = docs.sparkSession.sparkContext.broadcast((model, weights))
