@@ -161,7 +161,8 @@ def train(
             for i in order:
                 model.learn(*vectors[i])
         w = model.weights()
-        used = np.flatnonzero(w)
+        # the bias goes out always: its row stands for the shard, once
+        used = np.union1d(np.flatnonzero(w), [BIAS])
         yield pa.RecordBatch.from_arrays(
             [pa.array(used), pa.array(w[used]), pa.array(np.full(len(used), len(rows)))],
             names=["place", "weight", "rows"],
@@ -177,8 +178,7 @@ def train(
     total = parts.groupBy("place").agg(
         F.sum(F.col("weight") * F.col("rows")).alias("sum")
     )
-    everyone = parts.groupBy(F.spark_partition_id()).agg(F.first("rows").alias("rows"))
-    n = everyone.agg(F.sum("rows")).first()[0] or 1
+    n = parts.where(F.col("place") == BIAS).agg(F.sum("rows")).first()[0] or 1
     weights = np.zeros(BIAS + 1)
     for place, s in total.collect():  # at most 2^BITS + 1 rows
         weights[place] = s / n
