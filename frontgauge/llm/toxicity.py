@@ -46,8 +46,6 @@ KEEP_MARK_COST = 4.0
 # Character classes of the model: a-z, a break between words, anything else.
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 BREAK, OTHER, CLASSES = 26, 27, 28
-# Longest run that is decoded as one; longer ones are cut there.
-LONGEST_RUN = 64
 # Labelled documents to learn words from, on average.
 SAMPLE = 40_000
 # Log-odds that a word needs for a weight, and the expected number of words that pass
@@ -114,9 +112,10 @@ class Decoder:
 
     def _decode(self, run: str) -> str:
         model = self._model
-        # state: last two classes -> (cost, restored letters); starts behind a break
-        states = {(BREAK, BREAK): (0.0, "")}
-        for ch in run[:LONGEST_RUN].lower():
+        # state: last two classes -> (cost, restored letters as a chain of (rest, letter),
+        # so that a run of any length costs a step a character); starts behind a break
+        states = {(BREAK, BREAK): (0.0, None)}
+        for ch in run.lower():
             own = LETTERS.find(ch)
             options = []  # (class, letter, cost)
             if own >= 0:
@@ -127,25 +126,26 @@ class Decoder:
                 kind = BREAK if ord(ch) < 128 and not ch.isalnum() else OTHER
                 options.append((kind, ch, KEEP_MARK_COST if kind == BREAK and ch != " " else 0.0))
             pad = PAD_COST if ch in PADDING else None
-            grown: dict[tuple[int, int], tuple[float, str]] = {}
+            grown: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (cost, text) in states.items():
                 row = model[a][b]
                 for kind, letter, price in options:
                     total = cost + price - row[kind]
                     key = (b, kind)
                     if key not in grown or total < grown[key][0]:
-                        grown[key] = (total, text + letter)
+                        grown[key] = (total, (text, letter))
                     if kind == b and kind < BREAK:
                         total = cost + price + REPEAT_COST
                         if (a, b) not in grown or total < grown[a, b][0]:
                             grown[a, b] = (total, text)
-                if pad is not None and text:
+                if pad is not None and text is not None:
                     total = cost + pad
                     if (a, b) not in grown or total < grown[a, b][0]:
                         grown[a, b] = (total, text)
             states = grown
         ends = [(cost - model[a][b][BREAK], text) for (a, b), (cost, text) in states.items()]
-        return min(ends)[1] + run[LONGEST_RUN:]
+        least = min(cost for cost, _ in ends)
+        return min(_spelled(text) for cost, text in ends if cost == least)
 
     def words(self, text: str) -> set[str]:
         """Different restored words of a text, in lower case."""
@@ -181,6 +181,14 @@ class Decoder:
         )
 
 
+def _spelled(chain: tuple | None) -> str:
+    out = []
+    while chain is not None:
+        chain, letter = chain
+        out.append(letter)
+    return "".join(reversed(out))
+
+
 def sketch(text: str, salt: int) -> int:
     """A min-hash of the text's words in threes; near copies mostly share it."""
     w = text.split()

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from frontgauge.llm import quality_classifier
+from frontgauge.llm import quality_classifier, toxicity
 
 
 def test_weights_do_not_depend_on_read_partitions(spark):
@@ -22,3 +22,19 @@ def test_weights_do_not_depend_on_read_partitions(spark):
         spark.conf.unset(key)
     assert np.abs(got[2]).max() > 0
     assert np.allclose(got[0], got[2], rtol=1e-9) and np.allclose(got[1], got[2], rtol=1e-9)
+
+
+def prose_decoder():
+    prose = "the cat sat on a mat and an idiot looked at it while rain fell over town all day so stupid "
+    return toxicity.Decoder(toxicity.log_model(toxicity.trigram_counts([prose.encode() * 200])))
+
+
+def test_long_runs_are_decoded_to_their_end():
+    decoder, lead = prose_decoder(), "the cat sat on a mat and rain town all day while".split() * 6
+    plain = "".join(lead)
+    assert len(plain) > 200
+    for mark in (" ", ".", "-", "_"):
+        assert "idiot" in decoder.words(mark.join(plain + "idiot")), mark
+    for n in range(len(lead)):  # no place in the run is a cut
+        assert "idiot" in decoder.words(" ".join("".join(lead[:n]) + "idiot")), n
+    assert decoder.decode(" ".join("x" * 50_000)).startswith("x")
