@@ -153,18 +153,38 @@ class Decoder:
         out: set[str] = set()
         for token in set(low.split()):
             out.update(self.token(token))
+        out.update(self.spaced(low))
+        return out
+
+    def spaced(self, low: str) -> set[str]:
+        """Words of the runs of letters set apart by white space.
+
+        A run is read as one, and where its gaps differ also as the parts between the
+        wider ones, which may be the breaks between words.
+        """
+        out: set[str] = set()
         for run in _SPACED.findall(low):
-            out.update(_WORDS(self.decode(" ".join(run.split()))))
+            letters = run.split()
+            out.update(_WORDS(self.decode(" ".join(letters))))
+            gaps = [len(g) for g in _GAPS(run)]
+            cuts = [i + 1 for i, g in enumerate(gaps) if g > min(gaps)]
+            if cuts:
+                for i, j in zip([0, *cuts], [*cuts, len(letters)]):
+                    if j - i > 2:
+                        out.update(_WORDS(self.decode(" ".join(letters[i:j]))))
         return out
 
     @staticmethod
     def suspicious(token: str) -> bool:
-        return bool(_MIXED.search(token) or _TRIPLE.search(token))
+        return bool(_MIXED.search(token) or _DOUBLED.search(token))
 
     def token(self, token: str) -> tuple[str, ...]:
-        """Words of one white-space separated token; disguised ones also as decoded."""
+        """Words of one white-space separated token; disguised ones also as decoded.
+
+        A doubled letter may be a disguise or not, so such a word counts in both forms.
+        """
         plain = token.strip(_EDGE)
-        if plain.isalpha() and not _TRIPLE.search(plain):
+        if plain.isalpha() and not _DOUBLED.search(plain):
             return (plain,)
         words = tuple(_WORDS(token))
         if len(token) < 3 or not self.suspicious(token):
@@ -172,11 +192,17 @@ class Decoder:
         return words + tuple(_WORDS(self.decode(token))) + tuple(_WORDS(self.decode(plain)))
 
     def restore(self, text: str) -> str:
-        """The text with disguised runs replaced by what they decode to."""
+        """The text with disguised runs replaced by what they decode to.
+
+        A text has room for one form only: plain words keep a single doubled letter.
+        """
+        def disguised(token: str) -> bool:
+            return bool(_MIXED.search(token) or _TRIPLE.search(token))
+
         joined = _SPACED.sub(lambda m: m[0].replace(m[1], self.decode(" ".join(m[1].split()))), text)
         return re.sub(
             r"\S+",
-            lambda m: self.decode(m[0]) if len(m[0]) > 2 and self.suspicious(m[0].lower()) else m[0],
+            lambda m: self.decode(m[0]) if len(m[0]) > 2 and disguised(m[0].lower()) else m[0],
             joined,
         )
 
@@ -202,9 +228,12 @@ _WORDS = re.compile(r"[^\W\d_]+").findall
 _EDGE = ".,;:!?\"'()"
 # a letter next to, or parted from another by, a lookalike or a mark
 _MIXED = re.compile(r"[a-z][^a-z\sª-￿]+[a-z]|[0-9@$!|+£€¡][a-z]|[a-z][0-9@$|+£€¡]")
+_DOUBLED = re.compile(r"([a-z])\1")
+# more than one doubled letter needs: three alike, or two pairs
 _TRIPLE = re.compile(r"([a-z])\1\1|([a-z])\2.*([a-z])\3")
-# three or more single characters, each set apart by white space
-_SPACED = re.compile(r"(?:^|(?<=\s))(\S(?:\s\S){2,})(?=\s|$)")
+# three or more single characters, each set apart by any white space
+_SPACED = re.compile(r"(?:^|(?<=\s))(\S(?:\s+\S){2,})(?=\s|$)")
+_GAPS = re.compile(r"\s+").findall
 
 
 def fit(
@@ -315,12 +344,13 @@ def hits(decoder: Decoder, known: dict, weights: dict[str, float], text: str) ->
     for token in set(low.split()):
         held = known.get(token)
         if held is None:
-            held = known[token] = tuple((weights[w], w) for w in decoder.token(token) if w in weights)
+            # a word with a weight is not counted once more in its restored form
+            plain = token.strip(_EDGE)
+            read = (plain,) if plain in weights else decoder.token(token)
+            held = known[token] = tuple((weights[w], w) for w in read if w in weights)
         if held:
             found.update(held)
-    for run in _SPACED.findall(low):
-        restored = _WORDS(decoder.decode(" ".join(run.split())))
-        found.update((weights[w], w) for w in restored if w in weights)
+    found.update((weights[w], w) for w in decoder.spaced(low) if w in weights)
     return found
 
 

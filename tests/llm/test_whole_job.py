@@ -38,3 +38,18 @@ def test_long_runs_are_decoded_to_their_end():
     for n in range(len(lead)):  # no place in the run is a cut
         assert "idiot" in decoder.words(" ".join("".join(lead[:n]) + "idiot")), n
     assert decoder.decode(" ".join("x" * 50_000)).startswith("x")
+
+
+def test_small_disguises_reach_the_decoder():
+    decoder = prose_decoder()
+    for text in ("an iddiot here", "i  d  i  o  t", "i d  i\t\to t", "so\ni \n d i\t o  t"):
+        assert "idiot" in decoder.words(text), text
+    assert "stupid" in decoder.words("so stuupid!")
+    assert {"all", "looked"} <= decoder.words("all looked")  # the plain word stays beside the restored one
+    # a wider gap still parts words
+    assert {"idiot", "stupid"} <= decoder.words("i d i o t   s t u p i d")
+    weights = {"idiot": 5.0}
+    for text in ("an iddiot here", "i  d  i  o  t"):
+        assert toxicity.hits(decoder, {}, weights, text) == {(5.0, "idiot")}, text
+    both = {"iddiot": 4.0, "idiot": 5.0}
+    assert toxicity.hits(decoder, {}, both, "iddiot!") == {(4.0, "iddiot")}  # one word, counted once
