@@ -50,7 +50,7 @@ def _word(word: bytes) -> int:
     if text.isalpha() and text.islower():
         return xxhash.xxh32_intdigest(word) << 32 | _PLAIN
     shape, last = [], ""
-    for ch in text[:64]:
+    for ch in text:
         kind = "A" if ch.isupper() else "a" if ch.isalpha() else "0" if ch.isdigit() else ch
         if kind != last:
             shape.append(kind)

@@ -24,6 +24,12 @@ def test_weights_do_not_depend_on_read_partitions(spark):
     assert np.allclose(got[0], got[2], rtol=1e-9) and np.allclose(got[1], got[2], rtol=1e-9)
 
 
+def test_shapes_read_whole_words():
+    lead = "x" * 64
+    shapes = {quality_classifier._word((lead + tail).encode()) & 0xFFFFFFFF for tail in ("", "-", "-0", "-0-A")}
+    assert len(shapes) == 4
+
+
 def prose_decoder():
     prose = "the cat sat on a mat and an idiot looked at it while rain fell over town all day so stupid "
     return toxicity.Decoder(toxicity.log_model(toxicity.trigram_counts([prose.encode() * 200])))
