@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frontgauge.llm.common import n_words, running_total, settle, unit_hash
+from frontgauge.llm.common import WORD, n_words, running_total, settle, unit_hash
 
 BLOCK_WORDS = 4_096
 SHARE = 1.5
@@ -24,6 +24,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 # Sources are the mix's settings and are weighed on the driver; more than this is refused.
 MOST_SOURCES = 1_000_000
 GOLDEN = 0.6180339887498949
+# What lies between words.
+SPACE = r"[\x20\x09-\x0D]"
 
 
 def targets(sizes: list[int], weights: list[float], share: float, most: float) -> list[float]:
@@ -197,19 +199,28 @@ def taken(docs: DataFrame, **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """Rows of `docs`, each as often as the mix uses its document.
 
-    A use counts when the mix takes at least half of the document's words in that use
-    (only the document at a source's goal is cut), so sources keep to their targets up
-    to half a document. Columns are those of `docs`.
+    The document at a source's goal is cut: that use has the words that the mix takes,
+    which are its first ones, so every source has its goal to the word. Columns are those
+    of `docs`; in a cut row a column n_chars is the length of the text that is left.
     """
-    row = "_row"
-    while row in docs.columns:
-        row += "_"
+    text = options.get("text_col", "text")
+    row, words, size = "_row", "_words", "_size"
+    while {row, words, size} & set(docs.columns):
+        row, words, size = row + "_", words + "_", size + "_"
     kept = settle(docs.withColumn(row, F.monotonically_increasing_id()))
     uses = (
         mix(kept, row_col=row, **options)
         .groupBy("row", "pass", "size")
-        .agg(F.sum("length").alias("words"))
-        .where("2 * words >= size and words > 0")
-        .select(F.col("row").alias(row))
+        .agg(F.sum("length").alias(words))
+        .where(F.col(words) > 0)
+        .select(F.col("row").alias(row), words, F.col("size").alias(size))
     )
-    return kept.join(uses, row).select(*docs.columns)
+    cut = F.col(words) < F.col(size)
+    # words with the white space before them, so what is left is as it was
+    pieces = F.regexp_extract_all(text, F.lit(rf"{SPACE}*{WORD}"), F.lit(0))
+    left = F.array_join(F.slice(pieces, F.lit(1), F.col(words).cast("int")), "")
+    out = kept.join(uses, row).withColumn(text, F.when(cut, left).otherwise(F.col(text)))
+    if "n_chars" in docs.columns:
+        n_chars = F.length(text).cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(cut, n_chars).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from frontgauge.llm import quality_classifier, toxicity
+from frontgauge.llm import mixing, quality_classifier, toxicity
 
 
 def test_weights_do_not_depend_on_read_partitions(spark):
@@ -59,3 +59,20 @@ def test_small_disguises_reach_the_decoder():
         assert toxicity.hits(decoder, {}, weights, text) == {(5.0, "idiot")}, text
     both = {"iddiot": 4.0, "idiot": 5.0}
     assert toxicity.hits(decoder, {}, both, "iddiot!") == {(4.0, "iddiot")}  # one word, counted once
+
+
+def test_mixed_documents_reach_their_goals_to_the_word(spark):
+    """One very long document is all of source b; its goal is below half of it."""
+    long = "\n\n lead " + "  ".join(f"w{i}" for i in range(9_999))
+    rows = [(i, f"some words of document {i} ", "a", 0) for i in range(40)] + [(99, long, "b", len(long))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    options = {"share": 0.04, "weights": (1.0, 2.0), "block": 64}
+    out = mixing.mixed_documents(docs, **options)
+    assert out.schema == docs.schema
+    got = out.collect()
+    goals = {r.source: r.target for r in mixing.mix(docs, **options).select("source", "target").distinct().collect()}
+    assert 0 < goals["b"] < 5_000
+    for source, goal in goals.items():
+        assert sum(len(r.text.split()) for r in got if r.source == source) == round(goal)
+    cut = [r for r in got if r.source == "b"]
+    assert len(cut) == 1 and long.startswith(cut[0].text) and cut[0].n_chars == len(cut[0].text)
