@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from frontgauge.llm import (
     language_id,
+    lexical_search,
     mixing,
     near_dedup,
     packing,
     quality_classifier,
     quality_rules,
     sharding,
+    substring_dedup,
+    token_alignment,
     toxicity,
     url_filter,
     vector_join,
@@ -84,6 +87,23 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(table(spark, folder, "pages"))
 
 
+def op11_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that no earlier document holds in a window of 13, as a digest."""
+    return substring_dedup.strip(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Alignment of both tokenizers on every document, judged by the counts of all."""
+    return token_alignment.align(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -97,7 +117,14 @@ QUERIES: dict[str, Query] = {
         op8_quality_rules,
         op9_toxicity,
         op10_url_filter,
+        op11_substring_dedup,
+        op12_lexical_search,
+        op13_token_alignment,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run
-SQL: dict[str, str] = {"op4_vector_join": vector_join.ORACLE_SQL}
+SQL: dict[str, str] = {
+    "op4_vector_join": vector_join.ORACLE_SQL,
+    "op11_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op12_lexical_search": lexical_search.ORACLE_SQL,
+}
