@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -100,4 +101,21 @@ def settle(df: DataFrame) -> DataFrame:
     folder = use_checkpoint_dir(spark).rstrip("/")
     path = f"{folder}/frontgauge-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.settled_in = path
+    return kept
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more, and shuffle files of finished jobs.
+
+    For operators whose steps each write much: what a step has settled is all that later
+    steps need. Spark deletes the shuffle files of a finished job once the driver's garbage
+    collector finds its plan, which may otherwise be much later.
+    """
+    for table in tables:
+        sc = table.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(table.settled_in)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        sc._jvm.System.gc()
