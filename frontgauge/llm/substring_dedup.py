@@ -6,15 +6,17 @@ windows mostly share one anchor: a document has far fewer anchors than words.
 
 1. Seed: documents are joined on their anchors; an anchor that one document only (by id)
    holds is dropped, which is most of them.
-2. Extend: in the documents that are left, every seed is extended both ways, to each window
-   of LEAST words whose anchor it is. Extended matches are joined on the whole window
-   (its hash and its anchor's, 128 bits); those with a holder of a smaller id are repeats.
+2. Extend: in the documents that are left, every seed is extended both ways, as far as the
+   windows reach whose anchor it is: a segment. Segments are joined as a whole (their hash
+   and the anchor's, 128 bits), and those with a holder of a smaller id are repeats; that
+   settles the inside of all copies. Where an anchor has different segments (the ends of a
+   copied passage), the first document of each is joined with the others window by window.
 3. Keep maximal repeats: overlapping windows of a document merge into maximal spans, and
    their words are cut out of its text.
 
-No pair of documents is ever written: a window needs only the smallest id that holds it, so
-a passage of any number of holders costs each of them a row, and groups are aggregated
-before they are shuffled. Rows with NULL ids have no place in the order: nothing is taken
+No pair of documents is ever written: a match needs only the smallest id that holds it, so
+a passage of any number of holders costs each of them a row per segment, and groups are
+aggregated before they are shuffled. Tables are deleted as soon as the next step is settled. Rows with NULL ids have no place in the order: nothing is taken
 from them, and they take nothing from others.
 """
 
@@ -26,7 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frontgauge.llm.common import settle, small_batches
+from frontgauge.llm.common import small_batches
+from frontgauge.session import discard, settle
 
 LEAST = 13
 SEED = 5
@@ -91,12 +94,40 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
+def segments(window: np.ndarray, anchor: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes) of the stretches of up to `most` windows that share an anchor."""
+    at = np.arange(len(anchor))
+    turns = np.append(True, anchor[1:] != anchor[:-1])
+    run = np.maximum.accumulate(np.where(turns, at, 0))
+    starts = np.flatnonzero((at - run) % most == 0)
+    place = at - np.repeat(starts, np.diff(np.append(starts, len(at))))
+    power = np.full(most, _ROLL, dtype=np.uint64).cumprod(dtype=np.uint64)
+    sums = np.add.reduceat(window * power[place], starts)
+    lengths = np.diff(np.append(starts, len(at))).astype(np.uint64)
+    return starts, (sums ^ (sums >> np.uint64(29))) * _A + lengths
+
+
+class Passages:
+    """The windows of a text, their anchors and segments."""
+
+    def __init__(self, data: bytes, least: int, seed: int):
+        hashes = word_hashes(data.split())
+        self.window = runs(hashes, least)
+        self.anchor = window_anchors(hashes, least, seed)
+        if len(self.window):
+            self.starts, self.segment = segments(self.window, self.anchor, least - seed + 1)
+        else:
+            self.starts, self.segment = np.zeros(0, dtype=np.int64), self.window
+        self.lengths = np.diff(np.append(self.starts, len(self.window)))
+
+
 def repeated_windows(
     docs: DataFrame, least: int = LEAST, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(doc_id, windows): per id, hashes of its windows that a smaller id holds too.
+    """Settled (doc_id, segments, windows): what of an id's text a smaller id holds too.
 
-    Ids without one are absent. Rows that share an id are one document here.
+    segments: hashes of whole segments, windows: of single windows. Ids without either are
+    absent. Rows that share an id are one document here.
     """
     source = _texts(docs, id_col, text_col).where("doc_id is not null and text is not null")
     kind = source.schema["doc_id"].dataType.simpleString()
@@ -113,43 +144,84 @@ def repeated_windows(
 
     def extended(batches):
         for batch in batches:
-            ids, at, kept, windows = batch.column("doc_id"), [], [], []
+            at, anchor, segment, windows = [], [], [], []
             seeds = batch.column("seeds")
             for i, data in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
-                hashes = word_hashes(data.split())
-                anchor = window_anchors(hashes, least, seed).view(np.int64)
-                # one row per different window of the document
-                window, first = np.unique(runs(hashes, least).view(np.int64), return_index=True)
-                seeded = np.isin(anchor[first], np.asarray(seeds[i].values))
-                windows.append(window[seeded])
-                kept.append(anchor[first][seeded])
-                at += [i] * int(seeded.sum())
+                p = Passages(data, least, seed)
+                own = np.asarray(seeds[i].values).view(np.uint64)
+                _, first = np.unique(p.segment, return_index=True)  # one row per different segment
+                first = first[np.isin(p.anchor[p.starts[first]], own)]
+                for k in first:
+                    windows.append(p.window[p.starts[k] : p.starts[k] + p.lengths[k]].view(np.int64))
+                at += [i] * len(first)
+                anchor.append(p.anchor[p.starts[first]].view(np.int64))
+                segment.append(p.segment[first].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(at, pa.int32())), pa.array(np.concatenate(kept)), pa.array(np.concatenate(windows))],
-                names=["doc_id", "anchor", "window"],
+                [batch.column("doc_id").take(pa.array(at, pa.int32())), pa.array(np.concatenate(anchor)),
+                 pa.array(np.concatenate(segment)), _lists(windows)],
+                names=["doc_id", "anchor", "segment", "windows"],
             )
 
-    def shared(df: DataFrame, keys: list[str]) -> DataFrame:
-        """Settled keys that more than one id holds, with the smallest of them."""
-        ends = df.groupBy(*keys).agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last"))
-        return settle(ends.where("_first < _last").select(*keys, "_first"))
-
+    # seed: anchors that more than one id holds, then those of each document
     signed = settle(source.mapInArrow(anchors, f"doc_id {kind}, anchors array<long>"))
     each = signed.select("doc_id", F.explode("anchors").alias("anchor"))
-    seeds = (
-        each.join(shared(each, ["anchor"]).drop("_first"), "anchor")
+    shared = settle(
+        each.groupBy("anchor")
+        .agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last"))
+        .where("_first < _last")
+        .select("anchor")
+    )
+    seeds = settle(
+        each.join(shared, "anchor")
         .groupBy("doc_id")
         .agg(F.collect_set("anchor").alias("seeds"))  # no more than the document's own
     )
+    discard(signed, shared)
+
+    # extend: whole segments first
     matches = settle(
-        source.join(seeds, "doc_id").mapInArrow(extended, f"doc_id {kind}, anchor long, window long")
+        source.join(seeds, "doc_id").mapInArrow(
+            extended, f"doc_id {kind}, anchor long, segment long, windows array<long>"
+        )
+    )
+    discard(seeds)
+    different = settle(
+        matches.groupBy("anchor", "segment").agg(
+            F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("windows").alias("windows")
+        )
+    )
+    repeated = different.where("first < last").select("anchor", "segment", "first")
+    whole = (
+        matches.select("doc_id", "anchor", "segment")
+        .join(repeated, ["anchor", "segment"])
+        .where("doc_id > first")
+        .select("doc_id", "segment", F.lit(None).cast("long").alias("window"))
+    )
+    # then the windows of anchors that have different segments, once for each of them
+    contested = settle(
+        different.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1").select("anchor")
+    )
+    windows = settle(
+        different.join(contested, "anchor").select("anchor", "first", F.explode("windows").alias("window"))
+    )
+    earliest = settle(
+        windows.groupBy("anchor", "window")
+        .agg(F.min("first").alias("_first"), F.max("first").alias("_last"))
+        .where("_first < _last")
+        .select("anchor", "window", "_first")
+    )
+    single = (
+        windows.join(earliest, ["anchor", "window"])
+        .where("first > _first")
+        .select(F.col("first").alias("doc_id"), F.lit(None).cast("long").alias("segment"), "window")
     )
-    return (
-        matches.join(shared(matches, ["anchor", "window"]), ["anchor", "window"])
-        .where("doc_id > _first")
+    found = settle(
+        whole.union(single)
         .groupBy("doc_id")
-        .agg(F.collect_set("window").alias("windows"))
+        .agg(F.collect_set("segment").alias("segments"), F.collect_set("window").alias("windows"))
     )
+    discard(matches, different, contested, windows, earliest)
+    return found
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -180,16 +252,17 @@ def strip(
     def cut(batches):
         for batch in batches:
             n, left, spans = [], [], []
-            windows = batch.column("windows")
+            windows, segments = batch.column("windows"), batch.column("segments")
             for i, data in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
                 words, out = (data or b"").split(), []
                 n.append(len(words))
-                if windows[i].is_valid:
-                    hashes = runs(word_hashes(words), least).view(np.int64)
-                    gone = covered(np.isin(hashes, np.asarray(windows[i].values)), least)
-                    if len(hashes):
-                        out = spans_of(gone)
-                        words = [w for w, g in zip(words, gone) if not g]
+                if windows[i].is_valid and len(words) >= least:
+                    p = Passages(data, least, seed)
+                    repeated = np.isin(p.window, np.asarray(windows[i].values).view(np.uint64))
+                    whole = np.isin(p.segment, np.asarray(segments[i].values).view(np.uint64))
+                    gone = covered(repeated | np.repeat(whole, p.lengths), least)
+                    out = spans_of(gone)
+                    words = [w for w, g in zip(words, gone) if not g]
                 spans.append([{"start": a, "length": b} for a, b in out])
                 left.append(b" ".join(words))
             kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
@@ -201,7 +274,7 @@ def strip(
             )
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.join(found, "doc_id", "left").select("doc_id", "text", "windows").mapInArrow(
+    return source.join(found, "doc_id", "left").select("doc_id", "text", "segments", "windows").mapInArrow(
         cut,
         f"doc_id {kind}, n_words long, n_removed long, spans array<struct<start:long,length:long>>, kept string",
     )
