@@ -14,8 +14,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 BUCKET_ROWS = 4_096
 # Rows of a lookup table that may be broadcast; its rows hold a few numbers each.
 LOOKUP_ROWS = 50_000
-# Rows of an Arrow batch that holds whole texts.
+# Rows and bytes of an Arrow batch that holds whole texts (one text may be longer).
 TEXT_ROWS = 1_000
+TEXT_BYTES = 8 << 20
 # Edges of a graph that one task joins to components (16 bytes each).
 LOCAL_EDGES = 500_000
 
@@ -25,14 +26,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Ask for Arrow batches of TEXT_ROWS rows at most, where the session allows more.
+    """Ask for Arrow batches of TEXT_ROWS rows and TEXT_BYTES at most, where the session allows more.
 
     Both a task and its Python worker hold whole batches; ten thousand long texts, the
     default, take hundreds of megabytes on either side.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= TEXT_ROWS:
-        spark.conf.set(key, str(TEXT_ROWS))
+    prefix = "spark.sql.execution.arrow."
+    if not 0 < int(spark.conf.get(prefix + "maxRecordsPerBatch", "10000")) <= TEXT_ROWS:
+        spark.conf.set(prefix + "maxRecordsPerBatch", str(TEXT_ROWS))
+    in_bytes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if in_bytes(spark.conf.get(prefix + "maxBytesPerBatch", "64m")) > TEXT_BYTES:
+        spark.conf.set(prefix + "maxBytesPerBatch", str(TEXT_BYTES))
 
 
 def n_words(text: Column) -> Column:

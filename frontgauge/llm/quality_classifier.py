@@ -208,7 +208,7 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, **options) -> DataF
     id; doc_id serves to find labels only, and other columns are not read.
     """
     weights = train(docs, labels, learn, **options)
-    return docs.select("doc_id", scorer(docs, weights)(F.coalesce("text", F.lit(""))).alias("score"))
+    return docs.select("doc_id", scorer(docs, weights)("text").alias("score"))
 
 
 def keep(
@@ -216,4 +216,4 @@ def keep(
 ) -> DataFrame:
     """The rows of `docs` that score `cutoff` or more, with all their columns."""
     weights = train(docs, labels, learn, **options)
-    return docs.where(scorer(docs, weights)(F.coalesce("text", F.lit(""))) >= cutoff)
+    return docs.where(scorer(docs, weights)("text") >= cutoff)
