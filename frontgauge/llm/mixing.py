@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from frontgauge.llm.common import WORD, n_words, running_total, settle, unit_hash
@@ -99,6 +99,35 @@ def schedule(spark, goals: list[int], block: int) -> DataFrame:
     return kept.union(late)
 
 
+def copies_numbered(sized: DataFrame) -> DataFrame:
+    """Settled rows (row, key, ...) with `copy`: 0, 1, 2 ... among the rows of one key.
+
+    Which of them has which number does not matter, as they are alike; the numbers are the
+    same however the rows were read. Keys of one row, nearly all, take no part in the work.
+    A key's rows are counted part by part of the read, so a key may hold any share of them.
+    """
+    again = settle(sized.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key"))
+    if again.isEmpty():
+        return sized.withColumn("copy", F.lit(0).cast("long"))
+    part = F.shiftright("row", 33)  # the partition that numbered the row
+    some = sized.join(again, "key").withColumn("_part", part)
+    earlier = Window.partitionBy("key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = some.groupBy("key", "_part").agg(F.count("*").alias("_n")).select(
+        "key", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
+    )
+    inside = Window.partitionBy("key", "_part").orderBy("row")
+    numbered = (
+        some.withColumn("copy", F.row_number().over(inside) - 1)
+        .join(before, ["key", "_part"])
+        .withColumn("copy", F.col("copy") + F.col("_before"))
+        .select(*sized.columns, "copy")
+    )
+    return settle(
+        sized.join(again, "key", "left_anti").select(*sized.columns, F.lit(0).cast("long").alias("copy"))
+        .union(numbered)
+    )
+
+
 def mix(
     docs: DataFrame,
     share: float = SHARE,
@@ -118,10 +147,12 @@ def mix(
     go to the slot; pass 0 is the first use of its source, pass 1 the second.
 
     Sources are taken by code point with NULL last, and weighed by `weights` in turn.
-    A NULL id is an id like any other; repeated rows are mixed each on its own; NULL or
-    empty text has size 0 and is never taken. An empty table, or one without a word,
-    gives targets of 0. Other columns are not read. `row_col` names a column that
-    already numbers the rows; without it they are numbered here.
+    A source's documents are laid out by a hash of id, source and text, so the mix depends on
+    the rows alone and not on how they are read. A NULL id is an id like any other; repeated
+    rows are mixed each on its own; NULL or empty text has size 0 and is never taken. An empty table, or one without a word,
+    gives targets of 0. Other columns are not read. `row_col` names a column of
+    monotonically_increasing_id() that already numbers the rows; without it they are
+    numbered here.
     """
     spark = docs.sparkSession
     sized = settle(
@@ -129,6 +160,7 @@ def mix(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
             n_words(F.col(text_col)).alias("size"),
+            F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col)).alias("key"),
             (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"),
         )
     )
@@ -145,12 +177,13 @@ def mix(
         [(i, r[0], s, g, w) for i, (r, s, g, w) in enumerate(zip(found, sizes, goals, whole))],
         "source_no int, source string, source_size long, target double, _goal long",
     )
-    known = sized.join(
-        plan, sized["source"].eqNullSafe(plan["source"])
+    numbered = copies_numbered(sized)
+    known = numbered.join(
+        plan, numbered["source"].eqNullSafe(plan["source"])
     ).drop(plan["source"])
     laid = running_total(
-        known.withColumn("_place", unit_hash("doc_id", "row")),
-        ["source_no"], "_place", ["doc_id", "row"], "size", sum(r[2] for r in found), "_at",
+        known.withColumn("_place", unit_hash("key", "copy")),
+        ["source_no"], "_place", ["key", "copy"], "size", sum(r[2] for r in found), "_at",
     )
     # every use of a source lays its stream out once more, behind the last
     uses = F.when(

@@ -433,3 +433,16 @@ def test_pipeline(spark, documents):
     assert pieces and {r.doc_id for r in pieces} <= {r.doc_id for r in documents.collect()}
     sizes = packing.sequences([(r.sequence_id, r.offset, r.length) for r in pieces])
     assert sum(sizes.values()) == sum(r.length for r in pieces)
+
+
+def test_the_mix_does_not_depend_on_read_partitions(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")
+    some = rows.where("doc_id < 40")
+    whole = rows.union(some).union(some).union(rows.where("doc_id = 7").withColumn("doc_id", F.lit(None)))
+
+    def mixed(parts, run):
+        dealt = whole.repartition(parts) if parts > 1 else whole.coalesce(1)
+        return sorted(map(str, run(dealt).collect()))
+
+    assert len({str(mixed(n, mixing.taken)) for n in (1, 5, 30)}) == 1
+    assert len({str(mixed(n, mixing.mixed_documents)) for n in (1, 7)}) == 1
