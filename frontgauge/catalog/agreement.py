@@ -133,3 +133,41 @@ _REL = "CASE WHEN a.{x}1 <= b.{x}1 AND a.{x}2 <= b.{x}2 AND (a.{x}1 < b.{x}1 OR
 )
 def pair_order(spark, folder):
     return L.pair_order(I.predictions(spark, folder), _MP, ["t1", "t2"], ["p1", "p2"])
+
+
+@query(
+    f"""WITH {I.PARTIAL}, r AS (SELECT *, row_number() OVER (PARTITION BY model, problem ORDER BY y, id) AS a,
+      row_number() OVER (PARTITION BY model, problem ORDER BY yhat, id) AS b FROM whole)
+    SELECT model, problem, count(*) FILTER (a <= 5) AS k,
+      count(*) FILTER (a <= 5 AND b <= 5) / nullif(count(*) FILTER (a <= 5), 0) AS topk_recall,
+      max(y) FILTER (b = 1) - min(y) AS regret
+    FROM groups LEFT JOIN r USING (model, problem) GROUP BY model, problem""",
+    ["topk_recall", "regret"],
+)
+def topk_of_incomplete(spark, folder):
+    """A row without a prediction is not predicted best."""
+    return L.topk(I.partial_predictions(spark, folder), ["model", "problem"], ["id"], 5)
+
+
+def _half_known(name: str):
+    return F.when(F.col("id") % 5 != 2, F.col(name)).alias(name)
+
+
+@query(
+    f"""WITH {I.PREDICTIONS}, q AS (SELECT model, problem, id, t1, t2, p1,
+        CASE WHEN id % 5 <> 2 THEN p2 END AS p2 FROM preds),
+      r AS (SELECT a.model, a.problem,
+        CASE WHEN a.t1 <= b.t1 AND a.t2 <= b.t2 AND (a.t1 < b.t1 OR a.t2 < b.t2) THEN 1
+          WHEN b.t1 <= a.t1 AND b.t2 <= a.t2 AND (b.t1 < a.t1 OR b.t2 < a.t2) THEN -1 ELSE 0 END AS t,
+        CASE WHEN a.p1 <= b.p1 AND a.p2 <= b.p2 AND (a.p1 < b.p1 OR a.p2 < b.p2) THEN 1
+          WHEN b.p1 <= a.p1 AND b.p2 <= a.p2 AND (b.p1 < a.p1 OR b.p2 < a.p2) THEN -1 ELSE 0 END AS p
+        FROM q a JOIN q b ON a.model = b.model AND a.problem = b.problem AND a.id < b.id
+        WHERE a.p2 IS NOT NULL AND b.p2 IS NOT NULL)
+    SELECT g.model, g.problem, count(t) AS pairs, count(*) FILTER (t = p) AS unchanged,
+      count(*) FILTER (t = p) / nullif(count(t), 0) AS share
+    FROM (SELECT DISTINCT model, problem FROM q) g LEFT JOIN r USING (model, problem) GROUP BY ALL""",
+    ["share"],
+)
+def pair_order_of_incomplete(spark, folder):
+    df = I.predictions(spark, folder).withColumn("p2", _half_known("p2"))
+    return L.pair_order(df, ["model", "problem"], ["t1", "t2"], ["p1", "p2"])

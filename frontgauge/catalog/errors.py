@@ -109,3 +109,52 @@ def residual_histogram(spark, folder):
 def fold_summary(spark, folder):
     per_fold = E.errors(I.long_predictions(spark, folder), ["model", "objective", "fold"])
     return E.over_folds(per_fold, ["model", "objective"], ["rmse", "mae"])
+
+
+_MP = ["model", "problem"]
+
+
+@query(
+    f"""WITH {I.PARTIAL} SELECT model, problem, count(y) AS n, avg(abs(y - yhat)) AS mae,
+      sqrt(avg((y - yhat) * (y - yhat))) AS rmse,
+      1 - avg((y - yhat) * (y - yhat)) / nullif(var_pop(y), 0) AS r2,
+      avg(abs(y - yhat) / abs(y)) AS mape, count(*) FILTER (y = 0) AS zero_y,
+      sqrt(avg((y - yhat) * (y - yhat))) / nullif(max(y) - min(y), 0) AS nrmse
+      FROM groups LEFT JOIN whole USING (model, problem) GROUP BY model, problem""",
+    ["mae", "rmse", "r2", "mape", "nrmse"],
+)
+def errors_of_incomplete(spark, folder):
+    """Only rows with both values count, in every error alike."""
+    df = I.partial_predictions(spark, folder)
+    plain = E.errors(df, _MP).select(*_MP, "n", "mae", "rmse")
+    share = E.r2(df, _MP).select(*_MP, "r2")
+    return plain.join(share, _MP).join(E.rel_errors(df, _MP).drop("smape"), _MP)
+
+
+@query(
+    f"""WITH {I.PARTIAL}, r AS (SELECT *,
+      rank() OVER (PARTITION BY model, problem ORDER BY y)
+        + (count(*) OVER (PARTITION BY model, problem, y) - 1) / 2.0 AS ry,
+      rank() OVER (PARTITION BY model, problem ORDER BY yhat)
+        + (count(*) OVER (PARTITION BY model, problem, yhat) - 1) / 2.0 AS rp FROM whole)
+    SELECT model, problem,
+      CASE WHEN min(y) < max(y) AND min(yhat) < max(yhat) THEN corr(y, yhat) END AS pearson,
+      CASE WHEN min(y) < max(y) AND min(yhat) < max(yhat) THEN corr(ry, rp) END AS spearman
+    FROM groups LEFT JOIN r USING (model, problem) GROUP BY model, problem""",
+    ["pearson", "spearman"],
+)
+def correlations_of_incomplete(spark, folder):
+    return E.corrs(I.partial_predictions(spark, folder), _MP, ["id"])
+
+
+@query(
+    f"""WITH {I.PARTIAL}, p AS (SELECT a.model, a.problem, sign(a.y - b.y) AS sx, sign(a.yhat - b.yhat) AS sy
+      FROM whole a JOIN whole b ON a.model = b.model AND a.problem = b.problem AND a.id < b.id)
+    SELECT model, problem, count(sx) AS pairs, count(*) FILTER (sx * sy > 0) AS concordant,
+      count(*) FILTER (sx * sy < 0) AS discordant, sum(sx * sy) / nullif(sqrt(count(*) FILTER (sx <> 0))
+        * sqrt(count(*) FILTER (sy <> 0)), 0) AS tau_b
+    FROM groups LEFT JOIN p USING (model, problem) GROUP BY model, problem""",
+    ["tau_b"],
+)
+def kendall_of_incomplete(spark, folder):
+    return E.kendall(I.partial_predictions(spark, folder), _MP)

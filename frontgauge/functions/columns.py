@@ -30,6 +30,11 @@ def any_of(conds: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, conds)
 
 
+def known(*cols: str) -> Column:
+    """Whether all of these columns have a value."""
+    return every([F.col(c).isNotNull() for c in cols])
+
+
 def largest(cols: Sequence[Column]) -> Column:
     return F.greatest(*cols) if len(cols) > 1 else cols[0]
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import ColumnOrNumber, ratio
+from ..functions.columns import ColumnOrNumber, known, ratio
 from ..plans.dominance import front_rows
 from ..plans.ordered import BLOCK, in_blocks, match, running
 from ..plans.segments import by_size, pair_counts
@@ -66,9 +66,12 @@ def topk(
 ) -> DataFrame:
     """Share of the true best k among the predicted best k, and the regret of the predicted best.
 
-    Smaller is better; ties by id.
+    Smaller is better; ties by id. Rows without a true or a predicted value do not count;
+    a group of such rows stays, with k 0.
     """
     keys, id = list(keys), list(id)
+    nothing = _without_rows(df, keys, [y, yhat])
+    df = df.where(known(y, yhat))
     true = top_n(df, keys, [y, *id], k).select(*keys, *id, F.lit(1).alias("_t"), F.lit(0).alias("_p"))
     pred = top_n(df, keys, [yhat, *id], k).select(*keys, *id, F.lit(0).alias("_t"), F.lit(1).alias("_p"))
     both = true.unionByName(pred).groupBy(*keys, *id).agg(F.sum("_t").alias("_t"), F.sum("_p").alias("_p"))
@@ -79,7 +82,20 @@ def topk(
     regret = df.groupBy(*keys).agg(
         (F.min_by(y, F.struct(yhat, *id)) - F.min(y)).alias("regret")
     )
-    return match(recall, regret, keys)
+    return match(recall, regret, keys).unionByName(
+        nothing.select(
+            *keys,
+            F.lit(0).cast("long").alias("k"),
+            F.lit(None).cast("double").alias("topk_recall"),
+            F.lit(None).cast(regret.schema["regret"].dataType).alias("regret"),
+        )
+    )
+
+
+def _without_rows(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """Groups that hold no row with all of these values."""
+    whole = df.groupBy(*keys).agg(F.count_if(known(*cols)).alias("_n"))
+    return whole.where("_n = 0").select(*keys)
 
 
 def anytime(
@@ -116,9 +132,12 @@ def pair_order(
     """Share of row pairs whose relation (which dominates, or neither) is unchanged.
 
     Small groups are counted directly, big ones from counts of pairs in joint
-    order; no pair is listed either way.
+    order; no pair is listed either way. Rows with a NULL objective, true or predicted, do
+    not count; a group of such rows stays, with 0 pairs.
     """
     keys, t, p = list(keys), list(true), list(pred)
+    nothing = _without_rows(df, keys, [*t, *p])
+    df = df.where(known(*t, *p))
     n = F.col("n")
     pairs = (n * (n - 1) / 2).cast("long")
     finish = [*keys, pairs.alias("pairs"), "unchanged", ratio(F.col("unchanged"), pairs).alias("share")]
@@ -135,7 +154,12 @@ def pair_order(
     def big(rows: DataFrame) -> DataFrame:
         return _unchanged_pairs(rows, keys, t, p).select(*finish)
 
-    return by_size(df, keys, small, big)
+    zero = F.lit(0).cast("long")
+    return by_size(df, keys, small, big).unionByName(
+        nothing.select(
+            *keys, zero.alias("pairs"), zero.alias("unchanged"), F.lit(None).cast("double").alias("share")
+        )
+    )
 
 
 def _unchanged_pairs(df: DataFrame, keys: list[str], t: list[str], p: list[str]) -> DataFrame:

@@ -1,17 +1,21 @@
-"""Prediction error by group; all of it plain aggregates except ranks and quantiles."""
+"""Prediction error by group; all of it plain aggregates except ranks and quantiles.
+
+A row counts where both the true and the predicted value are known, and nowhere else: `n`
+says how many rows did. A group without such a row stays, with n 0 and NULL metrics.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_col, ratio
+from ..functions.columns import as_col, known, ratio
 from ..plans.dominance import distinct_vectors, weak_hits
+from ..plans.inversions import inversions
 from ..plans.ordered import average_rank, quantiles
-from ..plans.segments import by_size, pair_counts
+from ..session import settle
 
 
 def error_columns(y: str | Column = "y", yhat: str | Column = "yhat", suffix: str = "") -> list[Column]:
@@ -27,19 +31,21 @@ def error_columns(y: str | Column = "y", yhat: str | Column = "yhat", suffix: st
 
 def errors(df: DataFrame, keys: Sequence[str], y: str = "y", yhat: str = "yhat") -> DataFrame:
     """n, MAE, MSE, RMSE, largest absolute error and bias."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *error_columns(y, yhat))
+    n = F.count_if(known(y, yhat)).alias("n")
+    return df.groupBy(*keys).agg(n, *error_columns(y, yhat))
 
 
 def r2(df: DataFrame, keys: Sequence[str], y: str = "y", yhat: str = "yhat") -> DataFrame:
     """Coefficient of determination and explained variance; NULL on constant y."""
     e = F.col(y) - F.col(yhat)
+    t = F.when(known(y, yhat), F.col(y))
     varies = F.col("_lo") < F.col("_hi")
     out = df.groupBy(*keys).agg(
         F.avg(e * e).alias("_mse"),
         F.var_pop(e).alias("_ve"),
-        F.var_pop(y).alias("_vy"),
-        F.min(y).alias("_lo"),
-        F.max(y).alias("_hi"),
+        F.var_pop(t).alias("_vy"),
+        F.min(t).alias("_lo"),
+        F.max(t).alias("_hi"),
     )
     return out.select(
         *keys,
@@ -50,11 +56,12 @@ def r2(df: DataFrame, keys: Sequence[str], y: str = "y", yhat: str = "yhat") ->
 
 def rel_errors(df: DataFrame, keys: Sequence[str], y: str = "y", yhat: str = "yhat") -> DataFrame:
     """MAPE over rows with y <> 0 (the others counted), sMAPE, RMSE over the range of y."""
-    t, p = F.col(y), F.col(yhat)
+    p = F.col(yhat)
+    t = F.when(known(y, yhat), F.col(y))
     e = t - p
     return df.groupBy(*keys).agg(
         F.avg(ratio(F.abs(e), F.abs(t))).alias("mape"),
-        F.sum((t == 0).cast("long")).alias("zero_y"),
+        F.count_if(t == 0).alias("zero_y"),
         # a row with both values 0 has no error
         F.avg(F.coalesce(ratio(2 * F.abs(e), F.abs(t) + F.abs(p)), F.when(e == 0, 0.0))).alias("smape"),
         ratio(F.sqrt(F.avg(e * e)), F.max(t) - F.min(t)).alias("nrmse"),
@@ -73,8 +80,12 @@ def corrs(
     df: DataFrame, keys: Sequence[str], id: Sequence[str], y: str = "y", yhat: str = "yhat"
 ) -> DataFrame:
     """Pearson and Spearman (Pearson of average ranks). `id` only breaks ties in the sort."""
-    ranked = average_rank(df.select(*keys, *id, y, yhat), keys, y, id, "_ry")
+    both = known(y, yhat)
+    # Rows that do not count have neither value: they shift all ranks alike.
+    whole = df.select(*keys, *id, F.when(both, F.col(y)).alias(y), F.when(both, F.col(yhat)).alias(yhat))
+    ranked = average_rank(whole, keys, y, id, "_ry")
     ranked = average_rank(ranked, keys, yhat, id, "_rp")
+    ranked = ranked.withColumns({r: F.when(known(y), F.col(r)) for r in ("_ry", "_rp")})
     return ranked.groupBy(*keys).agg(
         _corr(y, yhat).alias("pearson"), _corr("_ry", "_rp").alias("spearman")
     )
@@ -110,71 +121,42 @@ def sum_parts(keys: Sequence[str], parts: dict[str, DataFrame]) -> DataFrame:
     return out.groupBy(*keys).agg(*[F.coalesce(F.sum(n), F.lit(0).cast("long")).alias(n) for n in parts])
 
 
-def _order_counts(some: np.ndarray, all_: np.ndarray) -> list[int]:
-    (x, y), (u, v) = some.T, np.ascontiguousarray(all_.T)
-    up_x, up_y = x[:, None] > u[None, :], y[:, None] > v[None, :]
-    down_x, down_y = x[:, None] < u[None, :], y[:, None] < v[None, :]
-    # by symmetry each kind of pair is met once in either direction
-    return [
-        2 * int(np.count_nonzero(up_x & up_y)),
-        2 * int(np.count_nonzero(up_x & down_y)),
-        int(np.count_nonzero(up_x | down_x)),
-        int(np.count_nonzero(up_y | down_y)),
-    ]
-
-
 def kendall(df: DataFrame, keys: Sequence[str], x: str = "y", y: str = "yhat") -> DataFrame:
     """Kendall tau-b; NULL where either side is constant.
 
-    Small groups are counted directly, big ones from counts of pairs in order.
+    Knight's method: in order of (x, y) the discordant pairs are the inversions of y; ties
+    come from counts of equal values. About n log n steps, a group of any size.
     """
     keys = list(keys)
-    names = ["concordant", "discordant", "_dx", "_dy"]
-    n = F.col("n")
-    scale = F.sqrt(F.col("_dx").cast("double")) * F.sqrt(F.col("_dy").cast("double"))
-    finish = [
-        *keys,
-        (n * (n - 1) / 2).cast("long").alias("pairs"),
-        "concordant",
-        "discordant",
-        ratio(F.col("concordant") - F.col("discordant"), scale).alias("tau_b"),
-    ]
-
-    def small(rows: DataFrame, size: int) -> DataFrame:
-        got = pair_counts(rows, keys, [x, y], names, _order_counts, size)
-        return got.withColumns({c: (F.col(c) / 2).cast("long") for c in names}).select(*finish)
+    whole = df.where(known(x, y))
+    tally = settle(whole.groupBy(*keys, x, y).agg(F.count(F.lit(1)).cast("double").alias("_w")))
 
-    def big(rows: DataFrame) -> DataFrame:
-        return _kendall_counts(rows, keys, x, y).select(*finish)
+    def tied(*cols: str) -> DataFrame:
+        """Ordered pairs, a row with itself included, that are alike in these columns."""
+        same = tally.groupBy(*keys, *cols).agg(F.sum("_w").cast("long").alias("_c"))
+        return same.groupBy(*keys).agg(F.sum(F.col("_c") * F.col("_c")).alias("_pairs"))
 
-    return by_size(df.select(*keys, x, y), keys, small, big)
-
-
-def _kendall_counts(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    # ordered pairs with i <= j in both; of these, ties in x and in y need their own count
     got = sum_parts(
         keys,
         {
-            "_le": pairs_no_worse(df, keys, [x, y]),
-            "_tx": pairs_no_worse(df, [*keys, x], [y]).groupBy(*keys).agg(F.sum("_pairs").alias("_pairs")),
-            "_ty": pairs_no_worse(df, [*keys, y], [x]).groupBy(*keys).agg(F.sum("_pairs").alias("_pairs")),
-            "_exy": equal_pairs(df, keys, [x, y]),
-            "_ex": equal_pairs(df, keys, [x]),
-            "_ey": equal_pairs(df, keys, [y]),
-            "n": df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_pairs")),
+            "n": df.groupBy(*keys).agg(F.count_if(known(x, y)).alias("_pairs")),
+            "_ex": tied(x),
+            "_ey": tied(y),
+            "_exy": tied(x, y),
+            "discordant": inversions(tally, keys, x, y).withColumnRenamed("_inversions", "_pairs"),
         },
     )
     n = F.col("n")
     pairs = (n * (n - 1) / 2).cast("long")
     tied_x, tied_y, tied_xy = (((F.col(c) - n) / 2).cast("long") for c in ("_ex", "_ey", "_exy"))
-    concordant = F.col("_le") - F.col("_tx") - F.col("_ty") + F.col("_exy")
+    concordant = pairs - tied_x - tied_y + tied_xy - F.col("discordant")
+    scale = F.sqrt((pairs - tied_x).cast("double")) * F.sqrt((pairs - tied_y).cast("double"))
     return got.select(
         *keys,
-        "n",
+        pairs.alias("pairs"),
         concordant.alias("concordant"),
-        (pairs - tied_x - tied_y + tied_xy - concordant).alias("discordant"),
-        (pairs - tied_x).alias("_dx"),
-        (pairs - tied_y).alias("_dy"),
+        "discordant",
+        ratio(concordant - F.col("discordant"), scale).alias("tau_b"),
     )
 
 

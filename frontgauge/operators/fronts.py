@@ -110,8 +110,11 @@ def front_constrained(
 
 
 def nd_rank(df: DataFrame, keys: Sequence[str], objs: Sequence[str]) -> DataFrame:
-    """Add `rank`: 1 for the front, 2 for the front of the rest, and so on."""
-    return join_on(df, ranked_vectors(df, keys, objs), [*keys, *objs])
+    """Add `rank`: 1 for the front, 2 for the front of the rest, and so on.
+
+    A row with a NULL objective has no rank.
+    """
+    return join_on(df, ranked_vectors(df, keys, objs), [*keys, *objs], "left")
 
 
 def crowding(

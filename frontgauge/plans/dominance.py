@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import known
 from ..session import limit, settle
 from .ordered import (
     BLOCK,
@@ -188,19 +189,19 @@ def weak_hits(
     if not laid.split:
         return near
     level, node = f"_level{len(objs)}", f"_node{len(objs)}"
-    halves = _tree_halves(laid, keys, level, node)
+    halves = tree_halves(laid.df, keys, level, node)
     far = weak_hits(halves, [*keys, level, node], objs[:-1], count)
     return near.unionByName(far).groupBy("_rid").agg(F.sum("_hits").alias("_hits"))
 
 
-def _tree_halves(laid: Laid, keys: Sequence[str], level: str, node: str) -> DataFrame:
+def tree_halves(blocked: DataFrame, keys: Sequence[str], level: str, node: str) -> DataFrame:
     """Copy each row of a spread group to the tree nodes above its block."""
-    blocks = laid.df.select(*keys, BLOCK).distinct()
+    blocks = blocked.select(*keys, BLOCK).distinct()
     whole = Window.partitionBy(*keys)  # over blocks, not rows
     ends = spread_groups(blocks, keys).withColumns(
         {"_lo": F.min(BLOCK).over(whole), "_hi": F.max(BLOCK).over(whole)}
     )
-    rows = join_blocks(laid.df, ends, keys)
+    rows = join_blocks(blocked, ends, keys)
     depth = F.length(F.bin(F.col("_lo").bitwiseXOR(F.col("_hi")).cast("long")))
     rows = rows.withColumn(level, F.explode(F.sequence(F.lit(0), depth - 1)))
     rows = rows.withColumns(
@@ -269,8 +270,12 @@ def _thinned(df: DataFrame, keys: Sequence[str], objs: Sequence[str]) -> DataFra
 
 
 def front_vectors(df: DataFrame, keys: Sequence[str], objs: Sequence[str]) -> DataFrame:
-    """Distinct non-dominated vectors of each group, any number of objectives."""
+    """Distinct non-dominated vectors of each group, any number of objectives.
+
+    A row with a NULL objective is on no front and keeps none off it.
+    """
     keys, objs = list(keys), list(objs)
+    df = df.where(known(*objs))
     if len(objs) == 1:
         return df.groupBy(*keys).agg(F.min(objs[0]).alias(objs[0]))
     if len(objs) == 2:
@@ -306,8 +311,9 @@ def front_vectors(df: DataFrame, keys: Sequence[str], objs: Sequence[str]) -> Da
 
 
 def front_rows(df: DataFrame, keys: Sequence[str], objs: Sequence[str]) -> DataFrame:
-    """Rows on the front of their group, all copies kept."""
+    """Rows on the front of their group, all copies kept; rows with a NULL objective are not."""
     keys, objs = list(keys), list(objs)
+    df = df.where(known(*objs))
     if len(objs) == 2:
         _, largest = group_sizes(df, keys)
         if largest <= limit(df.sparkSession, "window.rows"):
@@ -322,10 +328,10 @@ def front_rows(df: DataFrame, keys: Sequence[str], objs: Sequence[str]) -> DataF
 
 
 def ranked_vectors(df: DataFrame, keys: Sequence[str], objs: Sequence[str]) -> DataFrame:
-    """Distinct vectors of each group with their non-dominated rank."""
+    """Distinct vectors of each group with their non-dominated rank; none with a NULL objective."""
     keys, objs = list(keys), list(objs)
     cols = [*keys, *objs]
-    vec = settle(df.select(*cols).distinct())
+    vec = settle(df.select(*cols).where(known(*objs)).distinct())
     # With two objectives ranking a group costs no more than sorting it, with three
     # little more.
     limits = {2: "window.rows", 3: "sweep.rows"}
