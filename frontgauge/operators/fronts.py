@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
-from ..plans.dominance import distinct_vectors, front_rows, ranked_vectors, weak_hits
+from ..plans.dominance import distinct_vectors, front_rows, weak_hits
 from ..plans.ordered import join_on, neighbours, numbered
+from ..plans.ranking import ranked_vectors
 from ..session import settle
 
 # Up to this size a task keeps only its own first rows before the shuffle.

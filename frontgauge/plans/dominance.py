@@ -15,7 +15,6 @@ per other row.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -32,7 +31,6 @@ from .ordered import (
     in_blocks,
     join_blocks,
     join_on,
-    match,
     running,
     spread_groups,
 )
@@ -68,62 +66,6 @@ def front_mask(v: np.ndarray) -> np.ndarray:
     return keep
 
 
-def peel_ranks(v: np.ndarray) -> np.ndarray:
-    """1 for the front, 2 for the front of the rest, and so on; rows of v distinct."""
-    rank = np.zeros(len(v), dtype=np.int64)
-    if v.shape[1] == 2:
-        # Rows in order of the first column; a front takes a row when the last
-        # row it took is better in the second, and those values only grow.
-        last: list[float] = []
-        for i in np.lexsort((v[:, 1], v[:, 0])):
-            r = bisect_right(last, v[i, 1])
-            last[r : r + 1] = [v[i, 1]]
-            rank[i] = r + 1
-        return rank
-    if v.shape[1] == 3:
-        return _staircase_ranks(v)
-    left, r = np.arange(len(v)), 0
-    while left.size:
-        r += 1
-        top = front_mask(v[left])
-        rank[left[top]] = r
-        left = left[~top]
-    return rank
-
-
-def _staircase_ranks(v: np.ndarray) -> np.ndarray:
-    """Ranks of distinct rows with three columns, in about n log^2 n steps.
-
-    In order of the third column (then the others) nothing is dominated by a later row.
-    Of every front the rows so far form a staircase in the first two columns: ascending
-    in the first, descending in the second. A row that a front dominates is dominated by
-    all fronts before it, so its front is found by halving.
-    """
-    rank = np.zeros(len(v), dtype=np.int64)
-    stairs: list[tuple[list[float], list[float]]] = []
-    for i in np.lexsort((v[:, 1], v[:, 0], v[:, 2])):
-        a, b = v[i, 0], v[i, 1]
-        low, high = 0, len(stairs)
-        while low < high:
-            mid = (low + high) // 2
-            firsts, seconds = stairs[mid]
-            at = bisect_right(firsts, a) - 1
-            if at >= 0 and seconds[at] <= b:
-                low = mid + 1
-            else:
-                high = mid
-        rank[i] = low + 1
-        if low == len(stairs):
-            stairs.append(([], []))
-        firsts, seconds = stairs[low]
-        # steps that this row makes needless: no better in either column
-        at = end = bisect_left(firsts, a)
-        while end < len(firsts) and seconds[end] >= b:
-            end += 1
-        firsts[at:end], seconds[at:end] = [a], [b]
-    return rank
-
-
 def weak_tally(
     src: np.ndarray, weight: np.ndarray, qry: np.ndarray, step: int = 256
 ) -> np.ndarray:
@@ -138,22 +80,36 @@ def weak_tally(
     return out
 
 
+def weak_best(src: np.ndarray, weight: np.ndarray, qry: np.ndarray, step: int = 256) -> np.ndarray:
+    """For each query row, the largest weight of a source row no worse in any column, or 0."""
+    out = np.zeros(len(qry))
+    for i in range(0, len(qry), step):
+        part = qry[i : i + step]
+        ok = np.ones((len(part), len(src)), dtype=bool)
+        for k in range(src.shape[1]):
+            ok &= src[None, :, k] <= part[:, None, k]
+        out[i : i + step] = np.where(ok, weight[None, :], 0).max(axis=1)
+    return out
+
+
 # -- distributed count and test -----------------------------------------------
 
 
 def weak_hits(
-    rows: DataFrame, keys: Sequence[str], objs: Sequence[str], count: bool = True
+    rows: DataFrame, keys: Sequence[str], objs: Sequence[str], count: bool = True, best: bool = False
 ) -> DataFrame:
     """(_rid, _hits): for each query, the weight of the sources no worse than it.
 
     `rows` holds keys, objs, _w (double weight), _src and _qry (may it act as
     source, as query) and _rid (long, unique). A row that is both counts itself.
     With count=False only "more than itself or not" is kept exact, which saves
-    one round of copying.
+    one round of copying. With best=True `_hits` is the largest of the sources' weights
+    in place of their sum, 0 without any.
     """
     keys, objs = list(keys), list(objs)
+    fold, name, tally = (F.max, "max", weak_best) if best else (F.sum, "sum", weak_tally)
     if not objs:
-        total = rows.where("_src").groupBy(*keys).agg(F.sum("_w").alias("_hits"))
+        total = rows.where("_src").groupBy(*keys).agg(fold("_w").alias("_hits"))
         hits = F.coalesce("_hits", F.lit(0.0)).alias("_hits")
         return join_on(rows.where("_qry"), total, keys, "left").select("_rid", hits)
 
@@ -162,9 +118,9 @@ def weak_hits(
     order = [*reversed(objs), "_role", "_rid"]
     if len(objs) == 1:
         laid = in_blocks(rows, keys, order)
-        hits = {"_hits": ("sum", F.expr("if(_src, _w, 0D)"))}
+        hits = {"_hits": (name, F.expr("if(_src, _w, 0D)"))}
         return running(laid, keys, order, hits).where("_qry").select("_rid", "_hits")
-    if len(objs) == 2 and not count:
+    if len(objs) == 2 and not count and not best:
         a, b = objs
         order = [a, "_role", "_rid"]
         laid = in_blocks(rows, keys, order)
@@ -181,7 +137,7 @@ def weak_hits(
         for at in split_groups(pdf, [*keys, BLOCK]):
             s, q = at[src[at]], at[qry[at]]
             if len(s) and len(q):
-                hits[q] = weak_tally(v[s], w[s], v[q])
+                hits[q] = tally(v[s], w[s], v[q])
         return pd.DataFrame({"_rid": pdf["_rid"].to_numpy()[qry], "_hits": hits[qry]})
 
     total, _ = group_sizes(laid.df, [])
@@ -190,8 +146,8 @@ def weak_hits(
         return near
     level, node = f"_level{len(objs)}", f"_node{len(objs)}"
     halves = tree_halves(laid.df, keys, level, node)
-    far = weak_hits(halves, [*keys, level, node], objs[:-1], count)
-    return near.unionByName(far).groupBy("_rid").agg(F.sum("_hits").alias("_hits"))
+    far = weak_hits(halves, [*keys, level, node], objs[:-1], count, best)
+    return near.unionByName(far).groupBy("_rid").agg(fold("_hits").alias("_hits"))
 
 
 def tree_halves(blocked: DataFrame, keys: Sequence[str], level: str, node: str) -> DataFrame:
@@ -325,89 +281,3 @@ def front_rows(df: DataFrame, keys: Sequence[str], objs: Sequence[str]) -> DataF
             got = running(laid, keys, [a, b], {"_low": ("min", me)})
             return got.where(F.col("_low") == me).drop("_low", BLOCK)
     return join_on(df, front_vectors(df, keys, objs), [*keys, *objs], "left_semi")
-
-
-def ranked_vectors(df: DataFrame, keys: Sequence[str], objs: Sequence[str]) -> DataFrame:
-    """Distinct vectors of each group with their non-dominated rank; none with a NULL objective."""
-    keys, objs = list(keys), list(objs)
-    cols = [*keys, *objs]
-    vec = settle(df.select(*cols).where(known(*objs)).distinct())
-    # With two objectives ranking a group costs no more than sorting it, with three
-    # little more.
-    limits = {2: "window.rows", 3: "sweep.rows"}
-    most = limit(df.sparkSession, limits.get(len(objs), "compare.rows"))
-    total, largest = group_sizes(vec, keys)
-    if largest <= most:
-        return _local_ranks(vec, keys, objs, total)
-    done = []
-    if keys:
-        big = settle(vec.groupBy(*keys).count().where(F.col("count") > most).select(*keys))
-        small = join_on(vec, big, keys, "left_anti")
-        done.append(settle(_local_ranks(small, keys, objs, total)))
-        vec = settle(join_on(vec, big, keys, "left_semi"))
-    # Groups too big for one task: the first `step` fronts at a time, for as many
-    # fronts as one task can hold together.
-    base, step = 0, 64
-    while True:
-        total, largest = group_sizes(vec, keys)
-        if largest <= most:
-            rest = _local_ranks(vec, keys, objs, total)
-            done.append(rest.withColumn("rank", F.col("rank") + base))
-            return _union(done)
-        lead = _leading(vec, keys, objs, step, most)
-        if lead is None and step > 1:
-            step = max(1, step // 8)
-            continue
-        if lead is None:  # not even one front fits
-            top, n = front_vectors(vec, keys, objs).withColumn("rank", F.lit(1).cast("long")), 1
-        else:
-            top, n = _local_ranks(lead, keys, objs, total).where(F.col("rank") <= step), step
-            step *= 2
-        top = settle(top.select(*cols, (F.col("rank") + base).alias("rank")))
-        base += n
-        done.append(top)
-        vec = settle(match(vec, top, cols, "left_anti"))
-        if len(done) >= 32:
-            done = [settle(_union(done))]
-
-
-def _local_ranks(vec: DataFrame, keys: list[str], objs: list[str], total: int) -> DataFrame:
-    """Ranks within each group, or within each block where `keys` includes one."""
-    cols = [c for c in vec.columns if c in keys or c in objs]
-
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf[objs].to_numpy(float)
-        rank = np.zeros(len(pdf), dtype=np.int64)
-        for at in split_groups(pdf, keys) if keys else [np.arange(len(pdf))]:
-            rank[at] = peel_ranks(v[at])
-        return pdf[cols].assign(rank=rank)
-
-    return per_group(vec, keys, local, fields(vec, cols) + ", rank long", total)
-
-
-def _leading(
-    vec: DataFrame, keys: list[str], objs: list[str], step: int, most: int
-) -> DataFrame | None:
-    """Few enough rows per group to hold its first `step` fronts; None if they do not fit.
-
-    A row's rank in a block is never more than in its whole group, so rows
-    beyond `step` in a random block are not among the first `step` fronts. Among
-    the rows kept, ranks up to `step` are those of the whole group.
-    """
-    total, largest = group_sizes(vec, keys)
-    while largest > most:
-        laid = in_blocks(vec.withColumn("_h", F.xxhash64(*objs)), keys, ["_h"], most)
-        ranks = _local_ranks(laid.df, [*keys, BLOCK], objs, total).where(F.col("rank") <= step)
-        vec = settle(ranks.select(*keys, *objs))
-        before = largest
-        total, largest = group_sizes(vec, keys)
-        if largest > most and largest > 0.7 * before:
-            return None
-    return vec
-
-
-def _union(dfs: list[DataFrame]) -> DataFrame:
-    out = dfs[0]
-    for df in dfs[1:]:
-        out = out.unionByName(df)
-    return out

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from frontgauge.operators import agreement, compare, design, errors, fronts, indicators, scoring
 from frontgauge.plans import ordered
-from frontgauge.plans.dominance import front_mask, peel_ranks
+from frontgauge.plans.dominance import front_mask
+from frontgauge.plans.ranking import swept_ranks
 from frontgauge.plans.nearest import nearest
 
 
@@ -318,7 +319,7 @@ def test_numpy_helpers_agree():
         assert (front_mask(v) == brute_front(v)).all()
         u = np.unique(v[:, :2], axis=0)
         three = np.column_stack([u, np.zeros(len(u))])
-        assert (peel_ranks(u) == peel_ranks(three)).all()
+        assert (swept_ranks(u) == swept_ranks(three)).all()
     # sums alike after rounding must not hide a dominator
     v = np.array([[1e16, 1.0], [1e16, 0.0]])
     assert (front_mask(v) == [False, True]).all()
@@ -379,8 +380,6 @@ def test_few_wide_rows_are_not_broadcast(spark):
 
 
 def test_three_column_ranks():
-    from frontgauge.plans.dominance import front_mask, peel_ranks
-
     rng = np.random.default_rng(9)
     for top in (3, 12, 1000):
         v = np.unique(rng.integers(0, top, (400, 3)).astype(float), axis=0)
@@ -390,4 +389,4 @@ def test_three_column_ranks():
             front = front_mask(v[left])
             want[left[front]] = r
             left = left[~front]
-        assert (peel_ranks(v) == want).all()
+        assert (swept_ranks(v) == want).all()
