@@ -2,7 +2,9 @@
 
 Partners ("sites") of a group are cut into small blocks of neighbouring points.
 Where a group has several, a query visits only the blocks whose bounding box
-could hold a better partner than one already known. Inside a block the costs are
+could hold a better partner than one already known. Boxes form a tree, each with at most
+_FAN below it, and a query goes down it level by level, to the boxes that are left: its row
+never holds more than _FAN boxes, however many the group has. Inside a block the costs are
 computed as one array operation; only the least leaves the task. Crowds of
 queries at one block are split over several tasks.
 """
@@ -10,7 +12,6 @@ queries at one block are split over several tasks.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -29,8 +30,8 @@ from .segments import per_group, split_groups
 #   lift    how much worse s is than q in its worst coordinate
 COSTS = ("l2", "l1", "above", "below", "lift")
 
-# boxes a query may have to look at, and cells of one array of costs
-_MAX_BOXES = 2_048
+# boxes below a box (a power of two, 4 or more), and cells of one array of costs
+_FAN = 64
 CELLS = 2_000_000
 
 
@@ -65,6 +66,33 @@ def _bound(kind: str, q: list[Column], lo: list[Column], hi: list[Column]) -> Co
     return total(gap) if kind == "l1" else F.sqrt(total([g * g for g in gap]))
 
 
+def _box_levels(laid: DataFrame, keys: list[str], coords: list[str]) -> list[DataFrame]:
+    """Settled tables (keys, _node, _boxes), the top first: the boxes below each node.
+
+    A box at level k covers the blocks with the same number above the lowest k digits, to
+    the base _FAN. The top has one row a group, and no node.
+    """
+    step = _FAN.bit_length() - 1
+    one = F.min(F.struct(*coords)).alias("one")
+    first = [F.min(c).alias(f"lo_{c}") for c in coords] + [F.max(c).alias(f"hi_{c}") for c in coords]
+    boxes = settle(laid.groupBy(*keys, F.col(BLOCK).cast("long").alias("_box")).agg(*first, one))
+    ends = boxes.groupBy(*keys).agg(F.min("_box").alias("_lo"), F.max("_box").alias("_hi"))
+    most = ends.agg(F.max(F.col("_hi") - F.col("_lo"))).first()[0] or 0
+    rest = [F.min(f"lo_{c}").alias(f"lo_{c}") for c in coords] + [F.max(f"hi_{c}").alias(f"hi_{c}") for c in coords]
+    cell = F.struct("_box", *[f"{e}_{c}" for c in coords for e in ("lo", "hi")], "one")
+    levels = []
+    while True:
+        # a group of this many boxes has one more of them at most, for where it starts
+        top = most < _FAN
+        node = [] if top else [F.shiftright("_box", step).alias("_node")]
+        levels.append(settle(boxes.groupBy(*keys, *node).agg(F.collect_list(cell).alias("_boxes"))))
+        if top:
+            return levels[::-1]
+        up = F.shiftright("_box", step).alias("_box")
+        boxes = boxes.groupBy(*keys, up).agg(*rest, F.min("one").alias("one"))
+        most = (most >> step) + 1
+
+
 def _worth_visiting(
     queries: DataFrame,
     laid: DataFrame,
@@ -74,34 +102,35 @@ def _worth_visiting(
     others: bool,
 ) -> DataFrame:
     """Queries with each block that may hold a best partner for one of the costs."""
-    box = [F.min(c).alias(f"lo_{c}") for c in coords] + [F.max(c).alias(f"hi_{c}") for c in coords]
-    one = F.min(F.struct(*coords)).alias("one")
-    boxes = laid.groupBy(*keys, BLOCK).agg(*box, one)
-    cell = F.struct(BLOCK, *[f"{e}_{c}" for c in coords for e in ("lo", "hi")], "one")
-    table = boxes.groupBy(*keys).agg(F.collect_list(cell).alias("_boxes"))
     q = [F.col(c) for c in coords]
-    rows = join_on(queries, table, keys)
-    for kind in kinds:
-
-        def known(b: Column) -> Column:
-            p = [b["one"][c] for c in coords]
-            cost = _bound(kind, q, p, p)
-            return F.when(~every([x == y for x, y in zip(q, p)]), cost) if others else cost
-
-        # one known partner per block, and a little room for rounding
-        best = F.array_min(F.transform("_boxes", known))
-        rows = rows.withColumn(f"_best_{kind}", best + F.abs(best) * 1e-12)
-
-    def visit(b: Column) -> Column:
-        lo, hi = ([b[f"{e}_{c}"] for c in coords] for e in ("lo", "hi"))
-        conds = [
-            F.col(f"_best_{kind}").isNull() | (_bound(kind, q, lo, hi) <= F.col(f"_best_{kind}"))
-            for kind in kinds
-        ]
-        return any_of(conds)
-
-    found = F.transform(F.filter("_boxes", visit), lambda b: b[BLOCK])
-    return rows.withColumn(BLOCK, F.explode(found)).select(*keys, *coords, BLOCK)
+    bests = [f"_best_{kind}" for kind in kinds]
+    rows = queries.withColumns({b: F.lit(None).cast("double") for b in bests})
+    place = keys
+    for depth, table in enumerate(_box_levels(laid, keys, coords)):
+        rows = join_on(settle(rows) if depth else rows, table, place)
+        for kind, best in zip(kinds, bests):
+
+            def known(b: Column) -> Column:
+                p = [b["one"][c] for c in coords]
+                cost = _bound(kind, q, p, p)
+                return F.when(~every([x == y for x, y in zip(q, p)]), cost) if others else cost
+
+            # one known partner per box, and a little room for rounding
+            here = F.array_min(F.transform("_boxes", known))
+            rows = rows.withColumn(best, F.least(best, here + F.abs(here) * 1e-12))
+
+        def visit(b: Column) -> Column:
+            lo, hi = ([b[f"{e}_{c}"] for c in coords] for e in ("lo", "hi"))
+            conds = [
+                F.col(best).isNull() | (_bound(kind, q, lo, hi) <= F.col(best))
+                for kind, best in zip(kinds, bests)
+            ]
+            return any_of(conds)
+
+        found = F.transform(F.filter("_boxes", visit), lambda b: b["_box"])
+        rows = rows.withColumn("_node", F.explode(found)).drop("_boxes")
+        place = [*keys, "_node"]
+    return rows.select(*keys, *coords, F.col("_node").cast("int").alias(BLOCK))
 
 
 def nearest(
@@ -129,10 +158,7 @@ def nearest(
     cols = [*keys, *coords]
     queries = settle(queries.select(*cols).distinct())
     sites = settle(sites.select(*cols).distinct())
-    # Small blocks prune better, but a query looks at every box of its group.
-    _, most_sites = group_sizes(sites, keys)
-    per_block = max(limit(spark, "site.rows"), ceil(most_sites / _MAX_BOXES))
-    laid = in_blocks(sites, keys, coords, per_block)
+    laid = in_blocks(sites, keys, coords, limit(spark, "site.rows"))
     if laid.split:
         visits = settle(_worth_visiting(queries, laid.df, keys, coords, kinds, others))
     else:

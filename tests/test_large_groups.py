@@ -161,6 +161,32 @@ def test_nearest(spark, room, cloud):
                 assert getattr(row, kind) == pytest.approx(fn(at, s).min())
 
 
+def test_nearest_through_a_tree_of_boxes(spark, cloud, monkeypatch, fan=4):
+    """Several levels of boxes give the same partners as one, and rows of bounded size."""
+    from frontgauge.plans import nearest as plan
+
+    objs = ["f1", "f2", "f3"]
+    df = spark.createDataFrame(cloud)
+    levels = []
+    made = plan._box_levels
+    monkeypatch.setattr(plan, "_box_levels", lambda *a: levels.append(made(*a)) or levels[-1])
+
+    def run():
+        got = nearest(df, df, ["g"], objs, ["l2", "lift"], others=True).toPandas()
+        return got.sort_values(["g", *objs]).reset_index(drop=True)
+
+    want = run()
+    monkeypatch.setattr(plan, "_FAN", fan)
+    spark.conf.set("frontgauge.site.rows", "8")
+    try:
+        got = run()
+    finally:
+        spark.conf.unset("frontgauge.site.rows")
+    pd.testing.assert_frame_equal(got, want)
+    assert len(levels[-1]) >= 3
+    assert all(t.agg(F.max(F.size("_boxes"))).first()[0] <= fan + 1 for t in levels[-1])
+
+
 def test_nearest_other(spark, room, cloud):
     objs = ["f1", "f2"]
     df = spark.createDataFrame(cloud)
