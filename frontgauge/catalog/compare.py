@@ -28,6 +28,10 @@ def summary_levels(spark, folder):
     return C.summary(I.metrics(spark, folder), levels, "value")
 
 
+# With k = 5 algorithms there are 4 degrees of freedom, where the tail has a closed form.
+_CHI2_P = """SELECT algorithm, problems, mean_rank, chi2,
+      CASE WHEN k = 5 THEN exp(-chi2 / 2) * (1 + chi2 / 2) END AS p
+    FROM (SELECT *, sum(12 * problems * pow(mean_rank - (k + 1) / 2.0, 2) / (k * (k + 1))) OVER () AS chi2 FROM m)"""
 _USER_MEANS = f"""{I.EVALS}, means AS (SELECT run, algorithm, avg(value) AS value FROM evals GROUP BY ALL)"""
 
 
@@ -41,9 +45,8 @@ def _user_means(spark, folder):
           + (count(*) OVER (PARTITION BY run, value) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY run) AS have FROM means),
       m AS (SELECT algorithm, count(*) AS problems, avg(rk) AS mean_rank, any_value(k) AS k FROM r, k WHERE have = k
         GROUP BY algorithm)
-    SELECT algorithm, problems, mean_rank,
-      sum(12 * problems * pow(mean_rank - (k + 1) / 2.0, 2) / (k * (k + 1))) OVER () AS chi2 FROM m""",
-    ["mean_rank", "chi2"],
+    {_CHI2_P}""",
+    ["mean_rank", "chi2", "p"],
 )
 def average_ranks(spark, folder):
     return C.friedman(_user_means(spark, folder), "run", "algorithm", "value")
@@ -166,9 +169,8 @@ def summary_of_undefined(spark, folder):
         FROM spreads WHERE value IS NOT NULL),
       m AS (SELECT algorithm, count(*) AS problems, avg(rk) AS mean_rank, any_value(k) AS k FROM r, k WHERE have = k
         GROUP BY algorithm)
-    SELECT algorithm, problems, mean_rank,
-      sum(12 * problems * pow(mean_rank - (k + 1) / 2.0, 2) / (k * (k + 1))) OVER () AS chi2 FROM m""",
-    ["mean_rank", "chi2"],
+    {_CHI2_P}""",
+    ["mean_rank", "chi2", "p"],
 )
 def average_ranks_of_undefined(spark, folder):
     return C.friedman(_spreads(spark, folder), "run", "algorithm", "value")

@@ -11,7 +11,7 @@ from ..functions.columns import uniform
 from ..session import use_checkpoint_dir
 from ..sources.tables import TABLES, load
 from ..streaming.archive import FrontArchive
-from ..streaming.monitor import error_monitor
+from ..streaming.monitor import WindowLog, error_monitor
 from . import inputs as I
 from .registry import query
 
@@ -84,3 +84,22 @@ def front_archive_stream(spark, folder):
     archive = FrontArchive(f"{work}/front", ["problem"], ["f1", "f2"])
     archive.attach(stream, f"{work}/state").trigger(availableNow=True).start().awaitTermination()
     return archive.read(spark)
+
+
+@query(
+    """SELECT time_bucket(INTERVAL 1 HOUR, ts)::TIMESTAMP AS window_start, event_type, count(*) AS n
+    FROM events GROUP BY ALL"""
+)
+def window_errors_with_late_rows(spark, folder):
+    """Events arrive out of order: those in windows and those that came too late are all events."""
+    work = _work(spark, "late")
+    rows = _errors(load(spark, folder, "events")).select("event_id", "ts", "event_type", "e")
+    rows.repartition(BATCHES, "event_id").write.parquet(f"{work}/arrivals")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/arrivals")
+    log = WindowLog(f"{work}/log", ["event_type"], "ts", "e")
+    log.attach(stream, f"{work}/state").trigger(availableNow=True).start().awaitTermination()
+    start = F.window(F.col("ts").cast("timestamp"), "1 hour")["start"].alias("window_start")
+    late = log.late_rows(spark).groupBy(start, "event_type").agg(F.count(F.lit(1)).alias("n"))
+    both = log.windows(spark).select("window_start", "event_type", "n").unionByName(late)
+    done = both.groupBy("window_start", "event_type").agg(F.sum("n").alias("n"))
+    return done.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

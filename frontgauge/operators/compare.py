@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ratio, two_sided_p
-from ..plans.ordered import BLOCK, in_blocks, join_on, running, tally_quantiles
+from ..functions.columns import chi2_tail, ratio, two_sided_p
+from ..plans.ordered import BLOCK, in_blocks, join_on, match, running, tally_quantiles
 from ..session import settle
 
 
@@ -17,36 +17,41 @@ def summary(
 ) -> DataFrame:
     """n, mean, deviation, median and interquartile range at several levels.
 
-    `levels` names the columns each level groups by; the others are NULL there.
-    Undefined (NULL) values do not count; a group of nothing else stays, with n 0.
+    `levels` names the columns each level groups by; the others are NULL there. All levels
+    are grouping sets of one aggregate, told apart by their grouping id, so a NULL in the
+    data stays a group of its own. Undefined (NULL) values do not count; a group of nothing
+    else stays, with n 0.
     """
     cols = list(dict.fromkeys(c for by in levels.values() for c in by))
-    pieces = []
-    for name, by in levels.items():
-        kept = [F.col(c) if c in by else F.lit(None).cast(metrics.schema[c].dataType) for c in cols]
-        pieces.append(F.struct(F.lit(name).alias("level"), *[k.alias(c) for k, c in zip(kept, cols)]))
-    keys = ["level", *cols]
+    # a set's id has a bit for every column that it does not group by, the first highest
+    number = {n: sum(1 << i for i, c in enumerate(reversed(cols)) if c not in by) for n, by in levels.items()}
+    sets = {number[n]: [c for c in cols if c in by] for n, by in levels.items()}
+    keys = ["_set", *cols]
+    v = F.col(value)
+
+    def grouped(rows: DataFrame, more: list[str], *aggs: Column) -> DataFrame:
+        if not cols:
+            return rows.groupBy(F.lit(0).cast("long").alias("_set"), *more).agg(*aggs)
+        by = [[F.col(c) for c in [*s, *more]] for s in sets.values()]
+        out = rows.groupingSets(by, *cols, *more).agg(F.grouping_id().alias("_id"), *aggs)
+        # `more` is in every set, so its bits are 0
+        return out.withColumn("_set", F.shiftright("_id", len(more))).drop("_id")
+
+    base = grouped(metrics, [], F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"))
     # Values are combined before they are copied to the levels.
-    tally = settle(metrics.groupBy(*cols, value).agg(F.count(value).alias("_c")))
-    rows = tally.select(F.explode(F.array(*pieces)).alias("_l"), value, "_c").select("_l.*", value, "_c")
-    n, s = F.sum("_c"), F.sum(F.col("_c") * F.col(value))
-    base = rows.groupBy(*keys).agg(n.alias("n"), ratio(s, n).alias("mean"))
-    # Group columns hold NULLs, which joins do not match: go by a filled copy.
-    mark = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in keys])
-    rows, base = rows.withColumn("_g", mark), base.withColumn("_g", mark)
-    dev = F.col(value) - F.col("mean")
-    spread = (
-        join_on(rows.select("_g", value, "_c"), base.select("_g", "mean"), ["_g"])
-        .groupBy("_g")
-        .agg(F.sum(F.col("_c") * dev * dev).alias("_ss"))
-    )
-    values = rows.where(F.col(value).isNotNull()).groupBy("_g", value).agg(F.sum("_c").alias("_c"))
-    qs = tally_quantiles(values, ["_g"], value, {"median": 0.5, "_q1": 0.25, "_q3": 0.75})
-    return base.join(spread, "_g", "left").join(qs, "_g", "left").select(
-        *keys,
+    tally = metrics.where(v.isNotNull()).groupBy(*cols, value).agg(F.count(F.lit(1)).alias("_c"))
+    values = settle(grouped(tally, [value], F.sum("_c").alias("_n")).withColumnRenamed("_n", "_c"))
+    qs = tally_quantiles(values, keys, value, {"median": 0.5, "_q1": 0.25, "_q3": 0.75})
+    names = F.create_map(*[
+        x for i in sets
+        for x in (F.lit(i).cast("long"), F.array(*[F.lit(n) for n in levels if number[n] == i]))
+    ])
+    return match(base, qs, keys, "left").select(
+        F.explode(names[F.col("_set")]).alias("level"),
+        *cols,
         "n",
         "mean",
-        F.sqrt(ratio(F.col("_ss"), F.col("n") - 1)).alias("std"),
+        "std",
         "median",
         (F.col("_q3") - F.col("_q1")).alias("iqr"),
     )
@@ -60,7 +65,7 @@ def leaderboard(
 
 
 def friedman(metrics: DataFrame, problem: str, model: str, value: str) -> DataFrame:
-    """Mean rank per model over problems that have all models, with the chi-square statistic.
+    """Mean rank per model over problems that have all models, the chi-square statistic and its p.
 
     Smaller values rank first, ties share the mean rank. A problem where a model's value
     is undefined (NULL) lacks that model.
@@ -81,7 +86,7 @@ def friedman(metrics: DataFrame, problem: str, model: str, value: str) -> DataFr
     m = F.col("models")
     off = F.col("mean_rank") - (m + 1) / F.lit(2.0)
     chi2 = F.sum(12 * F.col("problems") * off * off / (m * (m + 1))).over(Window.partitionBy("models"))
-    return means.withColumn("chi2", chi2).drop("models")
+    return means.withColumn("chi2", chi2).withColumn("p", chi2_tail(F.col("chi2"), m - 1)).drop("models")
 
 
 def wtl(

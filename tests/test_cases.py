@@ -295,6 +295,32 @@ def test_friedman_skips_incomplete_problems(spark):
     assert got == {"a": (2, 1.25), "b": (2, 1.75)}
 
 
+def test_chi_square_tail(spark):
+    from frontgauge.functions.columns import chi2_tail
+
+    def even(x, df):  # closed form
+        return math.exp(-x / 2) * sum((x / 2) ** i / math.factorial(i) for i in range(df // 2))
+
+    def odd(x, df):  # from the error function, upwards by parts
+        out, term = math.erfc(math.sqrt(x / 2)), math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
+        for k in range(3, df + 1, 2):
+            out += term
+            term *= x / k
+        return out
+
+    cases = [(x, df) for x in (0.001, 0.5, 1.0, 3.0, 9.5, 30.0, 120.0) for df in (1, 2, 3, 4, 5, 9, 10, 40, 41, 101)]
+    df = spark.createDataFrame([*cases, (None, 3), (1.0, 0), (0.0, 3)], "x double, df int")
+    got = {(r.x, r.df): r.p for r in df.withColumn("p", chi2_tail(F.col("x"), F.col("df"))).collect()}
+    for x, k in cases:
+        want = odd(x, k) if k % 2 else even(x, k)
+        assert got[x, k] == pytest.approx(want, rel=1e-9, abs=1e-15), (x, k)
+    # published table: 5 % points
+    for x, k in ((3.841458820694124, 1), (5.991464547107979, 2), (18.307038053275146, 10)):
+        one = spark.range(1).select(chi2_tail(F.lit(x), F.lit(k)).alias("p")).first().p
+        assert one == pytest.approx(0.05, abs=1e-9)
+    assert got[None, 3] is None and got[1.0, 0] is None and got[0.0, 3] == 1.0
+
+
 def test_wins_with_tolerance(spark):
     rows = [("p1", "a", 1.0), ("p1", "b", 1.05), ("p2", "a", 3.0), ("p2", "b", 1.0), ("p3", "a", 1.0)]
     df = spark.createDataFrame(rows, "p string, m string, v double")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from frontgauge.operators import fronts
 from frontgauge.streaming.archive import FrontArchive
-from frontgauge.streaming.monitor import error_monitor
+from frontgauge.streaming.monitor import WindowLog, error_monitor
 
 T0 = datetime(2024, 1, 1)
 SCHEMA = "ts timestamp_ntz, model string, e double"
@@ -65,3 +65,29 @@ def test_archive_batch_run_again(spark, tmp_path):
     archive.merge(two, 1)
     archive.merge(two, 1)
     assert sorted(tuple(r) for r in archive.read(spark).collect()) == [(1.0, 3.0), (2.0, 2.0), (3.0, 1.0)]
+
+
+def test_late_rows_are_kept(spark, tmp_path):
+    src = f"{tmp_path}/in"
+    at = lambda m: T0 + timedelta(minutes=m)
+    log = WindowLog(f"{tmp_path}/log", ["model"], "ts", "e")
+
+    def run():
+        rows = spark.readStream.schema(SCHEMA).parquet(f"{src}/*")
+        log.attach(rows, f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+
+    put(spark, src, "a", [(at(m), "m1", float(m)) for m in range(0, 150, 10)])
+    run()
+    put(spark, src, "b", [(at(5), "m1", 1000.0), (at(61), "m1", 1.0), (at(400), "m1", 1.0), (None, "m2", 5.0),
+                          (at(130), "m2", None)])
+    run()  # a new query, from the stored state
+    got = {(r.window_start, r.model): (r.n, r.mean_error) for r in log.windows(spark).collect()}
+    # time stood at 130 minutes: the first two hours had closed
+    assert got == {(at(0), "m1"): (6, 25.0), (at(60), "m1"): (6, 85.0), (at(120), "m1"): (3, 130.0),
+                   (at(360), "m1"): (1, 1.0), (at(120), "m2"): (1, None)}
+    late = {(r.ts, r.model, r.e) for r in log.late_rows(spark).collect()}
+    assert late == {(at(5), "m1", 1000.0), (at(61), "m1", 1.0), (None, "m2", 5.0)}
+    # a batch that is run again counts once
+    again = spark.read.schema(SCHEMA).parquet(f"{src}/b")
+    log.merge(again, 1)
+    assert log.windows(spark).agg(F.sum("n")).first()[0] + log.late_rows(spark).count() == 20
