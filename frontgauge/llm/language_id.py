@@ -29,20 +29,73 @@ SUFFIX_PRIOR, HOST_PRIOR, DECLARED_PRIOR = 50.0, 10.0, 5.0
 # The models are one table per language in every task; more languages are refused.
 MOST_LANGUAGES = 500
 
-_DROP = re.compile(r"(?is)<(script|style|nav|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
-_DECLARED = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?\s*([a-z]{2,3})\b""")
-_META = re.compile(
-    r"""(?is)<meta\b[^>]*?content-language["'][^>]*?content\s*=\s*["']?\s*([a-z]{2,3})\b"""
-)
+# Every pattern below reads a page once: runs are possessive, and searches go on where
+# the last one ended.
+_HIDDEN = re.compile(r"(?i)<(script|style|nav|noscript|template)\b")
+_CLOSE = {n: re.compile(rf"(?i)</{n}\s*+>") for n in ("script", "style", "nav", "noscript", "template")}
+_HTML = re.compile(r"(?i)<html\b[^>]*+")
+_META = re.compile(r"(?i)<meta\b[^>]*+")
+_LANG = re.compile(r"""(?i)\blang\s*+=\s*+["']?+\s*+([a-z]{2,3})\b""")
+_NAMED = re.compile(r"""(?i)content-language["']""")
+_CONTENT = re.compile(r"""(?i)content\s*+=\s*+["']?+\s*+([a-z]{2,3})\b""")
+
+
+class _Next:
+    """The next place from which something matches, found by a single pass over the page."""
+
+    def __init__(self, find):
+        self.find, self.span = find, (-1, -1)
+
+    def after(self, at: int) -> int:
+        """End of the first match that starts at `at` or later, -1 without one; `at` ascends."""
+        if self.span[0] < at and self.span != (0, -1):
+            self.span = self.find(at) or (0, -1)
+        return self.span[1]
+
+
+def _without_markup(html: str) -> str:
+    """The page with a space for each hidden element, comment and tag."""
+
+    def found(match):
+        return match.span() if match else None
+
+    def comment_end(at):
+        i = html.find("-->", at)
+        return None if i < 0 else (i, i + 3)
+
+    closes = {n: _Next(lambda at, c=c: found(c.search(html, at))) for n, c in _CLOSE.items()}
+    comments = _Next(comment_end)
+    out, at = [], 0
+    while (i := html.find("<", at)) >= 0:
+        out.append(html[at:i])
+        end, opened = -1, _HIDDEN.match(html, i)
+        if opened:
+            end = closes[opened[1].lower()].after(opened.end())
+        if end < 0 and html.startswith("<!--", i):
+            end = comments.after(i + 4)
+        if end < 0:
+            end = html.find(">", i) + 1
+        if end <= 0:  # no tag ends any more
+            at = i
+            break
+        out.append(" ")
+        at = end
+    return "".join(out) + html[at:]
 
 
 def visible_text(html: str) -> str:
-    return unescape(_DROP.sub(" ", html))
+    return unescape(_without_markup(html))
 
 
 def declared_language(html: str) -> str | None:
-    found = _DECLARED.search(html) or _META.search(html)
-    return found[1].lower() if found else None
+    for tag in _HTML.finditer(html):
+        if found := _LANG.search(html, tag.start() + 5, tag.end()):
+            return found[1].lower()
+    for tag in _META.finditer(html):
+        named = _NAMED.search(html, tag.start(), tag.end())
+        if named and (found := _CONTENT.search(html, named.end(), tag.end())):
+            return found[1].lower()
+    return None
 
 
 def trigrams(text: str) -> np.ndarray:

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -446,3 +447,34 @@ def test_the_mix_does_not_depend_on_read_partitions(spark):
 
     assert len({str(mixed(n, mixing.taken)) for n in (1, 5, 30)}) == 1
     assert len({str(mixed(n, mixing.mixed_documents)) for n in (1, 7)}) == 1
+
+
+# The same by patterns that backtrack, for short pages.
+_DROPPED = re.compile(r"(?is)<(script|style|nav|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+_TOLD = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?\s*([a-z]{2,3})\b""")
+_TOLD_META = re.compile(
+    r"""(?is)<meta\b[^>]*?content-language["'][^>]*?content\s*=\s*["']?\s*([a-z]{2,3})\b"""
+)
+
+
+def test_markup_is_read_as_by_plain_patterns(spark):
+    pieces = ["<", ">", "<script>", "</script >", "<SCRIPT x", "</script", "<!--", "-->", "<!-->", "<nav>", "</nav>",
+              "<navy>", "text ", "a b", "<html lang=en>", "<html x='1' LANG = 'fr'", " lang=de", "<p>", "</style>",
+              "<style>", "<meta http-equiv='content-language' content='es'>", "<meta content-language\" content= it"]
+    rng = random.Random(4)
+    pages = ["".join(rng.choices(pieces, k=rng.randint(0, 25))) for _ in range(3000)]
+    pages += [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect() if r.html]
+    for page in pages:
+        assert language_id._without_markup(page) == _DROPPED.sub(" ", page)
+        told = _TOLD.search(page) or _TOLD_META.search(page)
+        assert language_id.declared_language(page) == (told and told[1].lower())
+
+
+@pytest.mark.parametrize("piece", ["<", "<script ", "<!--", "<html ", "<meta content-language' ", "<html lang=", "</nav ",
+                                   "<script><!--", "lang= ", "< >"])
+def test_long_pages_take_time_in_proportion(piece):
+    page = piece * (5_000_000 // len(piece)) + "<html lang=" + " " * 1_000_000 + "1"
+    began = time.process_time()
+    language_id.visible_text(page)
+    language_id.declared_language(page)
+    assert time.process_time() - began < 4
