@@ -90,6 +90,28 @@ def error_quantiles(spark, folder):
     return E.err_quantiles(I.long_predictions(spark, folder), ["model", "objective"], ps)
 
 
+@query(
+    f"""WITH {I.LONG} SELECT model, objective, count(*) AS n, true AS q50_near, true AS q90_near, true AS q99_near
+    FROM long GROUP BY model, objective"""
+)
+def error_quantiles_by_sketch(spark, folder):
+    """Quantiles from sketches per problem, merged; whether their exact ranks are as near as stated."""
+    ps = {"q50": 0.5, "q90": 0.9, "q99": 0.99}
+    df, keys = I.long_predictions(spark, folder), ["model", "objective"]
+    found = E.sketch_quantiles(E.merged_sketch(E.err_sketch(df, [*keys, "problem"]), keys), ps)
+    e = F.abs(F.col("y") - F.col("yhat"))
+    held = df.join(F.broadcast(found.drop("n")), keys)  # one row per model and objective
+    exact = held.groupBy(*keys).agg(
+        F.count(e).alias("n"), *[F.count_if(e <= F.col(q)).alias(f"_{q}") for q in ps]
+    )
+    # three times what 99 of 100 sketches keep to
+    near = [
+        (F.abs(F.col(f"_{q}") / F.col("n") - p) <= 3 * E.SKETCH_RANK_ERROR + 1 / F.col("n")).alias(f"{q}_near")
+        for q, p in ps.items()
+    ]
+    return exact.select(*keys, "n", *near)
+
+
 @query(
     f"""WITH {I.LONG}, e AS (SELECT model, objective, y - yhat AS e FROM long)
     SELECT model, objective, CASE WHEN e < -8 THEN 0 WHEN e >= 8 THEN 17

@@ -35,6 +35,18 @@ def dominance_counts_3d(spark, folder):
     return M.dominance(I.lines(spark, folder), _P, _O3)
 
 
+@query(
+    f"""WITH {I.LINES}, u AS (SELECT row_number() OVER () AS n, l_orderkey * 100 + l_linenumber AS id, * FROM lines),
+      w AS (SELECT a.n, arg_min(b.id, (b.f1, b.f2, b.f3, b.id)) AS dominator
+        FROM u a JOIN u b ON a.problem = b.problem AND {I.DOM3} GROUP BY a.n)
+    SELECT problem, l_partkey, id, f1, f2, f3, dominator FROM u LEFT JOIN w USING (n)"""
+)
+def dominating_witness(spark, folder):
+    """For each dominated row one row that dominates it."""
+    df = I.lines(spark, folder).withColumn("id", F.col("l_orderkey") * 100 + F.col("l_linenumber"))
+    return M.witness(df.drop("l_orderkey", "l_linenumber"), _P, _O3, "id")
+
+
 @query(f"WITH {I.PARTS}, {I.FRONT2} SELECT * FROM front2")
 def front_2d(spark, folder):
     return M.front2(I.parts(spark, folder), _P, "f1", "f2")

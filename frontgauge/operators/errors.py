@@ -168,6 +168,35 @@ def err_quantiles(
     return quantiles(e, keys, "_e", ps)
 
 
+# Items that a sketch keeps per level. The rank of what it gives lies within about 0.33 % of
+# the rank asked for, 99 times of 100 (the published error of KLL sketches with this k).
+SKETCH_K = 800
+SKETCH_RANK_ERROR = 0.0033
+
+
+def err_sketch(
+    df: DataFrame, keys: Sequence[str], y: str = "y", yhat: str = "yhat", k: int = SKETCH_K
+) -> DataFrame:
+    """A KLL sketch of the absolute error per group, `sketch`, and the `n` rows it holds.
+
+    Sketches have a bounded size whatever the group, and merge: `merged_sketch` sums up
+    groups, days or files without their rows. A group without a known error stays, with n 0.
+    """
+    e = F.abs(F.col(y) - F.col(yhat)).cast("double")
+    return df.groupBy(*keys).agg(F.count(e).alias("n"), F.kll_sketch_agg_double(e, k).alias("sketch"))
+
+
+def merged_sketch(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sketches of `err_sketch` summed up to coarser groups."""
+    return sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, ps: dict[str, float]) -> DataFrame:
+    """Quantiles of each sketch in place of it, within SKETCH_RANK_ERROR by rank; n 0 gives NULL."""
+    found = {n: F.kll_sketch_get_quantile_double("sketch", F.lit(float(p))) for n, p in ps.items()}
+    return sketches.withColumns({n: F.when(F.col("n") > 0, q) for n, q in found.items()}).drop("sketch")
+
+
 def err_hist(
     df: DataFrame,
     keys: Sequence[str],

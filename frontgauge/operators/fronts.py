@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ratio
+from ..functions.columns import known, ratio
 from ..plans.dominance import distinct_vectors, front_rows, weak_hits
 from ..plans.ordered import join_on, neighbours, numbered
 from ..plans.ranking import ranked_vectors
@@ -20,10 +20,10 @@ _LIMITED_WINDOW = 100
 def dominance(df: DataFrame, keys: Sequence[str], objs: Sequence[str]) -> DataFrame:
     """Add `dominators` and `dominated`: by how many rows a row is beaten, how many it beats.
 
-    Counted without listing pairs.
+    Counted without listing pairs. A row with a NULL objective beats none and has NULL counts.
     """
     keys, objs = list(keys), list(objs)
-    vec = distinct_vectors(df, keys, objs)
+    vec = distinct_vectors(df.where(known(*objs)), keys, objs)
     up = weak_hits(vec, keys, objs).withColumnRenamed("_hits", "_up")
     flipped = vec.withColumns({c: -F.col(c) for c in objs})
     down = weak_hits(flipped, keys, objs).withColumnRenamed("_hits", "_down")
@@ -33,7 +33,40 @@ def dominance(df: DataFrame, keys: Sequence[str], objs: Sequence[str]) -> DataFr
         (F.col("_up") - F.col("_w")).cast("long").alias("dominators"),
         (F.col("_down") - F.col("_w")).cast("long").alias("dominated"),
     )
-    return join_on(df, counts, [*keys, *objs])
+    return join_on(df, counts, [*keys, *objs], "left")
+
+
+# Places are turned round by this, so that the first has the largest weight; doubles are
+# exact up to here.
+_TURN = 1 << 52
+
+
+def witness(df: DataFrame, keys: Sequence[str], objs: Sequence[str], id: str) -> DataFrame:
+    """Add `dominator`: for each dominated row, the id of one row that dominates it.
+
+    That is the first of its dominators in order of the objectives (copies: the smallest
+    id), which is on the front itself. NULL on the front and where an objective is NULL.
+    One query carries the place of the first row that is no worse, which is the row's own
+    place where nothing dominates it; no pair is listed.
+    """
+    keys, objs = list(keys), list(objs)
+    vec = df.where(known(*objs)).groupBy(*keys, *objs).agg(F.min(id).alias("_id"))
+    placed = numbered(settle(vec), keys, objs, "_place").withColumns(
+        {
+            "_w": (F.lit(_TURN) - F.col("_place")).cast("double"),
+            "_rid": F.monotonically_increasing_id(),
+            "_src": F.lit(True),
+            "_qry": F.lit(True),
+        }
+    )
+    placed = settle(placed)
+    first = weak_hits(placed, keys, objs, best=True).select(
+        "_rid", (F.lit(_TURN) - F.col("_hits")).cast("long").alias("_first")
+    )
+    beaten = placed.join(first, "_rid").where("_first < _place").select(*keys, *objs, "_first")
+    heads = placed.select(*keys, F.col("_place").cast("long").alias("_first"), F.col("_id").alias("dominator"))
+    told = join_on(beaten, heads, [*keys, "_first"]).drop("_first")
+    return join_on(df, told, [*keys, *objs], "left")
 
 
 def front(df: DataFrame, keys: Sequence[str], objs: Sequence[str]) -> DataFrame:

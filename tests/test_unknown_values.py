@@ -83,6 +83,33 @@ def test_kendall_by_pairs(spark, room):
         assert tuple(got[g])[1:] == want
 
 
+def test_sketched_quantiles(spark, hand):
+    got = by_group(errors.sketch_quantiles(errors.err_sketch(hand, ["g"]), {"q": 0.5}))
+    assert (got["a"].n, got["a"].q, got["none"].n, got["none"].q) == (3, 0.0, 0, None)
+    many = spark.range(200_000).selectExpr("id % 7 as g", "double(id * 7919 % 200000) as y", "0D as yhat")
+    parts = errors.err_sketch(many, ["g"])
+    ps = {f"q{p}": p / 100 for p in (1, 25, 50, 90, 99)}
+    row = errors.sketch_quantiles(errors.merged_sketch(parts, []), ps).first()
+    assert row.n == 200_000
+    assert all(abs(row[q] / 200_000 - p) < 3 * errors.SKETCH_RANK_ERROR for q, p in ps.items())
+    size = lambda df: df.agg(F.max(F.length("sketch"))).first()[0]
+    assert size(errors.merged_sketch(parts, [])) < 3 * size(parts)  # bounded, not by rows
+
+
+def test_witness(spark, room, cloud):
+    """Each dominated row names the first row that dominates it, over all pairs."""
+    objs = ["f1", "f2", "f3"]
+    got = fronts.witness(spark.createDataFrame(cloud), ["g"], objs, "id").toPandas()
+    assert len(got) == len(cloud)
+    for g, rows in cloud.groupby("g"):
+        v, ids = rows[objs].to_numpy(), rows["id"].to_numpy()
+        told = got[got["g"] == g].set_index("id")["dominator"]
+        for x, i in zip(v, ids):
+            beats = (v <= x).all(1) & (v < x).any(1)
+            want = min(zip(map(tuple, v[beats]), ids[beats]), default=(None, None))[1]
+            assert told[i] == want or (want is None and pd.isna(told[i]))
+
+
 @pytest.mark.parametrize("n", [0, 1, 31, 33, 200, 1000])
 def test_merge_count(n):
     rng = np.random.default_rng(n)
