@@ -56,11 +56,24 @@ def load(
 def write(
     df: DataFrame, path: str, partition: Sequence[str] = (), mode: str = "errorifexists"
 ) -> None:
-    """Partitioned Parquet.
+    """Partitioned Parquet, in files of bounded size and number.
 
-    Partition columns should hold few values each: a task writes one file for
-    every value it meets. Rows are left where they are, so one very common
-    value is still written by many tasks.
+    Rows are rebalanced by the partition columns: rows of a value come together, so a value
+    has about one file, and a value with much of the data is split over several tasks, each
+    writing about spark.sql.adaptive.advisoryPartitionSizeInBytes.
+
+    mode="partitions" replaces the partitions that `df` holds and leaves the others: their
+    files are written aside and moved in place when the whole job has succeeded, so a run
+    that fails changes nothing and one that is repeated writes the same partitions again.
+    Other modes are those of Spark's writer.
     """
-    out = df.write.mode(mode)
+    if mode == "partitions" and not partition:
+        raise ValueError("replacing partitions needs partition columns")
+    if partition:
+        df = df.hint("rebalance", *partition)
+    out = df.write
+    if mode == "partitions":
+        out = out.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    else:
+        out = out.mode(mode)
     (out.partitionBy(*partition) if partition else out).parquet(path)

@@ -295,6 +295,38 @@ def test_friedman_skips_incomplete_problems(spark):
     assert got == {"a": (2, 1.25), "b": (2, 1.75)}
 
 
+def test_partitions_are_few_files_and_replaced_alone(spark, tmp_path):
+    path = f"{tmp_path}/out"
+    df = spark.range(60_000, numPartitions=24).selectExpr(
+        "id", "case when id % 10 < 7 then 'often' when id % 10 < 9 then 'some' end as g", "uuid() as filler"
+    )
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    try:
+        write(df, path, ["g"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = lambda g: len(list((tmp_path / "out").glob(f"g={g}/*.parquet")))
+    assert 1 < files("often") <= 24  # split, but not one file per task and value
+    assert sum(map(files, ("often", "some", "__HIVE_DEFAULT_PARTITION__"))) <= 36
+    write(df.limit(0), f"{tmp_path}/none", ["g"])
+
+    new = spark.createDataFrame([(1, "some", "x")], "id long, g string, filler string")
+    for _ in range(2):
+        write(new, path, ["g"], mode="partitions")
+        got = {r.g: r["count"] for r in spark.read.parquet(path).groupBy("g").count().collect()}
+        assert got == {"often": 42_000, "some": 1, None: 6_000}
+    with pytest.raises(ValueError):
+        write(new, path, mode="partitions")
+
+    def broken(batches):
+        raise RuntimeError("a task fails")
+        yield from batches
+
+    with pytest.raises(Exception, match="a task fails"):
+        write(new.mapInArrow(broken, new.schema), path, ["g"], mode="partitions")
+    assert spark.read.parquet(path).where("g = 'some'").count() == 1
+
+
 def test_chi_square_tail(spark):
     from frontgauge.functions.columns import chi2_tail
 
