@@ -31,51 +31,31 @@ DIMENSIONS = 3
 LEVELS = 10
 # Tokens of one bucket aimed at.
 BUCKET_TOKENS = 4_000_000
-# Word pieces whose ids one worker remembers.
-REMEMBERED = 200_000
 RANKS = "byte_bpe_50k.tiktoken"
 
 
 class Tokenizer:
     """Ids of byte_bpe_50k, equal to those of byte_bpe_50k.json (a test compares them).
 
-    The vocabulary has the same ranks in both files. Where no two white-space characters
-    meet, the vocabulary's pattern always splits before a space, so a text is its space-
-    separated parts, each encoded with its space; parts recur, and are remembered.
+    The vocabulary has the same ranks in both files. A text goes through in one call:
+    remembering the ids of its words costs more than it saves where many words are rare.
     """
 
     def __init__(self, ranks: str | None = None):
         import public_tokenizers
         import tiktoken
-        import regex
 
         with open(ranks or public_tokenizers.path(RANKS), "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self._encoding = tiktoken.Encoding(
             "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}
         )
-        self._double = regex.compile(r"\s\s").search
-        self._known: dict[str, bytes] = {}
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self._encoding.encode_ordinary(text), dtype="<u2").tobytes()
 
     def __call__(self, text: str) -> np.ndarray:
         """Ids of a text as 16-bit numbers, with END behind them."""
-        if self._double(text):
-            return np.append(np.frombuffer(self._encode(text), "<u2"), np.uint16(END))
-        first, *rest = text.split(" ")
-        known = self._known
-        if len(known) > REMEMBERED:
-            known.clear()
-        try:
-            ids = b"".join(map(known.__getitem__, rest))
-        except KeyError:
-            for part in rest:
-                if part not in known:
-                    known[part] = self._encode(" " + part)
-            ids = b"".join(map(known.__getitem__, rest))
-        return np.append(np.frombuffer(self._encode(first) + ids, "<u2"), np.uint16(END))
+        ids = self._encoding.encode_ordinary(text)
+        ids.append(END)
+        return np.array(ids, dtype="<u2")
 
 
 def directions(dimensions: int = DIMENSIONS) -> np.ndarray:
