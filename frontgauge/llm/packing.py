@@ -31,6 +31,8 @@ DIMENSIONS = 3
 LEVELS = 10
 # Tokens of one bucket aimed at.
 BUCKET_TOKENS = 4_000_000
+# Buckets whose token totals one task sums.
+STRETCH = 1_024
 RANKS = "byte_bpe_50k.tiktoken"
 
 
@@ -203,25 +205,35 @@ def pack(
         return pa.array(at.astype(np.int32))
 
     dealt = rows.withColumn("bucket", F.arrow_udf(to_bucket, "int")("place"))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = F.broadcast(  # one row per bucket
-        dealt.groupBy("bucket").agg(F.sum("n_tokens").alias("_sum")).select(
-            "bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("base")
+    # where each bucket starts in the stream: running sums within stretches of buckets, and of
+    # the stretches' totals
+    sums = settle(
+        dealt.groupBy("bucket").agg(F.sum("n_tokens").alias("_sum")).withColumn(
+            "_stretch", F.expr(f"bucket div {STRETCH}")
         )
     )
+    earlier = (Window.unboundedPreceding, -1)
+    stretches = sums.groupBy("_stretch").agg(F.sum("_sum").alias("_sum")).select(
+        "_stretch",
+        F.coalesce(F.sum("_sum").over(Window.orderBy("_stretch").rowsBetween(*earlier)), F.lit(0)).alias("_from"),
+    )
+    inside = Window.partitionBy("_stretch").orderBy("bucket").rowsBetween(*earlier)
+    bases = sums.withColumn("_in", F.coalesce(F.sum("_sum").over(inside), F.lit(0))).join(
+        stretches, "_stretch"
+    ).select("bucket", (F.col("_from") + F.col("_in")).alias("base"))
 
     def cut(batches):
-        at, last = 0, None
+        at = 0
         for batch in batches:
             out = []
-            for key, base, doc, data in zip(
-                batch.column("bucket").to_pylist(),
+            for base, doc, data in zip(
                 batch.column("base").to_pylist(),
                 batch.column("doc_id").to_pylist(),
                 batch.column("tokens").to_pylist(),
             ):
-                if key != last:
-                    at, last = base, key
+                if base is not None:
+                    at = base
+                    continue
                 ids = np.frombuffer(data, "<u2").astype("<u4")
                 end = at + len(ids)
                 edges = [at, *cuts(total, at, end, sequence), end]
@@ -240,11 +252,17 @@ def pack(
             )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
+    # the row with a bucket's start sorts before the bucket's documents; one shuffle, a task a bucket
+    marked = dealt.select("bucket", F.lit(None).cast("long").alias("base"), "place", "doc_id", "tokens")
+    starts = bases.select(
+        "bucket", "base", F.lit(-1).cast("long").alias("place"),
+        F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("binary").alias("tokens"),
+    )
     return (
-        dealt.join(bases, "bucket")
-        .repartition(buckets, "bucket")
+        marked.unionByName(starts)
+        .repartitionById(buckets, "bucket")
         .sortWithinPartitions("bucket", "place", "doc_id", "tokens")
-        .select("bucket", "base", "doc_id", "tokens")
+        .select("base", "doc_id", "tokens")
         .mapInArrow(
             cut,
             f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, "
