@@ -1,19 +1,22 @@
 """Quality rules whose cutoffs carry a guarantee on clean documents.
 
 Every rule compares one share of a document with a cutoff. Cutoffs are not chosen by
-hand: for each stratum (language) and rule, labelled documents are a holdout on which
-cutoffs are tested from the mildest to the strictest. A cutoff is certified when the
-exact binomial tail shows, at the error level left after Bonferroni over all strata
-and rules, that it rejects at most `risk` of the clean documents; testing stops at the
-first cutoff that fails (a fixed sequence needs no further correction). Among the
-certified cutoffs the one that best parts junk from clean documents is taken. A rule
-without a certified and useful cutoff rejects nothing in that stratum.
+hand. In each stratum (language) the labelled documents are parted by a hash of their
+text: on the smaller part each rule's best cutoff is picked, on the larger one, which
+had no say in that, the rules are tested together. All cutoffs move in LADDER steps from
+"rejects nothing" to the picked ones. A step is certified when the exact binomial tail
+shows, at the error level left after Bonferroni over the strata, that all rules together
+reject at most `risk` of the stratum's clean documents; testing stops at the first step
+that fails (a fixed sequence needs no further correction). The last certified step holds.
+Where none is, or no rule parts junk from clean documents, the rules reject nothing in
+that stratum.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,12 +28,16 @@ from frontgauge.llm.common import settle, small_batches, small_lookup
 
 MIN_WORDS = 50
 MOST_REPEAT_PERCENT = 50
-# Share of a stratum's clean documents that one rule may reject, and the chance that
-# any of the guarantees fails.
+# Share of a stratum's clean documents that the rules together may reject, and the chance
+# that the guarantee fails in any stratum.
 RISK = 0.02
 ERROR = 0.05
 # Cutoffs lie at 1/STEPS, 2/STEPS ... of a rule's range.
 STEPS = 100
+# Steps from no rejection to the picked cutoffs.
+LADDER = 8
+# One labelled text in so many serves for picking, the others for certifying.
+PICKED_OF = 4
 # A clean document rejected counts as much as this many junk documents kept.
 CLEAN_WEIGHT = 10
 
@@ -146,6 +153,22 @@ def choose_cutoff(clean: np.ndarray, junk: np.ndarray, risk: float, level: float
     return ties[len(ties) // 2] if ties else None
 
 
+def certified_step(wrong: list[int], n: int, risk: float, level: float) -> int:
+    """The last step before the first that fails; 0: none holds.
+
+    `wrong[j - 1]` of the `n` clean documents are rejected at step j, which never falls.
+    """
+    for step, k in enumerate(wrong, 1):
+        if binomial_tail(int(k), int(n), risk) > level:
+            return step - 1
+    return len(wrong)
+
+
+def _at_step(picked: Column, step: int | Column) -> Column:
+    """A rule's cutoff at a step of the ladder: STEPS + 1, beyond any bin, falls to `picked`."""
+    return picked + F.ceil((STEPS + 1 - picked) * (LADDER - step) / F.lit(float(LADDER))).cast("int")
+
+
 def _bin(numerator: str, denominator: str, prefix: str) -> Column:
     share = F.col(prefix + numerator) / F.greatest(F.col(prefix + denominator), F.lit(1))
     return F.least(F.floor(share * STEPS), F.lit(STEPS)).cast("int")
@@ -171,47 +194,78 @@ def fit(
         .where("_good = _top")
         .drop("_top")
     )
-    held = (
+    names = [name for name, _, _ in RULES]
+    rows = (
         measured.where(~base_failed(F.col(prefix + "n_words"), F.col(prefix + "n_repeat_words")))
         .select(
             F.col(id_col).alias("_id"),
-            F.struct(F.col(stratum_col).alias("name")).alias("stratum"),
+            F.col(stratum_col).alias("stratum"),
             F.col(text_key).alias("_key"),
-            F.array(*[
-                F.struct(F.lit(i).alias("rule"), _bin(a, b, prefix).alias("bin"))
-                for i, (_, a, b) in enumerate(RULES)
-            ]).alias("_bins"),
+            *[_bin(a, b, prefix).alias(name) for name, a, b in RULES],
         )
         .join(told, "_id")
         .dropDuplicates(["stratum", "_key", "_good"])
-        .select("stratum", "_good", F.explode("_bins").alias("_b"))
+        .withColumn("_picks", F.pmod("_key", F.lit(PICKED_OF)) == 0)
+        .drop("_id", "_key")
+    )
+    rows = settle(rows)
+    kind = rows.schema["stratum"].dataType.simpleString()
+    level = error / max(1, rows.select(F.struct("stratum")).distinct().count())
+    bins = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("rule"), F.col(name).alias("bin")) for i, name in enumerate(names)
+    ]))
+    shape = (
+        rows.where("_picks").select("stratum", "_good", bins.alias("_b"))
         .groupBy("stratum", F.col("_b.rule").alias("rule"), F.col("_b.bin").alias("bin"))
-        .agg(F.sum(F.col("_good")).alias("clean"), F.sum(1 - F.col("_good")).alias("junk"))
+        .agg(F.sum("_good").alias("clean"), F.sum(1 - F.col("_good")).alias("junk"))
     )
-    held = settle(held.select(F.col("stratum.name").alias("stratum"), "rule", "bin", "clean", "junk"))
-    strata = held.select(F.struct("stratum")).distinct().count()
-    level = error / max(1, strata * len(RULES))
-
-    def choose(bins: pd.DataFrame) -> pd.DataFrame:
-        out = {"stratum": [bins["stratum"].iloc[0]]}
-        for i, (name, _, _) in enumerate(RULES):
-            own = bins[bins["rule"] == i]
+
+    def pick(own: pd.DataFrame) -> pd.DataFrame:
+        out = {"stratum": [own["stratum"].iloc[0]]}
+        for i, name in enumerate(names):
+            part = own[own["rule"] == i]
             clean, junk = np.zeros(STEPS + 1), np.zeros(STEPS + 1)
-            clean[own["bin"]] = own["clean"]
-            junk[own["bin"]] = own["junk"]
-            out[name] = [choose_cutoff(clean, junk, risk, level)]
-        return pd.DataFrame(out).astype({name: "Int32" for name, _, _ in RULES})
+            clean[part["bin"]] = part["clean"]
+            junk[part["bin"]] = part["junk"]
+            out[name] = [choose_cutoff(clean, junk, risk, 1.0)]
+        return pd.DataFrame(out).astype({name: "Int32" for name in names})
 
     # at most len(RULES) * (STEPS + 1) rows a stratum
-    kind = held.schema["stratum"].dataType.simpleString()
-    schema = f"stratum {kind}, " + ", ".join(f"{name} int" for name, _, _ in RULES)
-    return held.groupBy("stratum").applyInPandas(choose, schema)
+    schema = f"stratum {kind}, " + ", ".join(f"{name} int" for name in names)
+    picked = small_lookup(
+        shape.groupBy("stratum").applyInPandas(pick, schema)
+        .select(F.col("stratum").alias("_of"), *[F.col(name).alias(f"_at_{name}") for name in names])
+    )
+
+    def rejected(step: int) -> Column:
+        over = [F.col(name) >= _at_step(F.col(f"_at_{name}"), step) for name in names]
+        return reduce(lambda a, b: a | b, [F.coalesce(o, F.lit(False)) for o in over])
+
+    first = F.coalesce(*[F.when(rejected(j), j) for j in range(1, LADDER + 1)], F.lit(LADDER + 1))
+    on = F.col("stratum").eqNullSafe(F.col("_of"))
+    steps = (
+        rows.where("not _picks and _good = 1").join(picked, on)
+        .groupBy("stratum", first.alias("step")).agg(F.count("*").alias("n"))
+    )
+
+    def certify(own: pd.DataFrame) -> pd.DataFrame:
+        by_step = np.zeros(LADDER + 2, dtype=np.int64)
+        by_step[own["step"]] = own["n"]
+        wrong = np.cumsum(by_step[1 : LADDER + 1])
+        step = certified_step(list(wrong), int(by_step.sum()), risk, level)
+        return pd.DataFrame({"stratum": [own["stratum"].iloc[0]], "step": [step]})
+
+    # at most LADDER + 1 rows a stratum
+    certified = steps.groupBy("stratum").applyInPandas(certify, f"stratum {kind}, step int").where("step > 0")
+    return certified.join(picked, on).select(
+        "stratum", *[_at_step(F.col(f"_at_{name}"), F.col("step")).alias(name) for name in names]
+    )
 
 
 def verdict(
     measured: DataFrame, cutoffs: DataFrame, stratum_col: str = "lang", prefix: str = ""
 ) -> DataFrame:
-    """`measured` with `_kept`: false if the base rules or a certified rule reject."""
+    """`measured` with `_kept`: false if the base rules or a rule at its certified cutoff reject."""
     named = small_lookup(
         cutoffs.select(
             F.col("stratum").alias("_stratum"),

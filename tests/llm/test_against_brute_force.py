@@ -369,6 +369,19 @@ def test_cutoffs_hold_their_risk():
     assert quality_rules.choose_cutoff(clean, clean // 10, 0.02, 0.0025) is None
 
 
+def test_certified_steps_hold_their_risk():
+    # all rules together reject 3 % of clean documents from step 3 on: certifying that is the error
+    rng, level, trials = np.random.default_rng(1), 0.05, 2000
+    for n in (100, 400, 1000):
+        wrong = rng.binomial(n, [0.0, 0.005, 0.0201, 0.03], size=(trials, 4))
+        got = [quality_rules.certified_step(sorted(w), n, 0.02, level) for w in wrong]
+        assert np.mean(np.array(got) >= 3) <= level + 0.02
+    assert quality_rules.certified_step([0] * 8, 217, 0.02, 0.0125) == 8
+    assert quality_rules.certified_step([0] * 8, 216, 0.02, 0.0125) == 0
+    assert quality_rules.certified_step([0, 0, 9], 300, 0.02, 0.0125) == 2
+    assert quality_rules.certified_step([0] * 8, 0, 0.02, 0.0125) == 0
+
+
 def test_rules_keep_clean_and_drop_junk(spark):
     rng = random.Random(3)
     rows, labels = [], []
