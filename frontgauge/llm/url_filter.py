@@ -1,7 +1,9 @@
 """URL filter: host and path rules, and gradient-boosted trees for the rest.
 
 The trees read lexical features of the address (lengths, depth, digit share, entropy,
-parameters, statistics of its suffix) and learn from the URLs that a rule labels.
+parameters, statistics of its suffix and of the head of its path) and learn from the URLs
+that a rule labels. Every HELD_OF-th host, by hash, is held out: its labels take no part in
+statistics and trees, they set the threshold.
 Everything is DataFrame functions: features are cut into fixed bins, labelled rows are
 summed up to one row per combination of bins, and every level of every tree is one
 aggregate of gradients per node, feature and bin. The driver sees those sums (nodes x
@@ -18,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frontgauge.llm.common import settle, small_lookup
+from frontgauge.llm.common import settle
 
 # Rules as host/path; the longest that fits wins.
 RULES = (
@@ -33,8 +35,14 @@ TREES = 16
 DEPTH = 3
 RATE = 0.3
 RIDGE = 1.0
-# A suffix with few labelled URLs is drawn to the overall rate by this many.
-PRIOR_ROWS = 20.0
+# A suffix or path head with few labelled URLs is drawn to the overall rate by this many.
+PRIOR_ROWS = 5.0
+# Values of a statistic are hashed to so many places, which bounds its table.
+PLACES = 1 << 16
+# One host in so many is held out.
+HELD_OF = 5
+# Thresholds lie at 1/STEPS, 2/STEPS ...
+STEPS = 100
 
 
 def host_of(url: Column) -> Column:
@@ -106,7 +114,22 @@ def _lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     }
 
 
-SUFFIX = ("suffix_rate", "suffix_rows")
+def _learnt(host: Column, path: Column) -> dict[str, Column]:
+    """Parts of an address by name, of which the share of blocked URLs is a feature.
+
+    The suffix, the first segment of the path, and the latter with the first character of
+    the next segment, alone and with the suffix.
+    """
+    suffix = F.substring_index(host, ".", -1)
+    segment = F.regexp_extract(path, r"^/([^/]*)", 1)
+    head = F.regexp_extract(path, r"^/([^/]*/[^/]?)", 1)
+    return {
+        "suffix": suffix,
+        "segment": segment,
+        "head": head,
+        "suffix_segment": F.concat_ws("/", suffix, segment),
+        "suffix_head": F.concat_ws("/", suffix, head),
+    }
 
 
 def _binned(value: Column) -> Column:
@@ -114,12 +137,13 @@ def _binned(value: Column) -> Column:
 
 
 def with_features(pages: DataFrame, rules=RULES) -> tuple[DataFrame, list[str]]:
-    """Settled (page_id, host, path, rule, label, a bin per feature) of every row."""
+    """Settled (page_id, host, path, rule, told, label, held, a bin per feature) of every row."""
     url = F.coalesce("url", F.lit(""))
     cut = pages.select("page_id", url.alias("url")).select(
         "page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")
     )
     lexical = _lexical(F.col("url"), F.col("host"), F.col("path"))
+    learnt = _learnt(F.col("host"), F.col("path"))
     rows = settle(
         cut.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)).select(
             "page_id",
@@ -130,27 +154,30 @@ def with_features(pages: DataFrame, rules=RULES) -> tuple[DataFrame, list[str]]:
             F.when(F.col("_rule.verdict") == "block", 1)
             .when(F.col("_rule.verdict") == "allow", 0)
             .alias("label"),
-            F.substring_index("host", ".", -1).alias("_suffix"),
+            (F.pmod(F.xxhash64("host"), F.lit(HELD_OF)) == 0).alias("held"),
             *[_binned(c).alias(name) for name, c in lexical.items()],
+            *[F.pmod(F.xxhash64(c), F.lit(PLACES)).cast("int").alias(f"_{n}") for n, c in learnt.items()],
         )
     )
-    # per suffix: share of blocked among labelled URLs, drawn to the overall share, and size
-    overall = rows.agg(F.avg("label")).first()[0] or 0.0
-    suffixes = rows.groupBy("_suffix").agg(
-        F.count("label").alias("_told"),
-        F.coalesce(F.sum("label"), F.lit(0)).alias("_blocked"),
-        F.count("*").alias("_all"),
-    )
-    rate = (F.col("_blocked") + PRIOR_ROWS * overall) / (F.col("_told") + PRIOR_ROWS)
-    share = F.log2(F.col("_all") + 1)
-    stats = small_lookup(
-        suffixes.select(
-            "_suffix",
-            _binned(rate * BINS).alias(SUFFIX[0]),
-            _binned(share).alias(SUFFIX[1]),
+    # per place: share of blocked among URLs learnt from, drawn to the overall share, and size
+    taught = F.when(~F.col("held"), F.col("label"))
+    overall = rows.agg(F.avg(taught)).first()[0] or 0.0
+    wide, features = rows, list(lexical)
+    for name in learnt:
+        counts = rows.groupBy(f"_{name}").agg(
+            F.count(taught).alias("_told"),
+            F.coalesce(F.sum(taught), F.lit(0)).alias("_blocked"),
+            F.count("*").alias("_all"),
         )
-    )
-    return rows.join(stats, "_suffix").drop("_suffix"), [*lexical, *SUFFIX]
+        rate = (F.col("_blocked") + PRIOR_ROWS * overall) / (F.col("_told") + PRIOR_ROWS)
+        stats = counts.select(
+            f"_{name}",
+            _binned(rate * BINS).alias(f"{name}_rate"),
+            _binned(F.log2(F.col("_all") + 1)).alias(f"{name}_rows"),
+        )
+        wide = wide.join(F.broadcast(settle(stats)), f"_{name}")  # at most PLACES rows of 3 numbers
+        features += [f"{name}_rate", f"{name}_rows"]
+    return wide.drop(*[f"_{name}" for name in learnt]), features
 
 
 @dataclass
@@ -223,19 +250,23 @@ def boost(
 
 
 def _split(leaf: Node, sums: list, features: list[str], rate: float, ridge: float) -> None:
-    """Split a leaf where the loss falls most, rounded so that sums may come in any order."""
+    """Split a leaf where the loss falls most, rounded so that sums may come in any order.
+
+    The cut lies midway between the bins that have rows on either side: values that no
+    labelled URL has go to the nearer side.
+    """
     best = (1e-6, None)
     for i, name in enumerate(features):
         bins = sorted((b, g, h) for _, f, b, g, h in sums if f == i)
         all_g, all_h = math.fsum(x[1] for x in bins), math.fsum(x[2] for x in bins)
         g = h = 0.0
-        for b, bin_g, bin_h in bins[:-1]:
+        for (b, bin_g, bin_h), (after, _, _) in zip(bins, bins[1:]):
             g, h = g + bin_g, h + bin_h
             gain = round(
                 g * g / (h + ridge) + (all_g - g) ** 2 / (all_h - h + ridge) - all_g**2 / (all_h + ridge), 6
             )
             if gain > best[0]:
-                best = (gain, (name, b, -rate * g / (h + ridge), -rate * (all_g - g) / (all_h - h + ridge)))
+                best = (gain, (name, (b + after) // 2, -rate * g / (h + ridge), -rate * (all_g - g) / (all_h - h + ridge)))
         if leaf.value == 0.0 and bins:
             leaf.value = -rate * all_g / (all_h + ridge)
     if best[1]:
@@ -247,6 +278,37 @@ def margin(start: float, model: list[Node]) -> Column:
     return reduce(lambda total, tree: total + tree.column(), model, F.lit(start))
 
 
+def threshold(held: DataFrame) -> float:
+    """The cut of `score` with most right verdicts on rows (label, score); ties: nearest 0.5."""
+    sums = held.groupBy(F.floor(F.col("score") * STEPS).cast("int").alias("bin")).agg(
+        F.count("*").alias("n"), F.sum("label").alias("blocked")
+    ).collect()  # at most STEPS + 1 rows
+    cuts = sorted(range(1, STEPS), key=lambda c: (abs(2 * c - STEPS), c))
+    right = {c: sum(r.blocked if r.bin >= c else r.n - r.blocked for r in sums) for c in cuts}
+    return max(cuts, key=right.__getitem__) / STEPS
+
+
+def scored(pages: DataFrame, rules=RULES, **options) -> DataFrame:
+    """(page_id, host, path, rule, told, label, held, score); score is 0.5 at the threshold.
+
+    `held` rows with a label took no part in learning: held-out figures come from them.
+    With no labelled URL to learn from every score is NULL.
+    """
+    rows, features = with_features(pages, rules)
+    labelled = rows.where("label is not null and not held").groupBy(*features).agg(
+        F.count("*").alias("n"), F.sum("label").alias("blocked")
+    )
+    start, model = boost(settle(labelled), features, **options)
+    raw = rows.withColumn("_margin", margin(start, model))
+    score = 1 / (1 + F.exp(-F.col("_margin")))
+    cut = threshold(raw.where("label is not null and held").select("label", score.alias("score")))
+    moved = 1 / (1 + F.exp(math.log(cut / (1 - cut)) - F.col("_margin")))
+    return raw.select(
+        "page_id", "host", "path", "rule", "told", "label", "held",
+        F.when(F.lit(bool(model)), moved).alias("score"),
+    )
+
+
 def judge(pages: DataFrame, rules=RULES, **options) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) for every row of `pages`.
 
@@ -255,14 +317,8 @@ def judge(pages: DataFrame, rules=RULES, **options) -> DataFrame:
     no labelled URL every score is 0.5 - too little to know - and the verdict is allow.
     Repeated rows are judged each on its own; other columns are not read.
     """
-    rows, features = with_features(pages, rules)
-    labelled = rows.where("label is not null").groupBy(*features).agg(
-        F.count("*").alias("n"), F.sum("label").alias("blocked")
-    )
-    start, model = boost(settle(labelled), features, **options)
-    score = 1 / (1 + F.exp(-margin(start, model)))
-    judged = rows.withColumn("score", score)
-    by_model = F.when((F.col("score") >= 0.5) & F.lit(bool(model)), "block").otherwise("allow")
-    return judged.select(
-        "page_id", "host", "path", "rule", F.coalesce("told", by_model).alias("verdict"), "score"
+    by_model = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
+    return scored(pages, rules, **options).select(
+        "page_id", "host", "path", "rule", F.coalesce("told", by_model).alias("verdict"),
+        F.coalesce("score", F.lit(0.5)).alias("score"),
     )

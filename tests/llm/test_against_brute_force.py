@@ -435,6 +435,71 @@ def test_trees_learn(spark):
     assert all((r.m > 0) == (r.blocked > 0) for r in got)
 
 
+def _plain_margins(rows, features, trees, depth, rate, ridge):
+    """Margins by boosting over the rows one by one, splits by trying every cut."""
+    n, blocked = sum(r["n"] for r in rows), sum(r["blocked"] for r in rows)
+    margins = [math.log((blocked + 1) / (n - blocked + 1))] * len(rows)
+
+    def grow(at, left):
+        g = sum(rows[i]["n"] * p[i] - rows[i]["blocked"] for i in at)
+        h = sum(rows[i]["n"] * p[i] * (1 - p[i]) for i in at)
+        best = (1e-6, None)
+        for name in features if left else ():
+            values = sorted({rows[i][name] for i in at})
+            for low, high in zip(values, values[1:]):
+                one = [i for i in at if rows[i][name] <= low]
+                a = sum(rows[i]["n"] * p[i] - rows[i]["blocked"] for i in one)
+                b = sum(rows[i]["n"] * p[i] * (1 - p[i]) for i in one)
+                gain = round(a * a / (b + ridge) + (g - a) ** 2 / (h - b + ridge) - g * g / (h + ridge), 6)
+                if gain > best[0]:
+                    best = (gain, (one, [i for i in at if rows[i][name] > low]))
+        if best[1] is None:
+            for i in at:
+                margins[i] -= rate * g / (h + ridge)
+        else:
+            grow(best[1][0], left - 1)
+            grow(best[1][1], left - 1)
+
+    for _ in range(trees):
+        p = [1 / (1 + math.exp(-m)) for m in margins]
+        grow(list(range(len(rows))), depth)
+    return margins
+
+
+def test_trees_equal_plain_boosting(spark):
+    rng = random.Random(5)
+    rows = [
+        {"x": x, "y": y, "z": rng.randrange(6), "n": (n := rng.randint(1, 9)), "blocked": rng.randint(0, n)}
+        for x in (0, 1, 4, 9, 30) for y in (2, 3, 11)
+    ]
+    cells = spark.createDataFrame(
+        [(i, r["x"], r["y"], r["z"], r["n"], r["blocked"]) for i, r in enumerate(rows)],
+        "i int, x int, y int, z int, n long, blocked long",
+    )
+    start, model = url_filter.boost(cells, ["x", "y", "z"], trees=4, depth=2, rate=0.4, ridge=1.0)
+    got = {r.i: r.m for r in cells.select("i", url_filter.margin(start, model).alias("m")).collect()}
+    want = _plain_margins(rows, ["x", "y", "z"], 4, 2, 0.4, 1.0)
+    assert all(math.isclose(got[i], want[i], abs_tol=1e-9) for i in range(len(rows)))
+
+
+def test_values_never_seen_go_to_the_nearer_side(spark):
+    cells = spark.createDataFrame([(0, 20, 0), (20, 20, 20)], "x int, n long, blocked long")
+    start, model = url_filter.boost(cells, ["x"], trees=2, depth=1, rate=0.5)
+    seen = spark.createDataFrame([(9,), (12,)], "x int").select("x", url_filter.margin(start, model).alias("m"))
+    assert {r.x: r.m > 0 for r in seen.collect()} == {9: False, 12: True}
+
+
+def test_held_out_hosts(spark):
+    pages = spark.createDataFrame(
+        [(i, f"http://h{i % 40}.example.{'com' if i % 3 else 'org'}/{('fr', 'de', 'es')[i % 5 % 3]}/{i}") for i in range(900)],
+        "page_id long, url string",
+    )
+    held = [r for r in url_filter.scored(pages).collect() if r.label is not None and r.held]
+    right = sum((r.score >= 0.5) == bool(r.label) for r in held)
+    most = max(sum(r.label == k for r in held) for k in (0, 1))
+    assert len(held) > 50 and right == len(held) > most
+
+
 # -- pipeline ------------------------------------------------------------------------------------
 
 
