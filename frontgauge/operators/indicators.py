@@ -17,8 +17,8 @@ from ..plans.nearest import CELLS, nearest, pair_costs
 from ..plans.ordered import (
     BLOCK,
     fits_broadcast,
-    group_sizes,
     in_blocks,
+    join_blocks,
     join_on,
     match,
     neighbours,
@@ -103,53 +103,96 @@ def hv3(
 
 
 def _volumes(
-    points: DataFrame, keys: list[str], objs: list[str], refs: list[str], depth: int = 0
+    points: DataFrame, keys: list[str], objs: list[str], refs: list[str], axis: int = 0
 ) -> DataFrame:
-    most = limit(points.sparkSession, "sweep.rows")
     if not keys:
         points, keys = points.withColumn("_all", F.lit(0)), ["_all"]
-    rows, biggest = group_sizes(points, keys)
-    # After a cut along two axes what is carried over is thin; a piece may then
-    # exceed the limit a little without being worth another cut.
-    if biggest <= (most if depth < 2 else 4 * most):
-
-        def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
-            v, r = pdf[objs].to_numpy(float), pdf[refs].to_numpy(float)
-            groups = list(split_groups(pdf, keys))
-            hv = [_swept_volume(v[at], r[at[0]]) for at in groups]
-            return pdf.iloc[[at[0] for at in groups]][keys].assign(_hv=hv)
-
-        return per_group(points, keys, sweep, fields(points, keys) + ", _hv double", rows)
-
-    # Cut space into slabs along one axis. A slab holds its own points and what
-    # earlier points cover of it, which depends on their other two objectives only.
-    axis = depth % 3
+
+    def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
+        v, r = pdf[objs].to_numpy(float), pdf[refs].to_numpy(float)
+        groups = list(split_groups(pdf, keys))
+        hv = [_swept_volume(v[at], r[at[0]]) for at in groups]
+        return pdf.iloc[[at[0] for at in groups]][keys].assign(_hv=hv)
+
+    schema = fields(points, keys) + ", _hv double"
+    return by_size(
+        points,
+        keys,
+        lambda rows, n: per_group(rows, keys, sweep, schema, n),
+        lambda rows: _slab_volumes(rows, keys, objs, refs, axis),
+        limit(points.sparkSession, "sweep.rows"),
+    )
+
+
+def _slab_volumes(
+    points: DataFrame, keys: list[str], objs: list[str], refs: list[str], axis: int
+) -> DataFrame:
+    """Cut space into slabs along one axis and add up their volumes.
+
+    A slab holds its own points and what earlier points cover of it, which depends on their
+    other two objectives only: the front of those, settled per slab by `_earlier_fronts`.
+
+    A slab has a quarter of the points that a sweep takes. Of the points carried into it, a
+    second cut, along another axis, carries one on (they share the slab's lower face); so a
+    piece then has at most two quarters and that point, and needs no third cut.
+    """
     f, r, others = objs[axis], refs[axis], [o for i, o in enumerate(objs) if i != axis]
-    laid = in_blocks(points, keys, [f, *others], most)
+    most = limit(points.sparkSession, "sweep.rows")
+    laid = in_blocks(points, keys, [f, *others], max(1, most // 4))
     starts = laid.df.groupBy(*keys, BLOCK, r).agg(F.min(f).alias("_from"))
-    nxt = F.lead("_from").over(Window.partitionBy(*keys).orderBy(BLOCK))
-    slabs = starts.withColumn("_to", F.coalesce(nxt, F.col(r))).where("_from < _to")
-    cell = F.struct(F.col(BLOCK).alias("slab"), "_from", "_to")
-    table = slabs.groupBy(*keys).agg(F.collect_list(cell).alias("_slabs"))
-    rows = join_on(laid.df, table, keys).withColumn(
-        "_s", F.explode(F.filter("_slabs", lambda s: s["slab"] >= F.col(BLOCK)))
+    group = Window.partitionBy(*keys)
+    nxt = F.lead("_from").over(group.orderBy(BLOCK))
+    first = F.min(BLOCK).over(group)
+    slabs = settle(
+        starts.select(
+            *keys,
+            BLOCK,
+            "_from",
+            F.coalesce(nxt, F.col(r)).alias("_to"),
+            (F.col(BLOCK) - first).alias("_node"),
+            (F.max(BLOCK).over(group) - first).alias("_last"),
+        )
     )
-    slab = f"_slab{depth}"
-    rows = rows.select(
-        *keys,
-        F.col("_s.slab").alias(slab),
-        *[F.greatest(F.col(o), F.col("_s._from")).alias(o) if o == f else o for o in objs],
-        *[F.col("_s._to").alias(o) if o == r else o for o in refs],
-        (F.col("_s.slab") == F.col(BLOCK)).alias("_own"),
+    slab, thick = f"_slab{axis}", F.col("_from") < F.col("_to")
+    upto = [F.col("_to").alias(o) if o == r else o for o in refs]
+    own = settle(join_blocks(laid.df, slabs, keys))
+    earlier = _earlier_fronts(own, [*keys, *refs], others)
+    carried = join_on(earlier.drop("_last"), slabs, [*keys, "_node"]).where(thick).select(
+        *keys, F.col(BLOCK).alias(slab), *[F.col("_from").alias(o) if o == f else o for o in objs], *upto
     )
-    rows = settle(rows)
-    own = rows.where("_own").drop("_own")
-    carried = rows.where("not _own").drop("_own")
-    thin = front_vectors(carried, [*keys, slab, f, *refs], others).select(*own.columns)
-    parts = _volumes(settle(own.unionByName(thin)), [*keys, slab], objs, refs, depth + 1)
+    own = own.where(thick).select(*keys, F.col(BLOCK).alias(slab), *objs, *upto)
+    pieces = settle(own.unionByName(carried))
+    parts = _volumes(pieces, [*keys, slab], objs, refs, (axis + 1) % 3)
     return parts.groupBy(*keys).agg(F.sum("_hv").alias("_hv"))
 
 
+def _earlier_fronts(rows: DataFrame, keys: list[str], pair: list[str]) -> DataFrame:
+    """(keys, _node, _last, pair): for each block `_node`, the front of all blocks before it.
+
+    `_node` runs from 0 to `_last` in each group. The blocks are the leaves of a binary tree.
+    Going up, the front of a node is thinned out of the fronts of its halves. Going down, a
+    node hands what comes before it to both halves, and the right one also gets the front of
+    the left; that is thinned again before it is handed on. So no point goes to more nodes
+    than hold it in the front of what comes before them.
+    """
+    whole = [*keys, "_last", "_node"]
+    levels = (rows.agg(F.max("_last")).first()[0] or 0).bit_length()
+    fronts = []
+    for level in range(levels):
+        # groups that are one node on this level have nothing to hand on
+        spread = rows.where(F.col("_last") >= (1 << level))
+        fronts.append(settle(front_vectors(spread, whole, pair)))
+        rows = fronts[-1].withColumn("_node", F.shiftright("_node", 1))
+    before = rows.limit(0).select(*whole, *pair)
+    for level in reversed(range(levels)):
+        left = fronts[level].where("_node % 2 = 0").withColumn("_node", F.col("_node") + 1)
+        halves = F.array(2 * F.col("_node"), 2 * F.col("_node") + 1)
+        handed = left.unionByName(before.withColumn("_node", F.explode(halves)))
+        there = handed.where(F.shiftleft("_node", level) <= F.col("_last"))
+        before = settle(front_vectors(there, whole, pair))
+    return before
+
+
 def hv2_contrib(
     df: DataFrame,
     keys: Sequence[str],

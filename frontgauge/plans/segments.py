@@ -53,9 +53,13 @@ def by_size(
     keys: Sequence[str],
     small: Callable[[DataFrame, int], DataFrame],
     big: Callable[[DataFrame], DataFrame],
+    most: int | None = None,
 ) -> DataFrame:
-    """`small(rows, how many)` for groups one Python call can hold, `big(rows)` for the others."""
-    most = limit(df.sparkSession, "compare.rows")
+    """`small(rows, how many)` for groups one Python call can hold, `big(rows)` for the others.
+
+    Such a group has `most` rows, by default those that may be compared with each other.
+    """
+    most = most or limit(df.sparkSession, "compare.rows")
     rows, largest = group_sizes(df, keys)
     if largest <= most:
         return small(df, rows)

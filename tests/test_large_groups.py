@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frontgauge.operators import agreement, compare, design, errors, fronts, indicators, scoring
-from frontgauge.plans import ordered
+from frontgauge.plans import ordered, segments
 from frontgauge.plans.dominance import front_mask
 from frontgauge.plans.ranking import swept_ranks
 from frontgauge.plans.nearest import nearest
@@ -122,6 +122,32 @@ def test_hypervolume_of_a_large_front(spark, room):
     assert got.first()["hv"] == want
 
 
+def test_hypervolume_of_a_cut_front_copies_few_rows(spark, monkeypatch):
+    """Slabs get fronts of what comes before them, not all of it: rows written stay near n log n."""
+    n, cut = 2_400, 400
+    v = np.abs(np.random.default_rng(5).normal(size=(n, 3)))
+    pdf = pd.DataFrame(1 - v / np.linalg.norm(v, axis=1)[:, None], columns=["f1", "f2", "f3"])
+    df = spark.createDataFrame(pdf.assign(g="a"))
+    small = spark.createDataFrame(pdf[:30].assign(g="b"))
+    written = []
+    for module in (indicators, ordered, segments):
+        def counted(rows, settle=module.settle):
+            kept = settle(rows)
+            written.append(kept.count())
+            return kept
+
+        monkeypatch.setattr(module, "settle", counted)
+    spark.conf.set("frontgauge.sweep.rows", str(cut))
+    try:
+        got = {r.g: r.hv for r in indicators.hv3(df.union(small), ["g"], ["f1", "f2", "f3"], (1.0, 1.0, 1.0)).collect()}
+    finally:
+        spark.conf.unset("frontgauge.sweep.rows")
+    for g, rows in (("a", pdf), ("b", pdf[:30])):
+        want = indicators._swept_volume(rows.to_numpy(), np.ones(3))
+        assert abs(got[g] - want) < 1e-9 * want
+    assert sum(written) < 3 * n * np.log2(n)
+
+
 def test_hypervolume_reference_from_columns(spark, room, cloud):
     df = spark.createDataFrame(cloud.assign(r1=cloud.g.map({"a": 9.0, "b": 25.0, "c": 30.0}), r2=20.0))
     got = indicators.hv2(df, ["g"], ["f1", "f2"], ("r1", "r2")).toPandas().set_index("g").hv
