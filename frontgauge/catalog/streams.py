@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from ..functions.columns import uniform
 from ..session import use_checkpoint_dir
 from ..sources.tables import TABLES, load
-from ..streaming.archive import FrontArchive
+from ..streaming.archive import FrontArchive, FrontState
 from ..streaming.monitor import WindowLog, error_monitor
 from . import inputs as I
 from .registry import query
@@ -69,10 +69,7 @@ def window_errors_stream(spark, folder):
     return done.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query(f"WITH {I.PARTS}, {I.FRONT2} SELECT * FROM front2")
-def front_archive_stream(spark, folder):
-    """Candidates arrive in several micro-batches; the archive must end as the front of all."""
-    work = _work(spark, "archive")
+def _arrivals(spark, folder, work):
     rows = load(spark, folder, "part").select(
         F.col("p_brand").alias("problem"),
         F.col("p_partkey").alias("id"),
@@ -80,12 +77,30 @@ def front_archive_stream(spark, folder):
         (-F.col("p_size").cast("double")).alias("f2"),
     )
     rows.repartition(BATCHES, "id").write.parquet(f"{work}/arrivals")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/arrivals")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/arrivals")
+
+
+@query(f"WITH {I.PARTS}, {I.FRONT2} SELECT * FROM front2")
+def front_archive_stream(spark, folder):
+    """Candidates arrive in several micro-batches; the archive must end as the front of all."""
+    work = _work(spark, "archive")
+    stream = _arrivals(spark, folder, work)
     archive = FrontArchive(f"{work}/front", ["problem"], ["f1", "f2"])
     archive.attach(stream, f"{work}/state").trigger(availableNow=True).start().awaitTermination()
     return archive.read(spark)
 
 
+@query(f"WITH {I.PARTS}, {I.FRONT2} SELECT * FROM front2")
+def front_state_stream(spark, folder):
+    """As front_archive_stream, with the front in the stream's state; read from there at the end."""
+    work = _work(spark, "front")
+    stream = _arrivals(spark, folder, work)
+    front = FrontState(["problem"], ["f1", "f2"], stream.schema)
+    log = front.changes(stream).writeStream.format("parquet").option("path", f"{work}/changes")
+    log.option("checkpointLocation", f"{work}/state").trigger(availableNow=True).start().awaitTermination()
+    return front.read(spark, f"{work}/state")
+
+
 @query(
     """SELECT time_bucket(INTERVAL 1 HOUR, ts)::TIMESTAMP AS window_start, event_type, count(*) AS n
     FROM events GROUP BY ALL"""

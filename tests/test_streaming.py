@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frontgauge.operators import fronts
-from frontgauge.streaming.archive import FrontArchive
+from frontgauge.streaming.archive import FrontArchive, FrontState
 from frontgauge.streaming.monitor import WindowLog, error_monitor
 
 T0 = datetime(2024, 1, 1)
@@ -57,6 +57,41 @@ def test_archive_equals_batch_front(spark, tmp_path):
     assert archive.versions(spark) <= 2
 
 
+def test_front_in_state_equals_batch_front(spark, tmp_path):
+    """Several batches, a restart from the checkpoint, copies, NULLs and a group without a name."""
+    df = spark.range(600).selectExpr(
+        "nullif(if(id % 3 = 0, 'a', if(id % 3 = 1, 'b', 'none')), 'none') as g", "nullif(id % 200, 7) as id",
+        "nullif(cast(id * 37 % 101 as double), 50) as f1", "cast(id * 53 % 97 + (599 - id) as double) as f2",
+        "timestamp_micros(id % 200) as ts",
+    )
+    df = df.union(df.where("id % 5 = 0"))
+    front = FrontState(["g"], ["f1", "f2"], df.schema, parts=3)
+
+    def run():
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+        out = front.changes(stream).writeStream.format("parquet").option("path", f"{tmp_path}/changes")
+        out.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+
+    def rows(got):
+        return sorted(map(tuple, got.select("g", "id", "f1", "f2", "ts").collect()), key=str)
+
+    early, late = df.where("f2 > 300"), df.where("f2 <= 300")
+    early.repartition(2).write.parquet(f"{tmp_path}/in/a")
+    run()
+    assert rows(front.read(spark, f"{tmp_path}/state")) == rows(fronts.front2(early, ["g"], "f1", "f2"))
+    late.repartition(2).write.parquet(f"{tmp_path}/in/b")
+    run()  # a new query, from the stored state
+    want = rows(fronts.front2(df, ["g"], "f1", "f2"))
+    assert rows(front.read(spark, f"{tmp_path}/state")) == want
+    # what entered less what left is what is held
+    log = spark.read.parquet(f"{tmp_path}/changes")
+    assert log.where("not entered").count() > 0
+    signed = F.sum(F.when(F.col("entered"), F.col("n")).otherwise(-F.col("n"))).cast("int")
+    net = log.groupBy("g", "id", "f1", "f2", "ts").agg(signed.alias("n")).where("n <> 0")
+    left = net.select("g", "id", "f1", "f2", "ts", F.explode(F.sequence(F.lit(1), "n")))
+    assert rows(fronts.front2(left, ["g"], "f1", "f2")) == want
+
+
 def test_archive_batch_run_again(spark, tmp_path):
     archive = FrontArchive(f"{tmp_path}/front", [], ["f1", "f2"])
     one = spark.createDataFrame([(1.0, 3.0), (3.0, 1.0)], "f1 double, f2 double")
