@@ -322,6 +322,46 @@ def test_ring(spark, documents):
     assert again == {r.doc_id: (r.shard, r.slot) for r in got}
 
 
+def test_ring_against_keys_walked_one_by_one(spark, documents, monkeypatch):
+    """Every key walks clockwise to the first shard with room; one text is parted per cut at most."""
+    monkeypatch.setattr(common, "BUCKET_ROWS", 50)
+    hot = documents.limit(1).select(F.lit(-1).cast("long").alias("doc_id"), "text")
+    hot = hot.withColumn("doc_id", F.explode(F.sequence(F.lit(10**6), F.lit(10**6 + 300))))
+    docs = documents.select("doc_id", "text").unionByName(hot)
+    got = {r.doc_id: r.shard for r in sharding.shard(docs, 5, 16).collect()}
+    text = F.coalesce("text", F.lit(""))
+    keys = docs.select(
+        "doc_id", F.xxhash64(text).alias("h"), common.unit_hash("h").alias("u"), common.unit_hash("doc_id").alias("d"),
+    ).collect()
+    positions, owners = sharding.ring(5, 16)
+    room = [len(keys) // 5 + (s < len(keys) % 5) for s in range(5)]
+    arcs = defaultdict(list)
+    parts = -(-len(keys) // 50)
+    for r in sorted(keys, key=lambda r: (r.u, r.h, int(r.d * parts), r.doc_id)):
+        at = r.h % sharding.RING
+        arcs[next((i for i, p in enumerate(positions) if p >= at), 0)].append(r.doc_id)
+    want, left = {}, dict(arcs)
+    for step in range(5):
+        for i in sorted(left):
+            walk = list(dict.fromkeys(owners[i:] + owners[:i]))
+            while left[i] and room[walk[step]]:
+                want[left[i].pop(0)] = walk[step]
+                room[walk[step]] -= 1
+    assert got == want
+
+
+def test_movement_is_bounded(spark, documents):
+    one = sharding.movement(documents).first()
+    rows = documents.count()
+    assert one.n_rows == rows and one.to_new == rows // 9 + (rows % 9 > 8)
+    a = {r.doc_id: r.shard for r in sharding.shard(documents).collect()}
+    b = {r.doc_id: r.shard for r in sharding.shard(documents, 9).collect()}
+    moved = [d for d in a if a[d] != b[d]]
+    assert one.between_old == sum(b[d] != 8 for d in moved)
+    assert one.between_old < 0.1 * rows  # 5 % of so few rows; 2.5 % of 10,000
+    assert sharding.movement(documents.limit(0)).first() == (0, 0, 0)
+
+
 def test_overflow_goes_clockwise_in_full():
     owners = [0, 1, 2, 0, 1, 2]
     dealt = sharding.place_counts([10, 0, 0, 2, 1, 2], owners, [5, 5, 5])
