@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ColumnOrNumber, known, ratio
 from ..plans.dominance import front_rows
+from ..plans.halving import HALVED, equal_pairs_of, pairs_below, row_codes
 from ..plans.ordered import BLOCK, in_blocks, match, running
 from ..plans.segments import by_size, pair_counts
+from ..session import limit
 from .errors import equal_pairs, pairs_no_worse, sum_parts
 from .fronts import top_n
 from .indicators import hv2, hv3
@@ -131,8 +133,8 @@ def pair_order(
 ) -> DataFrame:
     """Share of row pairs whose relation (which dominates, or neither) is unchanged.
 
-    Small groups are counted directly, big ones from counts of pairs in joint
-    order; no pair is listed either way. Rows with a NULL objective, true or predicted, do
+    Small groups are counted directly, others from counts of pairs in joint order: in an
+    array by halving, over blocks where a group is too big for one; no pair is listed. Rows with a NULL objective, true or predicted, do
     not count; a group of such rows stays, with 0 pairs.
     """
     keys, t, p = list(keys), list(true), list(pred)
@@ -142,26 +144,43 @@ def pair_order(
     pairs = (n * (n - 1) / 2).cast("long")
     finish = [*keys, pairs.alias("pairs"), "unchanged", ratio(F.col("unchanged"), pairs).alias("share")]
     d = len(t)
+    halved = len(t) + len(p) <= HALVED
 
     def same(some: np.ndarray, all_: np.ndarray) -> list[int]:
         alike = _relation(some[:, :d], all_[:, :d]) == _relation(some[:, d:], all_[:, d:])
         return [int(alike.sum()) - len(some)]  # without each row's pair with itself
 
     def small(rows: DataFrame, size: int) -> DataFrame:
-        got = pair_counts(rows, keys, [*t, *p], ["_same"], same, size)
+        whole = (lambda v: [2 * _unchanged_in(v[:, :d], v[:, d:])]) if halved else None
+        got = pair_counts(rows, keys, [*t, *p], ["_same"], same, size, whole=whole)
         return got.withColumn("unchanged", (F.col("_same") / 2).cast("long")).select(*finish)
 
     def big(rows: DataFrame) -> DataFrame:
         return _unchanged_pairs(rows, keys, t, p).select(*finish)
 
+    # a call holds the numbers of a group several times over, which a window's sort does not
+    most = limit(df.sparkSession, "window.rows") // 4 if halved else None
     zero = F.lit(0).cast("long")
-    return by_size(df, keys, small, big).unionByName(
+    return by_size(df, keys, small, big, most).unionByName(
         nothing.select(
             *keys, zero.alias("pairs"), zero.alias("unchanged"), F.lit(None).cast("double").alias("share")
         )
     )
 
 
+def _unchanged_in(t: np.ndarray, p: np.ndarray) -> int:
+    """Pairs of rows in unchanged relation; the counts are those of `_unchanged_pairs`."""
+    n, both, other = len(t), np.hstack([t, p]), np.hstack([t, -p])
+    ties = equal_pairs_of(both)
+    # a row with an undefined number on one side is in no order there
+    dom_t, dom_p = (pairs_below(v) - equal_pairs_of(v) for v in (t, p))
+    told = ~np.isnan(both).any(axis=1)
+    ts = pairs_below(p[told], row_codes(t[told]))
+    ps = pairs_below(t[told], row_codes(p[told]))
+    same, opposite = (pairs_below(v) - ts - ps + ties for v in (both, other))
+    return n * (n - 1) // 2 - dom_t - dom_p + 2 * same + opposite
+
+
 def _unchanged_pairs(df: DataFrame, keys: list[str], t: list[str], p: list[str]) -> DataFrame:
     flip = [f"_f{c}" for c in p]
     df = df.withColumns({f: -F.col(c) for f, c in zip(flip, p)})

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import known
 from ..session import limit, settle
+from .halving import HALVED, sums_below
 from .ordered import (
     BLOCK,
     Laid,
@@ -40,6 +41,9 @@ from .segments import per_group, split_groups
 # A group with this share of all rows has many in every Arrow batch.
 _CROWD = 0.01
 
+# Up to so many pairs, comparing them directly is the faster way to count.
+_DIRECT = 1 << 24
+
 
 def fields(df: DataFrame, cols: Sequence[str]) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols)
@@ -70,6 +74,8 @@ def weak_tally(
     src: np.ndarray, weight: np.ndarray, qry: np.ndarray, step: int = 256
 ) -> np.ndarray:
     """For each query row, the weight of source rows no worse in any column."""
+    if src.shape[1] <= HALVED and len(src) * len(qry) > _DIRECT:
+        return sums_below(src, weight, qry)
     out = np.zeros(len(qry))
     for i in range(0, len(qry), step):
         part = qry[i : i + step]
@@ -128,7 +134,9 @@ def weak_hits(
         hits = F.when(F.col("_low") <= F.col(b), 1.0).otherwise(0.0).alias("_hits")
         return got.where("_qry").select("_rid", hits)
 
-    laid = in_blocks(rows, keys, order, limit(rows.sparkSession, "compare.rows"))
+    # sums are found by halving, without comparing all pairs of a block
+    size = "sweep.rows" if not best and len(objs) <= HALVED else "compare.rows"
+    laid = in_blocks(rows, keys, order, limit(rows.sparkSession, size))
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         v, w = pdf[objs].to_numpy(float), pdf["_w"].to_numpy(float)

@@ -10,8 +10,10 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import limit, settle
 from .ordered import group_sizes, join_on
@@ -48,6 +50,35 @@ def per_group(
     )
 
 
+def group_codes(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
+    """A number per row, alike for rows of one group; whole numbers are compared as such."""
+    codes = {}
+    for i, k in enumerate(keys):
+        col = table[k].combine_chunks()
+        if not pa.types.is_floating(col.type):
+            col = col.dictionary_encode(null_encoding="encode").indices
+        codes[i] = col.to_pandas()
+    return pd.DataFrame(codes).groupby(list(codes), sort=False, dropna=False).ngroup().to_numpy()
+
+
+def per_group_whole(
+    df: DataFrame,
+    keys: Sequence[str],
+    fn: Callable[[pa.Table], pa.Table],
+    schema: T.StructType,
+    rows: int,
+    rows_per_call: int = 50_000,
+) -> DataFrame:
+    """Like per_group, for whole rows: they pass as an Arrow table, all columns as they are."""
+    shuffles = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    calls = max(shuffles, ceil(rows / rows_per_call))
+    return (
+        df.withColumn("_call", F.pmod(F.xxhash64(*keys), F.lit(calls)))
+        .groupBy("_call")
+        .applyInArrow(lambda table: fn(table.drop_columns("_call")), schema)
+    )
+
+
 def by_size(
     df: DataFrame,
     keys: Sequence[str],
@@ -79,8 +110,13 @@ def pair_counts(
     count: Callable[[np.ndarray, np.ndarray], list[int]],
     rows: int,
     step: int = 512,
+    whole: Callable[[np.ndarray], list[int]] | None = None,
+    direct: int = 4_096,
 ) -> DataFrame:
-    """Per group, sums of `count(some rows, all rows)`; the pairs never leave the array."""
+    """Per group, sums of `count(some rows, all rows)`; the pairs never leave the array.
+
+    `whole(all rows)` gives the same sums for groups of more than `direct` rows, in less time.
+    """
     keys, cols = list(keys), list(cols)
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -89,6 +125,9 @@ def pair_counts(
         out = []
         for at in groups:
             g = v[at]
+            if whole is not None and len(g) > direct:
+                out.append(whole(g))
+                continue
             out.append(np.sum([count(g[i : i + step], g) for i in range(0, len(g), step)], axis=0))
         found = pd.DataFrame(np.array(out, dtype=np.int64), columns=list(names))
         found.insert(0, "n", [len(at) for at in groups])
