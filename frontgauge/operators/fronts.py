@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import known, ratio
-from ..plans.dominance import distinct_vectors, front_rows, weak_hits
+from ..plans.dominance import distinct_vectors, front_mask, front_rows, weak_hits, weak_tally
 from ..plans.ordered import join_on, neighbours, numbered
 from ..plans.ranking import ranked_vectors
+from ..plans.segments import by_size, group_codes, per_group_whole
 from ..session import settle
 
 # Up to this size a task keeps only its own first rows before the shuffle.
@@ -46,10 +51,61 @@ def witness(df: DataFrame, keys: Sequence[str], objs: Sequence[str], id: str) ->
 
     That is the first of its dominators in order of the objectives (copies: the smallest
     id), which is on the front itself. NULL on the front and where an objective is NULL.
-    One query carries the place of the first row that is no worse, which is the row's own
-    place where nothing dominates it; no pair is listed.
+    Whole small groups are settled in one shuffle. For others one query carries the place
+    of the first row that is no worse, which is the row's own place where nothing dominates
+    it; no pair is listed.
     """
     keys, objs = list(keys), list(objs)
+    schema = T.StructType([*df.schema.fields, T.StructField("dominator", df.schema[id].dataType)])
+
+    def told(table: pa.Table) -> pa.Table:
+        first = _first_dominators(group_codes(table, keys), _values(table, objs), table[id])
+        beaten = pa.array(first, mask=first < 0)
+        return table.append_column("dominator", table[id].take(beaten))
+
+    def small(rows: DataFrame, size: int) -> DataFrame:
+        return per_group_whole(rows, keys, told, schema, size)
+
+    def big(rows: DataFrame) -> DataFrame:
+        return _witness_of_big(rows, keys, objs, id)
+
+    return by_size(df, keys, small, big)
+
+
+def _values(table: pa.Table, objs: Sequence[str]) -> np.ndarray:
+    """Columns as numbers, NULL as NaN."""
+    return np.column_stack([table[c].cast(pa.float64()).to_numpy() for c in objs])
+
+
+def _first_dominators(group: np.ndarray, v: np.ndarray, ids: pa.ChunkedArray) -> np.ndarray:
+    """Per row the place of the first row that dominates it, -1 where none does."""
+    found = np.full(len(v), -1, dtype=np.int64)
+    told = np.flatnonzero(~np.isnan(v).any(axis=1))
+    if not told.size:
+        return found
+    by_id = pc.rank(ids, null_placement="at_end", tiebreaker="dense").to_numpy()
+    order = told[np.lexsort((by_id[told], *v[told].T[::-1], group[told]))]
+    w, g = v[order], group[order]
+    new_group = np.concatenate([[True], g[1:] != g[:-1]])
+    new = new_group | np.concatenate([[True], (w[1:] != w[:-1]).any(axis=1)])
+    heads, vector = np.flatnonzero(new), np.cumsum(new) - 1  # copies share their head
+    u, first = w[heads], np.arange(len(heads))
+    starts = np.flatnonzero(new_group[heads])
+    for a, b in zip(starts, [*starts[1:], len(heads)]):
+        # vectors are in order, and the first dominator of one is on the front
+        on = a + np.flatnonzero(front_mask(u[a:b]))
+        for i in range(a, b, 256):
+            some = u[i : min(i + 256, b)]
+            ok = np.ones((len(some), len(on)), dtype=bool)
+            for k in range(u.shape[1]):
+                ok &= u[on, k][None, :] <= some[:, None, k]
+            first[i : i + len(some)] = on[ok.argmax(axis=1)]
+    beaten = first[vector] != vector
+    found[order[beaten]] = order[heads[first[vector[beaten]]]]
+    return found
+
+
+def _witness_of_big(df: DataFrame, keys: list[str], objs: list[str], id: str) -> DataFrame:
     vec = df.where(known(*objs)).groupBy(*keys, *objs).agg(F.min(id).alias("_id"))
     placed = numbered(settle(vec), keys, objs, "_place").withColumns(
         {
@@ -97,8 +153,41 @@ def front_eps(df: DataFrame, keys: Sequence[str], objs: Sequence[str], eps: floa
 
 
 def front_weak(df: DataFrame, keys: Sequence[str], objs: Sequence[str]) -> DataFrame:
-    """Rows no other row beats strictly in all objectives at once."""
+    """Rows no other row beats strictly in all objectives at once.
+
+    Whole small groups are settled in one shuffle, others through places and a query.
+    """
     keys, objs = list(keys), list(objs)
+
+    def kept(table: pa.Table) -> pa.Table:
+        return table.filter(pa.array(_not_beaten(group_codes(table, keys), _places(table, objs))))
+
+    def small(rows: DataFrame, size: int) -> DataFrame:
+        return per_group_whole(rows, keys, kept, df.schema, size)
+
+    return by_size(df, keys, small, lambda rows: _weak_front_of_big(rows, keys, objs))
+
+
+def _places(table: pa.Table, objs: Sequence[str]) -> np.ndarray:
+    """Places of the values of each column, the same for equal ones, NULL first."""
+    out = []
+    for c in objs:
+        _, place = np.unique(table[c].cast(pa.float64()).to_numpy(), return_inverse=True)
+        out.append(np.where(table[c].is_null().to_numpy(), 0, place + 1))
+    return np.column_stack(out).astype(float)
+
+
+def _not_beaten(group: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Rows of whole numbers that no row of their group is below in every column."""
+    keep = np.zeros(len(v), dtype=bool)
+    order = np.argsort(group, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+        front = v[at][front_mask(v[at])]
+        keep[at] = weak_tally(front, np.ones(len(front)), v[at] - 1) == 0
+    return keep
+
+
+def _weak_front_of_big(df: DataFrame, keys: list[str], objs: list[str]) -> DataFrame:
     vec = distinct_vectors(df, keys, objs)
     # With places for values, "below" is "no more than the place before".
     placed = settle(_value_places(vec, keys, objs))
