@@ -20,6 +20,9 @@ Layer = tuple[Sequence[Sequence[float]], Sequence[float]]
 KNN_SITES = 20_000
 KNN_BYTES = 200_000_000
 
+# Bytes of the distances that a task holds at a time.
+_KNN_STEP_BYTES = 8_000_000
+
 
 def _numbers(values: Sequence[float]) -> str:
     return "array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")"
@@ -129,6 +132,17 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(out)
 
 
+def _mean_of_nearest(x: np.ndarray, sites: np.ndarray, target: np.ndarray, k: int) -> np.ndarray:
+    out = np.empty(len(x))
+    step = max(1, _KNN_STEP_BYTES // (8 * len(sites)))
+    for i in range(0, len(x), step):
+        d = _distances(x[i : i + step], sites)
+        # sites are in order of id, so a stable sort breaks ties by id
+        near = np.argsort(d, axis=1, kind="stable")[:, :k]
+        out[i : i + step] = target[near].mean(axis=1)
+    return out
+
+
 def fit_knn(
     df: DataFrame,
     id: str,
@@ -172,11 +186,9 @@ def fit_knn(
                 mine = batch["fold"].isna() if f is None else batch["fold"] == f
                 at = np.flatnonzero(mine.to_numpy() & told)
                 others = np.flatnonzero(folds != f) if f is not None else np.arange(len(target))
-                for i in range(0, len(at) if len(others) else 0, 512):
-                    d = _distances(_to_matrix(batch["x"].iloc[at[i : i + 512]]), place[others])
-                    # sites are in order of id, so a stable sort breaks ties by id
-                    near = np.argsort(d, axis=1, kind="stable")[:, :k]
-                    out[at[i : i + 512]] = target[others][near].mean(axis=1)
+                if len(at) and len(others):
+                    x = _to_matrix(batch["x"].iloc[at])
+                    out[at] = _mean_of_nearest(x, place[others], target[others], k)
             yield pd.DataFrame({"id": batch["id"], name: out})
 
     id_type = base.schema["id"].dataType.simpleString()
