@@ -266,10 +266,14 @@ def quantiles(
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group.
 
-    Only the count of each distinct value is moved; where a group has too many
-    of them for one task, places are found by a running count instead.
+    Distinct values are counted; where a group has too many of them for one task, places
+    are found by a running count instead. Rows are spread first, so that no task counts
+    more values than a partition of a shuffle holds, however few tasks read the input; rows
+    of a crowded value stay apart by the task they come from.
     """
-    tally = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, value, F.spark_partition_id().alias("_from"))
+    spread = rows.repartition(*keys, value, "_from")
+    tally = settle(spread.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")))
     return tally_quantiles(tally, keys, value, ps)
 
 
@@ -277,7 +281,8 @@ def tally_quantiles(
     tally: DataFrame, keys: Sequence[str], value: str, ps: dict[str, float]
 ) -> DataFrame:
     """Quantiles of a table that holds each distinct value once, with its count `_c`."""
-    laid = in_blocks(tally, keys, [value])
+    # percentile holds a group's values as objects, once per quantile
+    laid = in_blocks(tally, keys, [value], limit(tally.sparkSession, "sweep.rows"))
     if not laid.split:
         aggs = [F.percentile(value, F.lit(p), F.col("_c")).alias(n) for n, p in ps.items()]
         return laid.df.groupBy(*keys).agg(*aggs)
