@@ -6,22 +6,27 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import hash_number
-from ..plans.ordered import join_on
+from ..plans.k_nearest import LAST, Near, means, no_partners, take_nearest
+from ..plans.ordered import BLOCK, in_blocks, join_on, numbered
+from ..session import discard, limit, settle
 
 Layer = tuple[Sequence[Sequence[float]], Sequence[float]]
 
-# Rows that the nearest-neighbour baseline is fitted on at most, and the bytes that
-# their features may take in every task.
-KNN_SITES = 20_000
+# Bytes that the features of the nearest-neighbour baseline's fitted rows may take in a task,
+# twice: as they are sent and as numbers. More rows are taken portion by portion.
 KNN_BYTES = 200_000_000
-
-# Bytes of the distances that a task holds at a time.
-_KNN_STEP_BYTES = 8_000_000
+# Rows of a portion at least, and cells that rows are laid out by at most.
+_KNN_LEAST = 64
+_KNN_CELLS = 1_024
+# Scored rows that a task starts with.
+_KNN_TASK_ROWS = 16_384
 
 
 def _numbers(values: Sequence[float]) -> str:
@@ -121,26 +126,62 @@ def fit_mean(
     return join_on(df, means, [*keys, fold])
 
 
-def _to_matrix(col: pd.Series) -> np.ndarray:
-    return np.stack(col.to_numpy()).astype(float)
+def _to_matrix(col: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    """Unknown numbers are NaN."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    return col.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(col), width)
+
+
+def _mean_of_nearest(
+    x: np.ndarray,
+    sites: np.ndarray,
+    target: np.ndarray,
+    k: int,
+    place: np.ndarray | None = None,
+    near: Near | None = None,
+    apart: tuple[np.ndarray, np.ndarray] | None = None,
+    block: int = 1_024,
+) -> np.ndarray:
+    """Mean target of the k nearest sites, ties by place; `near` has those of other sites."""
+    near = no_partners(len(x), k) if near is None else near
+    place = np.arange(len(sites)) if place is None else place
+    take_nearest(x, sites, target, place, near, block, apart)
+    return means(near)
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(a), len(b)))
-    for col in range(a.shape[1]):
-        out += (a[:, col, None] - b[None, :, col]) ** 2
-    return np.sqrt(out)
+def _fold_codes(mine: pa.Array, theirs: pa.Array) -> np.ndarray:
+    """Places of folds among those of `theirs`; -1 for NULL, -2 for another fold."""
+    found = pc.fill_null(pc.index_in(mine, value_set=theirs), -2)
+    return pc.if_else(pc.is_null(mine), -1, found).to_numpy(zero_copy_only=False)
 
 
-def _mean_of_nearest(x: np.ndarray, sites: np.ndarray, target: np.ndarray, k: int) -> np.ndarray:
-    out = np.empty(len(x))
-    step = max(1, _KNN_STEP_BYTES // (8 * len(sites)))
-    for i in range(0, len(x), step):
-        d = _distances(x[i : i + step], sites)
-        # sites are in order of id, so a stable sort breaks ties by id
-        near = np.argsort(d, axis=1, kind="stable")[:, :k]
-        out[i : i + step] = target[near].mean(axis=1)
-    return out
+def _in_cells(rows: DataFrame, sites: DataFrame, wanted: int, width: int) -> DataFrame:
+    """Add `_cell`, the nearest of `wanted` fitted rows: it only says which rows lie together.
+
+    Cell -1 has the rows whose distances are not finite.
+    """
+    if wanted < 2:
+        return rows.withColumn("_cell", F.lit(0))
+    drawn = sites.orderBy(hash_number(F.lit("cell"), F.col("id")), "id").limit(wanted)
+    drawn = _to_matrix(drawn.select("x").toArrow()["x"], width)
+    drawn = drawn[np.isfinite((drawn * drawn).sum(axis=1))]
+    shared = rows.sparkSession.sparkContext.broadcast(drawn if len(drawn) else np.zeros((1, width)))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre = shared.value
+        for batch in batches:
+            cell = np.full(batch.num_rows, -1, np.int32)
+            told = np.flatnonzero(batch["x"].is_valid())
+            for at in np.array_split(told, len(told) // 1_024 + 1):
+                x = _to_matrix(batch["x"].take(pa.array(at)), width)
+                with np.errstate(all="ignore"):
+                    near = (centre * centre).sum(axis=1) - 2 * (x @ centre.T)
+                fine = np.isfinite(near).all(axis=1)
+                cell[at[fine]] = near[fine].argmin(axis=1)
+            yield batch.append_column("_cell", pa.array(cell))
+
+    return rows.mapInArrow(assign, T.StructType([*rows.schema.fields, T.StructField("_cell", T.IntegerType())]))
 
 
 def fit_knn(
@@ -151,46 +192,116 @@ def fit_knn(
     fold: str,
     k: int,
     name: str = "yhat",
-    most_sites: int = KNN_SITES,
+    most_sites: int | None = None,
 ) -> DataFrame:
     """(id, yhat): mean target of the k nearest rows of other folds, ties by id.
 
-    The baseline is fitted on `most_sites` rows at most, those of the lowest hash of
-    their id; every row is scored. Fitted rows are sent to every task, after a check of
-    their bytes. A row without a fold is scored with the rows of all folds, and a row
-    with NULL features, or no row to learn from, has NULL.
+    The baseline is fitted on all rows with features and a target, or, if `most_sites` says
+    so, on that many of the lowest hash of their id; every row is scored. Rows are laid out
+    so that neighbours lie together. Fitted rows are sent to every task, a portion of bounded
+    bytes at a time; the k nearest so far go from portion to portion in a settled table. A
+    row without a fold is scored with the rows of all folds, and a row with NULL features,
+    or no row to learn from, has NULL. All features must have one width.
     """
+    spark = df.sparkSession
+    single = df.schema[x].dataType.simpleString() == "array<float>"
     base = df.select(
         F.col(id).alias("id"),
-        F.col(x).cast("array<double>").alias("x"),
+        F.col(x).cast("array<float>" if single else "array<double>").alias("x"),
         F.col(y).cast("double").alias("y"),
         F.col(fold).alias("fold"),
     )
-    known = base.where("x is not null and y is not null")
-    n, width = known.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
-    if min(n, most_sites) * (width or 0) * 8 > KNN_BYTES:
-        raise ValueError(f"{min(n, most_sites)} fitted rows of {width} numbers; lower most_sites")
-    order = hash_number(F.lit("knn"), F.col("id"))
-    sites = known.orderBy(order, "id").limit(most_sites).toPandas().sort_values("id", kind="stable")
-    place = np.stack(sites["x"].to_numpy()) if len(sites) else np.zeros((0, 0))
-    shared = df.sparkSession.sparkContext.broadcast(
-        (place, sites["y"].to_numpy(float), sites["fold"].to_numpy())
+    if isinstance(base.schema["fold"].dataType, (T.FloatType, T.DoubleType)):
+        base = base.withColumn("fold", F.when(~F.isnan("fold"), F.col("fold")))
+    known = F.col("x").isNotNull() & F.col("y").isNotNull()
+    sizes = F.min(F.size("x")), F.max(F.size("x"))
+    asked, n, width, widest, last_id = (
+        base.where("x is not null").agg(F.count(F.lit(1)), F.count("y"), *sizes, F.max("id")).first()
+    )
+    n = n if most_sites is None else min(n, most_sites)
+    unknown = F.lit(None).cast("double").alias(name)
+    if not n:
+        return base.select(F.col("id").alias(id), unknown)
+    if width != widest:
+        raise ValueError(f"features of {width} to {widest} numbers")
+    portion = min(KNN_BYTES // (16 * max(1, width)), limit(spark, "sweep.rows"))
+    if min(n, _KNN_LEAST) * 16 * width > KNN_BYTES:
+        raise ValueError(f"fewer than {_KNN_LEAST} rows of {width} numbers fit in a task")
+    block = limit(spark, "site.rows")
+
+    def fitted_on(rows: DataFrame) -> DataFrame:
+        rows = rows.where(known)
+        if most_sites is None:
+            return rows
+        return rows.orderBy(hash_number(F.lit("knn"), F.col("id")), "id").limit(most_sites)
+
+    cells = min(_KNN_CELLS, n // (4 * block), KNN_BYTES // (64 * max(1, width)))
+    rows = base.withColumn("_row", F.monotonically_increasing_id())
+    rows = settle(_in_cells(rows, fitted_on(base), cells, width))
+    # of equal rows of a fold none can be taken but those of the k lowest ids
+    order = [F.col("id").isNull(), F.col("id"), F.col("_row")]
+    copies = F.row_number().over(Window.partitionBy("x", "fold").orderBy(*order))
+    sites = fitted_on(rows).withColumn("_copy", copies).where(F.col("_copy") <= k).drop("_copy")
+    if isinstance(sites.schema["id"].dataType, T.IntegralType) and (last_id is None or last_id < LAST):
+        sites = sites.withColumn("_place", F.coalesce(F.col("id").cast("long"), F.lit(LAST)))
+    else:
+        sites = numbered(
+            sites.withColumn("_last", F.col("id").isNull()), [], ["_last", "id", "_row"], "_place"
+        )
+    sites = settle(sites.select("x", "y", "fold", "_place", "_cell", "_row"))
+    laid = in_blocks(sites, [], ["_cell", "_row"], portion).df
+    portions = [r[0] for r in laid.select(BLOCK).distinct().orderBy(BLOCK).collect()]
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), asked // _KNN_TASK_ROWS + 1)
+    near = {"_dist": "array<double>", "_place": "array<long>", "_y": "array<double>"}
+    scored = (
+        rows.where("x is not null")
+        .withColumns({c: F.lit(None).cast(t) for c, t in near.items()})
+        .select("id", "x", "fold", *near, "_cell", "_row")
+        .repartitionByRange(tasks, "_cell", "_row")
+        .sortWithinPartitions("_cell", "_row")
+        .drop("_cell", "_row")
     )
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        place, target, folds = shared.value
-        for batch in batches:
-            out = np.full(len(batch), np.nan)
-            told = batch["x"].notna().to_numpy()
-            for f in [*batch["fold"].dropna().unique(), None]:
-                mine = batch["fold"].isna() if f is None else batch["fold"] == f
-                at = np.flatnonzero(mine.to_numpy() & told)
-                others = np.flatnonzero(folds != f) if f is not None else np.arange(len(target))
-                if len(at) and len(others):
-                    x = _to_matrix(batch["x"].iloc[at])
-                    out[at] = _mean_of_nearest(x, place[others], target[others], k)
-            yield pd.DataFrame({"id": batch["id"], name: out})
-
-    id_type = base.schema["id"].dataType.simpleString()
-    scored = base.mapInPandas(score, f"id {id_type}, {name} double")
-    return scored.select(F.col("id").alias(id), F.nanvl(name, F.lit(None).cast("double")).alias(name))
+    def sent(number: int):
+        part = laid.where(F.col(BLOCK) == number).orderBy("_cell", "_row").select("x", "y", "fold", "_place")
+        return spark.sparkContext.broadcast(part.toArrow().combine_chunks())
+
+    def against(shared, last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = shared.value
+            sites, folds = _to_matrix(table["x"], width), table["fold"].combine_chunks()
+            target, place = table["y"].to_numpy(), table["_place"].to_numpy()
+            names = folds.unique().drop_null()
+            theirs = _fold_codes(folds, names)
+            for batch in batches:
+                features = _to_matrix(batch["x"], width)
+                so_far = no_partners(batch.num_rows, k)
+                if batch["_dist"].null_count == 0:
+                    told = [batch[c].flatten().to_numpy(zero_copy_only=False) for c in near]
+                    so_far = tuple(v.reshape(-1, k).copy() for v in told)
+                apart = _fold_codes(batch["fold"], names), theirs
+                if last:
+                    out = _mean_of_nearest(features, sites, target, k, place, so_far, apart, block)
+                    yield pa.RecordBatch.from_arrays([batch["id"], pa.array(out)], names=["id", name])
+                    continue
+                take_nearest(features, sites, target, place, so_far, block, apart)
+                ends = pa.array(np.arange(0, k * batch.num_rows + 1, k, dtype=np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(c.ravel())) for c in so_far]
+                same = [batch[c] for c in ("id", "x", "fold")]
+                yield pa.RecordBatch.from_arrays([*same, *lists], names=[*batch.schema.names])
+
+        return run
+
+    before = None
+    for number in portions[:-1]:
+        shared = sent(number)
+        scored = settle(scored.mapInArrow(against(shared, False), scored.schema))
+        shared.destroy()
+        if before is not None:
+            discard(before)
+        before = scored
+    out = T.StructType([base.schema["id"], T.StructField(name, T.DoubleType())])
+    scored = scored.mapInArrow(against(sent(portions[-1]), True), out)
+    scored = scored.select(F.col("id").alias(id), F.nanvl(name, F.lit(None).cast("double")).alias(name))
+    return scored.unionByName(rows.where("x is null").select(F.col("id").alias(id), unknown))
